@@ -8,6 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.chunking import build_chunks
+from ..operators.events import normalise
+from ..operators.evidence import classify, trace_values
+from ..operators.vectors import flat_metadata
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -79,6 +84,7 @@ def trace_rows(spark: SparkSession, folder: str) -> DataFrame:
         F.col("event_type").alias("Event"),
         F.concat(F.lit("k"), k.cast("string")).alias("Type"),
         line.alias("Information"),
+        F.concat(F.lit("trace_"), testcase_of(user), F.lit("_0.csv")).alias("source_trace"),
     )
 
 
@@ -124,3 +130,50 @@ def file_names(spark: SparkSession, folder: str) -> DataFrame:
         ],
     )
     return table(spark, folder, "events").select("event_id", name.alias("file_name"))
+
+
+def events_of(spark: SparkSession, folder: str, promote_metadata: bool = False) -> DataFrame:
+    """Operational events of the trace rows."""
+    rows = trace_rows(spark, folder)
+    return normalise(classify(rows), trace_values(rows), promote_metadata)
+
+
+def chunks_of(spark: SparkSession, folder: str, promote_metadata: bool = False) -> DataFrame:
+    """Chunks of the events, 2000 characters with 200 overlap."""
+    return build_chunks(events_of(spark, folder, promote_metadata), 2000, 200)
+
+
+def lines_of(spark: SparkSession, folder: str) -> DataFrame:
+    """``conversations`` as lines of a trace per conversation."""
+    return table(spark, folder, "conversations").select(
+        F.col("conv_id").cast("string").alias("testcase_id"),
+        (F.col("turn") + 1).alias("event_index"),
+        F.length("text").alias("length"),
+        "text",
+    )
+
+
+def vectors_of(spark: SparkSession, folder: str) -> DataFrame:
+    """``embeddings`` as chunk vectors with a label to filter on."""
+    return table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("chunk_id"), "embedding", "label"
+    )
+
+
+def following_chunks(chunks: DataFrame, reach: int = 4) -> DataFrame:
+    """Neighbours of a chunk: itself and the next chunks of its trace, at made-up distances."""
+    steps = F.explode(F.sequence(F.lit(0), F.lit(reach - 1))).alias("step")
+    asked = chunks.select("testcase_id", "chunk_index", F.col("chunk_id").alias("query_chunk_id"), steps)
+    asked = asked.select(
+        "testcase_id",
+        (F.col("chunk_index") + F.col("step")).alias("chunk_index"),
+        "query_chunk_id",
+        (F.col("step") + 1).alias("rank"),
+        F.round(F.col("step") * (F.col("chunk_index") % 5) * 0.0035, 6).alias("distance"),
+    )
+    found = flat_metadata(chunks)
+    described = F.struct(*[c for c in found.columns if c != "chunk_id"])
+    found = found.select("testcase_id", "chunk_index", "chunk_id", described.alias("metadata"))
+    return asked.join(found, ["testcase_id", "chunk_index"]).select(
+        "query_chunk_id", "rank", "chunk_id", "distance", "metadata"
+    )
