@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +16,16 @@ def strip(col: Column, chars: str = BLANKS) -> Column:
     return F.btrim(col, F.lit(chars))
 
 
-def contains_any(col: Column, words) -> Column:
-    return reduce(lambda a, b: a | b, [col.contains(word) for word in words])
+def quoted(value) -> str:
+    """A Python value as a SQL literal."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value}D" if isinstance(value, float) else str(value)
+
+
+def contains_any(text: str, words) -> str:
+    """SQL condition: ``text`` (a SQL expression) holds any of the words."""
+    return "(" + " OR ".join(f"contains({text}, {quoted(word)})" for word in words) + ")"
 
 
 def mentions(col: Column, words) -> Column:
@@ -33,14 +39,17 @@ def blank_to_null(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
 
-def pick(col: Column, groups: dict, default: Column | None = None) -> Column:
-    """CASE over ``{result: keys}``; ``default`` (or null) when no key matches."""
-    cases = None
+def pick(key: str, groups: dict, default: str | None = None) -> Column:
+    """CASE over ``{result: keys}`` on a SQL expression, built as one SQL text.
+
+    ``default`` is a SQL expression too; without it a key that matches nothing gives null.
+    """
+    cases = []
     for result, keys in groups.items():
         keys = (keys,) if isinstance(keys, str) else keys
-        cond = col.isin(*keys)
-        cases = F.when(cond, F.lit(result)) if cases is None else cases.when(cond, F.lit(result))
-    return cases if default is None else cases.otherwise(default)
+        cases.append(f"WHEN {key} IN ({', '.join(map(quoted, keys))}) THEN {quoted(result)}")
+    rest = f" ELSE {default}" if default is not None else ""
+    return F.expr(f"CASE {' '.join(cases)}{rest} END")
 
 
 def after_first(col: Column, mark: str) -> Column:
@@ -63,9 +72,9 @@ def error_value(line: Column) -> Column:
     )
 
 
-def joined_line(*cols: Column) -> Column:
+def joined_line(*names: str) -> Column:
     """Columns joined by ``;`` with nulls kept as empty fields."""
-    return F.concat_ws(";", *[F.coalesce(c, F.lit("")) for c in cols])
+    return F.expr("concat_ws(';', " + ", ".join(f"coalesce({n}, '')" for n in names) + ")")
 
 
 def clock(col: Column) -> Column:
@@ -131,12 +140,13 @@ def format_clock(ts: Column, name: str | Column) -> Column:
     return cases.otherwise(iso_text(ts))
 
 
-def signal_labels(line: Column) -> Column:
-    """All signal labels of a line, in table order."""
-    lowered = F.lower(line)
-    return F.array_compact(
-        F.array(*[F.when(contains_any(lowered, words), F.lit(label)) for label, words in SIGNAL_KEYWORDS])
-    )
+def signal_labels(line: str) -> Column:
+    """All signal labels of a line (a column name or SQL expression), in table order."""
+    cases = [
+        f"CASE WHEN {contains_any(f'lower({line})', words)} THEN {quoted(label)} END"
+        for label, words in SIGNAL_KEYWORDS
+    ]
+    return F.expr(f"array_compact(array({', '.join(cases)}))")
 
 
 def cut_text(col: Column, limit: int, mark: str, trim: bool = False) -> Column:

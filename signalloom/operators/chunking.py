@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions.packing import Block, chain
-from ..session import BLOCK_ROWS
+from ..session import BLOCK_ROWS, staged
 
 _EXITS = (
     "testcase_id string, block long, reach_low long, reach_high long, reach_out long, "
@@ -23,6 +23,17 @@ _BOUNDS = (
 )
 
 
+def _printed(name: str, kind: T.DataType) -> str:
+    """SQL text of a column as printed: booleans capitalised, clocks with their fraction."""
+    if isinstance(kind, T.BooleanType):
+        return f"CASE WHEN {name} THEN 'True' WHEN NOT {name} THEN 'False' END"
+    if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
+        whole = f"date_trunc('second', {name}) = {name}"
+        return (f"CASE WHEN {whole} THEN date_format({name}, 'yyyy-MM-dd HH:mm:ss') "
+                f"ELSE date_format({name}, 'yyyy-MM-dd HH:mm:ss.SSSSSS') END")
+    return f"CAST({name} AS STRING)"
+
+
 def compact_struct(df: DataFrame, name: str) -> Column:
     """``k=v, k=v`` over a struct's scalar fields in field order, nulls left out."""
     if name not in df.columns:
@@ -31,10 +42,9 @@ def compact_struct(df: DataFrame, name: str) -> Column:
     for field in df.schema[name].dataType.fields:
         if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
             continue
-        value = F.col(name)[field.name]
-        text = tx.shown_flag(value) if isinstance(field.dataType, T.BooleanType) else value.cast("string")
-        parts.append(F.when(value.isNotNull(), F.concat(F.lit(f"{field.name}="), text)))
-    return F.array_join(F.array_compact(F.array(*parts)), ", ")
+        shown = _printed(f"{name}.`{field.name}`", field.dataType)
+        parts.append(f"CASE WHEN {name}.`{field.name}` IS NOT NULL THEN concat('{field.name}=', {shown}) END")
+    return F.expr(f"array_join(array_compact(array({', '.join(parts)})), ', ')")
 
 
 def compact_map(values: Column) -> Column:
@@ -47,23 +57,18 @@ def compact_map(values: Column) -> Column:
 def event_text(events: DataFrame) -> Column:
     """One event as a line of ``label=value`` parts; absent columns print as ``None``."""
 
-    def part(label: str, name: str) -> Column:
-        if name not in events.columns:
-            return F.lit(f"{label}=None")
-        kind = events.schema[name].dataType
-        if isinstance(kind, T.BooleanType):
-            value = tx.shown_flag(F.col(name))
-        elif isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
-            value = tx.shown(tx.clock_text(F.col(name)))
-        else:
-            value = tx.shown(F.col(name))
-        return F.concat(F.lit(f"{label}="), value)
+    kinds = {field.name: field.dataType for field in events.schema.fields}
+
+    def part(label: str, name: str) -> str:
+        if name not in kinds:
+            return f"'{label}=None'"
+        return f"concat('{label}=', coalesce({_printed(name, kinds[name])}, 'None'))"
 
     def listed(label: str, value: Column) -> Column:
         return F.concat(F.lit(f"{label}=["), value, F.lit("]"))
 
-    tags = F.coalesce(F.array_join("tags", ", "), F.lit("")) if "tags" in events.columns else F.lit("")
-    values = compact_map(F.col("extracted_values")) if "extracted_values" in events.columns else F.lit("")
+    tags = F.coalesce(F.array_join("tags", ", "), F.lit("")) if "tags" in kinds else F.lit("")
+    values = compact_map(F.col("extracted_values")) if "extracted_values" in kinds else F.lit("")
     # Part labels and their columns, in print order.
     head = [
         ("testcase_id", "testcase_id"), ("event_id", "event_id"), ("timestamp", "timestamp"),
@@ -75,11 +80,11 @@ def event_text(events: DataFrame) -> Column:
     ]
     return F.concat_ws(
         " | ",
-        *[part(label, name) for label, name in head],
+        F.expr(f"concat_ws(' | ', {', '.join(part(label, name) for label, name in head)})"),
         listed("tags", tags),
         listed("metadata", compact_struct(events, "metadata")),
         listed("extracted_values", values),
-        part("raw", "raw_message"),
+        F.expr(part("raw", "raw_message")),
     )
 
 
@@ -117,8 +122,9 @@ def chunk_bounds(
         (left <= chunk_size + keep) | (left - F.col("_last") < keep)
     )
     spread = F.when(is_tail, F.array(F.col("block"), F.col("block") + 1)).otherwise(F.array(F.col("block")))
-    rows = rows.select(
-        "testcase_id", "event_index", "length", "last_block", F.explode(spread).alias("block")
+    # Written once: the narrow rows are read by the pass over long traces and by the last pass.
+    rows = staged(
+        rows.select("testcase_id", "event_index", "length", "last_block", F.explode(spread).alias("block"))
     )
 
     def held(pdf: pd.DataFrame) -> Block:

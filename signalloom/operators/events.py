@@ -11,77 +11,66 @@ from ..session import BLOCK_ROWS
 from .ordering import with_position
 
 
-def event_name(category: Column) -> Column:
+def event_name(category: str) -> Column:
     renamed = {new: (old,) for old, new in rules.RENAMED_EVENTS.items()}
-    return tx.pick(category, renamed, F.upper(category))
+    return tx.pick(category, renamed, f"upper({category})")
 
 
-def event_family(evidence_type: Column) -> Column:
+def event_family(evidence_type: str) -> Column:
     groups: dict = {}
     for kind, family in rules.FAMILY_OF_TYPE.items():
         groups.setdefault(family, []).append(kind)
-    return tx.pick(evidence_type, groups, F.lit("generic"))
+    return tx.pick(evidence_type, groups, "'generic'")
 
 
-def event_severity(category: Column, own: Column) -> Column:
-    return tx.pick(
-        category, rules.SEVERITY_OF_CATEGORY, F.coalesce(tx.blank_to_null(own), F.lit("info"))
-    )
+def event_severity(category: str, own: str) -> Column:
+    return tx.pick(category, rules.SEVERITY_OF_CATEGORY, f"coalesce(nullif({own}, ''), 'info')")
 
 
-def event_cause(category: Column) -> Column:
+def event_cause(category: str) -> Column:
     return tx.pick(category, {cause: (cat,) for cat, cause in rules.CAUSE_OF_CATEGORY.items()})
 
 
-def workflow_stage(category: Column) -> Column:
-    return tx.pick(category, rules.STAGE_OF_CATEGORY, F.lit("trace_analysis"))
+def workflow_stage(category: str) -> Column:
+    return tx.pick(category, rules.STAGE_OF_CATEGORY, "'trace_analysis'")
 
 
-def network_domain(evidence_type: Column, category: Column) -> Column:
-    return (
-        F.when(evidence_type.isin(*rules.ROAMING_TYPES), F.lit("roaming"))
-        .when(category.isin(*rules.CONNECTIVITY_CATEGORIES), F.lit("connectivity"))
-        .otherwise(F.lit("unknown"))
-    )
+def network_domain(evidence_type: str, category: str) -> Column:
+    roaming = F.col(evidence_type).isin(*rules.ROAMING_TYPES)
+    connectivity = F.col(category).isin(*rules.CONNECTIVITY_CATEGORIES)
+    return F.when(roaming, "roaming").when(connectivity, "connectivity").otherwise("unknown")
 
 
-def direction(source_line: Column) -> Column:
-    lowered = F.lower(source_line)
-    return F.when(tx.contains_any(lowered, ("send", "-->")), F.lit("send")).when(
-        tx.contains_any(lowered, ("recv", "<--", "received")), F.lit("receive")
-    )
+def direction(line: str) -> Column:
+    sent = tx.contains_any(f"lower({line})", ("send", "-->"))
+    received = tx.contains_any(f"lower({line})", ("recv", "<--", "received"))
+    return F.expr(f"CASE WHEN {sent} THEN 'send' WHEN {received} THEN 'receive' END")
 
 
-def event_result(category: Column) -> Column:
+def event_result(category: str) -> Column:
     return tx.pick(category, rules.RESULT_OF_CATEGORY)
 
 
-def event_tags(evidence_type: Column, category: Column, layer: Column, severity: Column) -> Column:
+def event_tags(evidence_type: str, category: str, layer: str, severity: str) -> Column:
     """Sorted distinct labels; the severity is the evidence's own, before any override."""
-    labels = F.array(
-        evidence_type, category, F.lower(tx.blank_to_null(layer)), tx.blank_to_null(severity)
-    )
-    return F.array_sort(F.array_distinct(F.array_compact(labels)))
+    labels = f"array({evidence_type}, {category}, lower(nullif({layer}, '')), nullif({severity}, ''))"
+    return F.expr(f"array_sort(array_distinct(array_compact({labels})))")
 
 
-def recommendation(category: Column) -> Column:
+def recommendation(category: str) -> Column:
     return tx.pick(category, rules.RECOMMENDATION_OF_CATEGORY)
 
 
-def retry_recommended(category: Column) -> Column:
-    return category.isin(*rules.RETRYABLE_CATEGORIES)
+def retry_recommended(category: str) -> Column:
+    return F.col(category).isin(*rules.RETRYABLE_CATEGORIES)
 
 
-def event_message(name: Column, cause: Column, value: Column, operator: Column, country: Column) -> Column:
-    return F.concat(
-        name,
-        F.lit(" detected for operator="),
-        F.coalesce(operator, F.lit("unknown_operator")),
-        F.lit(", country="),
-        F.coalesce(country, F.lit("unknown_country")),
-        F.when(cause.isNotNull(), F.concat(F.lit(", cause="), cause)).otherwise(F.lit("")),
-        F.lit(", value="),
-        F.coalesce(tx.blank_to_null(value), F.lit("unknown")),
+def event_message(name: str, cause: str, value: str, operator: str, country: str) -> Column:
+    return F.expr(
+        f"concat({name}, ' detected for operator=', coalesce({operator}, 'unknown_operator'), "
+        f"', country=', coalesce({country}, 'unknown_country'), "
+        f"CASE WHEN {cause} IS NULL THEN '' ELSE concat(', cause=', {cause}) END, "
+        f"', value=', coalesce(nullif({value}, ''), 'unknown'))"
     )
 
 
@@ -100,7 +89,7 @@ def normalise(
     numbered = with_position(
         evidence, "testcase_id", "seq", "event_index", per_key=per_trace, block_rows=block_rows
     )
-    category, kind = F.col("category"), F.col("evidence_type")
+    category, kind = "category", "evidence_type"
     found = F.coalesce(F.col("extracted_values"), F.expr("cast(map() as map<string,string>)"))
     staged = (
         numbered.withColumn("extracted_values", found)
@@ -117,14 +106,12 @@ def normalise(
         "event_index",
         "timestamp",
         event_family(kind).alias("event_family"),
-        F.coalesce(tx.blank_to_null(F.col("protocol_layer")), F.lit("unknown")).alias("protocol_layer"),
+        F.expr("coalesce(nullif(protocol_layer, ''), 'unknown')").alias("protocol_layer"),
         "event_name",
-        event_severity(category, F.col("severity")).alias("severity"),
+        event_severity(category, "severity").alias("severity"),
         F.col("source_line").alias("raw_message"),
-        event_message(
-            F.col("event_name"), F.col("cause"), F.col("value"), F.col("operator"), F.col("country")
-        ).alias("normalized_message"),
-        direction(F.col("source_line")).alias("direction"),
+        event_message("event_name", "cause", "value", "operator", "country").alias("normalized_message"),
+        direction("source_line").alias("direction"),
         workflow_stage(category).alias("workflow_stage"),
         network_domain(kind, category).alias("network_domain"),
         "operator",
@@ -133,11 +120,11 @@ def normalise(
         "cause",
         "source_trace",
         "extracted_values",
-        event_tags(kind, category, F.col("protocol_layer"), F.col("severity")).alias("tags"),
+        event_tags(kind, category, "protocol_layer", "severity").alias("tags"),
         F.array("source_line").alias("evidences"),
         F.struct(
-            kind.alias("evidence_type"),
-            category.alias("evidence_category"),
+            kind,
+            F.col(category).alias("evidence_category"),
             F.col("value").alias("evidence_value"),
             "confidence",
             "metric_name",

@@ -37,11 +37,10 @@ def _true(col: Column) -> Column:
 
 
 def is_failure() -> Column:
-    name = F.lower(F.col("event_name"))
     return (
         _true(F.col("result") == "failed")
         | _true(F.col("event_family") == "failure")
-        | _true(tx.contains_any(name, ("fail", "reject")))
+        | _true(F.expr(tx.contains_any("lower(event_name)", ("fail", "reject"))))
     )
 
 
@@ -272,7 +271,7 @@ def raw_evidence(events: DataFrame, important_only: bool = True) -> DataFrame:
         return lines.withColumn("position", F.row_number().over(by_case)).filter(
             F.col("position") <= EVIDENCE_LINES
         )
-    lines = lines.withColumn("hit", tx.contains_any(F.lower("line"), IMPORTANT_TOKENS))
+    lines = lines.withColumn("hit", F.expr(tx.contains_any("lower(line)", IMPORTANT_TOKENS)))
     by_kind = Window.partitionBy("testcase_id", "hit").orderBy("seq")
     ranked = lines.withColumn("position", F.row_number().over(by_kind)).filter(
         F.col("position") <= EVIDENCE_LINES

@@ -13,6 +13,7 @@ from ..operators import chunking, events as ev, evidence as evd, health, investi
 from ..operators import prompts, retry, vectors as vec
 from ..operators.neighbours import nearest_chunks
 from ..operators.ordering import with_position
+from ..schemas import TRACE_COLUMNS
 from ..sources import artifacts, traces
 from . import fixtures as fx
 from .oracle import sql
@@ -119,7 +120,7 @@ _LABEL_WORDS = [
     for label, words in _LABEL_WORDS) + ") AS signals FROM rows", "rows"))
 def signal_tags(spark, d):
     return fx.trace_rows(spark, d).select(
-        "testcase_id", "seq", F.array_join(tx.signal_labels(F.col("Information")), ",").alias("signals")
+        "testcase_id", "seq", F.array_join(tx.signal_labels("Information"), ",").alias("signals")
     )
 
 
@@ -156,8 +157,7 @@ def assignment_value(spark, d):
 
 @_query(sql("SELECT testcase_id, seq, source_line FROM found", "found"))
 def source_line(spark, d):
-    columns = [F.col(c) for c in ("Timestamp", "CallId", "Ptc", "Event", "Type", "Information")]
-    return fx.trace_rows(spark, d).select("testcase_id", "seq", tx.joined_line(*columns).alias("source_line"))
+    return fx.trace_rows(spark, d).select("testcase_id", "seq", tx.joined_line(*TRACE_COLUMNS).alias("source_line"))
 
 
 @_query(sql("""SELECT testcase_id, seq, CASE WHEN stamp <> '<null>' THEN stamp END AS parsed FROM rows""", "rows"))
@@ -268,20 +268,20 @@ def event_normalize(spark, d):
 
 @_query(sql("SELECT testcase_id, seq, direction FROM ev", "ev"))
 def event_direction(spark, d):
-    return _evidence(spark, d).select("testcase_id", "seq", ev.direction(F.col("source_line")).alias("direction"))
+    return _evidence(spark, d).select("testcase_id", "seq", ev.direction("source_line").alias("direction"))
 
 
 @_query(sql("SELECT testcase_id, seq, unnest(string_split(tag_text, ',')) AS tag FROM ev", "ev"))
 def event_tags(spark, d):
-    tags = ev.event_tags(*[F.col(c) for c in ("evidence_type", "category", "protocol_layer", "severity")])
+    tags = ev.event_tags("evidence_type", "category", "protocol_layer", "severity")
     return _evidence(spark, d).select("testcase_id", "seq", F.explode(tags).alias("tag"))
 
 
 @_query(sql("SELECT testcase_id, seq, advice AS recommendation, again AS retry_recommended FROM ev", "ev"))
 def event_recommendation(spark, d):
     return _evidence(spark, d).select(
-        "testcase_id", "seq", ev.recommendation(F.col("category")).alias("recommendation"),
-        ev.retry_recommended(F.col("category")).alias("retry_recommended"),
+        "testcase_id", "seq", ev.recommendation("category").alias("recommendation"),
+        ev.retry_recommended("category").alias("retry_recommended"),
     )
 
 
@@ -568,7 +568,7 @@ def similarity_score(spark, d):
                 for label, words in _LABEL_WORDS) + ") AS s FROM rows) x", "rows"))
 def signal_query_text(spark, d):
     return fx.trace_rows(spark, d).select(
-        "testcase_id", "seq", vec.signal_query(tx.signal_labels(F.col("Information"))).alias("query_text")
+        "testcase_id", "seq", vec.signal_query(tx.signal_labels("Information")).alias("query_text")
     )
 
 
@@ -600,31 +600,31 @@ def search_by_text(spark, d):
 
 @_query(sql(f"SELECT chunk_id FROM ch WHERE has_failure OR has_high_severity OR has_retry_recommended", "ch"))
 def reportable_chunks(spark, d):
-    return retry.reportable(fx.chunks_of(spark, d)).select("chunk_id")
+    return retry.reportable(fx.staged_chunks_of(spark, d)).select("chunk_id")
 
 
 @_query(sql("""SELECT chunk_id FROM (SELECT * FROM ch WHERE has_failure OR has_high_severity OR has_retry_recommended
  ORDER BY testcase_id, chunk_index LIMIT 100) x""", "ch"))
 def reportable_chunks_limited(spark, d):
-    return retry.reportable(fx.chunks_of(spark, d), limit=100).select("chunk_id")
+    return retry.reportable(fx.staged_chunks_of(spark, d), limit=100).select("chunk_id")
 
 
 @_query(sql("SELECT chunk_id FROM ch WHERE NOT has_failure AND NOT has_high_severity", "ch"))
 def reportable_chunks_none_flagged(spark, d):
-    chunks = fx.chunks_of(spark, d).filter("not has_failure and not has_high_severity")
+    chunks = fx.staged_chunks_of(spark, d).filter("not has_failure and not has_high_severity")
     return retry.reportable(chunks).select("chunk_id")
 
 
 @_query(sql("SELECT chunk_id, match_count AS historical_match_count, round(mean_distance, 6) AS mean_distance FROM feat", "feat"))
 def retry_features(spark, d):
-    chunks = fx.chunks_of(spark, d)
+    chunks = fx.staged_chunks_of(spark, d)
     return retry.retry_features(chunks, fx.following_chunks(chunks)).select(
         "chunk_id", "historical_match_count", F.round("mean_distance", 6).alias("mean_distance")
     )
 
 
 def _reports(spark, d):
-    chunks = fx.chunks_of(spark, d)
+    chunks = fx.staged_chunks_of(spark, d)
     return chunks, retry.retry_reports(chunks, fx.following_chunks(chunks))
 
 
@@ -658,19 +658,19 @@ _SCORE = "SELECT score AS campaign_health_score, status AS campaign_status FROM
 
 @_query(sql(_SCORE, "hs"))
 def health_score(spark, d):
-    return health.scored(fx.chunks_of(spark, d)).select("campaign_health_score", "campaign_status")
+    return health.scored(fx.staged_chunks_of(spark, d)).select("campaign_health_score", "campaign_status")
 
 
 @_query(sql(_SCORE + "p", "hsp"))
 def health_score_promoted(spark, d):
-    return health.scored(fx.chunks_of(spark, d, True)).select("campaign_health_score", "campaign_status")
+    return health.scored(fx.staged_chunks_of(spark, d, True)).select("campaign_health_score", "campaign_status")
 
 
 @_query(sql("""SELECT campaign_name, count(*) AS total_chunks, count(DISTINCT testcase_id) AS unique_testcase_count,
  count(*) FILTER (WHERE has_failure) AS failure_chunk_count FROM (SELECT *,
  CASE WHEN testcase_id LIKE '350%' THEN 'GSMA_IR38' ELSE 'DEFAULT' END AS campaign_name FROM ch) x GROUP BY 1""", "ch"))
 def health_by_campaign(spark, d):
-    chunks = fx.chunks_of(spark, d).withColumn("campaign_name", names.campaign_name(F.col("testcase_id")))
+    chunks = fx.staged_chunks_of(spark, d).withColumn("campaign_name", names.campaign_name(F.col("testcase_id")))
     return health.scored(chunks, by="campaign_name").select(
         "campaign_name", "total_chunks", "unique_testcase_count", "failure_chunk_count"
     )
@@ -685,7 +685,7 @@ def health_topk(spark, d):
 
 @_query(sql("SELECT value, n FROM hc WHERE dim = 'severities'", "hc"))
 def severity_distribution(spark, d):
-    report = health.campaign_health(fx.chunks_of(spark, d))
+    report = health.campaign_health(fx.staged_chunks_of(spark, d))
     return report.select(F.explode("severity_distribution").alias("value", "n"))
 
 
@@ -709,7 +709,7 @@ _CLUSTER = """CASE WHEN n_plmn > 0 OR n_reject > 0 THEN 'Roaming registration re
 
 @_query(sql(f"SELECT {_CLUSTER} AS main_issue_cluster FROM hs", "hs"))
 def issue_cluster(spark, d):
-    return health.scored(fx.chunks_of(spark, d)).select("main_issue_cluster")
+    return health.scored(fx.staged_chunks_of(spark, d)).select("main_issue_cluster")
 
 
 _ACTION = """CASE WHEN status = 'CRITICAL' THEN 'Stop automated retries and escalate for manual telecom investigation.'
@@ -752,21 +752,21 @@ FROM pay JOIN {lines} n ON n.query_chunk_id = pay.chunk_id""", "pay", lines)
 
 @_query(_prompt_sql("summary", "nls", 1500))
 def summary_prompt(spark, d):
-    chunks = fx.chunks_of(spark, d)
+    chunks = fx.staged_chunks_of(spark, d)
     made = prompts.summary_prompts(chunks, fx.following_chunks(chunks), max_chars=1500)
     return made.select("chunk_id", "similar_incident_count", F.md5("prompt").alias("prompt_md5"))
 
 
 @_query(_prompt_sql("root_cause", "nlr", 14000))
 def rca_prompt(spark, d):
-    chunks = fx.chunks_of(spark, d)
+    chunks = fx.staged_chunks_of(spark, d)
     made = prompts.root_cause_prompts(chunks, fx.following_chunks(chunks))
     return made.select("chunk_id", "similar_incident_count", F.md5("prompt").alias("prompt_md5"))
 
 
 @_query(sql("SELECT query_chunk_id AS chunk_id, lines AS neighbour_text, n AS similar_incident_count FROM nls", "nls"))
 def neighbour_context(spark, d):
-    return prompts.neighbour_context(fx.following_chunks(fx.chunks_of(spark, d)))
+    return prompts.neighbour_context(fx.following_chunks(fx.staged_chunks_of(spark, d)))
 
 
 @_query("""SELECT doc_id, md5(CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || chr(10) || '...[truncated]'
@@ -779,7 +779,7 @@ def safe_text(spark, d):
 @_query(sql("""SELECT chunk_id, 'seen ' || event_names AS summary, event_names, n.n AS similar_incident_count
 FROM ch JOIN nls n ON n.query_chunk_id = ch.chunk_id WHERE chunk_index % 2 = 0""", "ch", "nls"))
 def answered_prompts(spark, d):
-    chunks = fx.chunks_of(spark, d)
+    chunks = fx.staged_chunks_of(spark, d)
     asked = prompts.summary_prompts(chunks, fx.following_chunks(chunks))
     answers = chunks.filter("chunk_index % 2 = 0").select(
         "chunk_id", F.concat(F.lit("  seen "), F.array_join("event_names", ","), F.lit("\n")).alias("answer")
@@ -861,7 +861,7 @@ _HEAD = "testcase_id, operator, country, main_failure, main_cause, failures, ret
 
 @_query(sql(f"SELECT {_HEAD} FROM head", "head"))
 def investigation_header(spark, d):
-    header = inv.investigation_header(fx.events_of(spark, d), fx.chunks_of(spark, d))
+    header = inv.investigation_header(fx.events_of(spark, d), fx.staged_chunks_of(spark, d))
     return header.select(*_HEAD.split(", "))
 
 
@@ -927,7 +927,7 @@ _DEFAULT = """CASE WHEN named_timeout THEN 'Check timeout thresholds, network st
 
 @_query(sql(f"SELECT testcase_id, {_DEFAULT} AS advice FROM head", "head"))
 def default_recommendation(spark, d):
-    header = inv.investigation_header(fx.events_of(spark, d), fx.chunks_of(spark, d))
+    header = inv.investigation_header(fx.events_of(spark, d), fx.staged_chunks_of(spark, d))
     return header.select("testcase_id", inv.default_recommendation().alias("advice"))
 
 
@@ -939,4 +939,4 @@ def default_recommendation(spark, d):
  WHEN failures > 0 THEN 'Failure signals detected, but exact cause is not extracted yet. Inspect raw trace around failed events.'
  ELSE 'No clear failure cause detected yet.' END AS likely_cause, {_DEFAULT} AS action FROM head""", "head"))
 def diagnosis_text(spark, d):
-    return inv.diagnosis(inv.investigation_header(fx.events_of(spark, d), fx.chunks_of(spark, d)))
+    return inv.diagnosis(inv.investigation_header(fx.events_of(spark, d), fx.staged_chunks_of(spark, d)))

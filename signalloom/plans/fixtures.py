@@ -12,18 +12,16 @@ from ..operators.chunking import build_chunks
 from ..operators.events import normalise
 from ..operators.evidence import classify, trace_values
 from ..operators.vectors import flat_metadata
+from ..session import staged
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _choice(selector: Column, lines: list) -> Column:
-    cases = None
-    for i, line in enumerate(lines):
-        line = line if isinstance(line, Column) else F.lit(line)
-        cases = F.when(selector == i, line) if cases is None else cases.when(selector == i, line)
-    return cases
+def _choice(selector: str, lines: list[str]) -> str:
+    """SQL CASE over the values 0, 1, … of a selector; each line is a SQL expression."""
+    return f"CASE {selector} " + " ".join(f"WHEN {i} THEN {line}" for i, line in enumerate(lines)) + " END"
 
 
 def testcase_of(user: Column) -> Column:
@@ -32,45 +30,36 @@ def testcase_of(user: Column) -> Column:
 
 def trace_rows(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` as trace rows.  Ids rise with time, so ``seq`` is the event id."""
-    events = table(spark, folder, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
-    user = F.col("user_id")
-    line = (
-        F.when(
-            F.col("event_type") == "error",
-            _choice(
-                k % 8,
-                [
-                    "recv MM reject: PLMN not allowed",
-                    "LocationUpdate failed; Error = 11",
-                    "recv MM Location updating reject",
-                    "Registration denied",
-                    "received RegistrationState NASNotRegistered",
-                    "PSAttachState Detached",
-                    "TSP_LupErrorVerdict = 'FAIL'",
-                    "call rejected = 'busy'",
-                ],
-            ),
-        )
-        .when(
-            F.col("event_type") == "signup",
-            _choice(
-                k % 3,
-                ["send MM Location updating request", "RegistrationState NASRegistered", "PSAttachState Attached"],
-            ),
-        )
-        .when(F.col("event_type") == "purchase", _choice(k % 2, ["T3210 timeout", "SIP retry"]))
-        .when(
-            F.col("event_type") == "view",
-            _choice(
-                k % 2,
-                [
-                    F.concat(F.lit("PTC_A.Plmn = 'op"), (user % 7).cast("string"), F.lit("';")),
-                    F.concat(F.lit("PTC_A.Country = 'c"), (user % 5).cast("string"), F.lit("';")),
-                ],
-            ),
-        )
-        .otherwise(F.lit("idle tick"))
+    events = table(spark, folder, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    k, user = F.col("k"), F.col("user_id")
+    error = _choice(
+        "k % 8",
+        [
+            "'recv MM reject: PLMN not allowed'",
+            "'LocationUpdate failed; Error = 11'",
+            "'recv MM Location updating reject'",
+            "'Registration denied'",
+            "'received RegistrationState NASNotRegistered'",
+            "'PSAttachState Detached'",
+            r"'TSP_LupErrorVerdict = \'FAIL\''",
+            r"'call rejected = \'busy\''",
+        ],
+    )
+    signup = _choice(
+        "k % 3",
+        ["'send MM Location updating request'", "'RegistrationState NASRegistered'", "'PSAttachState Attached'"],
+    )
+    purchase = _choice("k % 2", ["'T3210 timeout'", "'SIP retry'"])
+    view = _choice(
+        "k % 2",
+        [
+            r"concat('PTC_A.Plmn = \'op', user_id % 7, '\';')",
+            r"concat('PTC_A.Country = \'c', user_id % 5, '\';')",
+        ],
+    )
+    line = F.expr(
+        f"CASE event_type WHEN 'error' THEN {error} WHEN 'signup' THEN {signup} "
+        f"WHEN 'purchase' THEN {purchase} WHEN 'view' THEN {view} ELSE 'idle tick' END"
     )
     stamp = F.when(F.col("event_id") % 97 == 0, F.lit("<null>")).otherwise(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
@@ -92,44 +81,42 @@ def clock_rows(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` as rows that carry epoch clocks in the accepted spellings."""
     events = table(spark, folder, "events")
     ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("string")
+    events = events.withColumn("ms", ms)
     line = _choice(
-        F.col("event_id") % 4,
+        "event_id % 4",
         [
-            F.concat(F.lit("PTC_A.StartTime; DATETIME("), ms, F.lit(")")),
-            F.concat(F.lit("PTC_A.StartTime: DATETIME = "), ms),
-            F.concat(F.lit("PTC_A.EndTime; at "), ms, F.lit(" ms")),
-            "PTC_A.StartTime; not set",
+            "concat('PTC_A.StartTime; DATETIME(', ms, ')')",
+            "concat('PTC_A.StartTime: DATETIME = ', ms)",
+            "concat('PTC_A.EndTime; at ', ms, ' ms')",
+            "'PTC_A.StartTime; not set'",
         ],
     )
-    shift = _choice(F.col("event_id") % 5, ["+02:30", "-01:15", "3", "0", "x:10"])
-    fmt = _choice(F.col("event_id") % 6, ["hour", "min", "sec", "date", "h:m:s", "other"])
+    shift = _choice("event_id % 5", ["'+02:30'", "'-01:15'", "'3'", "'0'", "'x:10'"])
+    fmt = _choice("event_id % 6", ["'hour'", "'min'", "'sec'", "'date'", "'h:m:s'", "'other'"])
     return events.select(
         testcase_of(F.col("user_id")).alias("testcase_id"),
         F.col("event_id").alias("seq"),
-        line.alias("Information"),
-        shift.alias("shift"),
-        fmt.alias("fmt"),
+        F.expr(line).alias("Information"),
+        F.expr(shift).alias("shift"),
+        F.expr(fmt).alias("fmt"),
     )
 
 
 def file_names(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` as a listing of trace, result and report files (several per testcase)."""
-    user = F.lpad(F.col("user_id").cast("string"), 6, "0")
-    prefix = F.when(F.col("user_id") % 2 == 0, F.lit("350")).otherwise(F.lit("360"))
-    number = F.concat(prefix, user)
-    eid = F.col("event_id").cast("string")
     name = _choice(
-        F.col("event_id") % 6,
+        "event_id % 6",
         [
-            F.concat(F.lit("trace_"), number, F.lit("_"), eid, F.lit(".csv")),
-            F.concat(F.lit("Result-"), number, F.lit("_"), eid, F.lit(".zip")),
-            F.concat(F.lit("kpi_"), number, F.lit("_v"), eid, F.lit(".xlsx")),
-            F.concat(F.lit("TRACE-"), number, F.lit(".csv")),
-            F.concat(F.lit("x"), number, F.lit("y"), eid, F.lit(".zip")),
-            F.concat(F.lit("notes_"), eid, F.lit(".csv")),
+            "concat('trace_', number, '_', event_id, '.csv')",
+            "concat('Result-', number, '_', event_id, '.zip')",
+            "concat('kpi_', number, '_v', event_id, '.xlsx')",
+            "concat('TRACE-', number, '.csv')",
+            "concat('x', number, 'y', event_id, '.zip')",
+            "concat('notes_', event_id, '.csv')",
         ],
     )
-    return table(spark, folder, "events").select("event_id", name.alias("file_name"))
+    numbered = table(spark, folder, "events").withColumn("number", testcase_of(F.col("user_id")))
+    return numbered.select("event_id", F.expr(name).alias("file_name"))
 
 
 def events_of(spark: SparkSession, folder: str, promote_metadata: bool = False) -> DataFrame:
@@ -140,7 +127,12 @@ def events_of(spark: SparkSession, folder: str, promote_metadata: bool = False)
 
 def chunks_of(spark: SparkSession, folder: str, promote_metadata: bool = False) -> DataFrame:
     """Chunks of the events, 2000 characters with 200 overlap."""
-    return build_chunks(events_of(spark, folder, promote_metadata), 2000, 200)
+    return build_chunks(staged(events_of(spark, folder, promote_metadata)), 2000, 200)
+
+
+def staged_chunks_of(spark: SparkSession, folder: str, promote_metadata: bool = False) -> DataFrame:
+    """The chunks as a written table, for queries that read them more than once."""
+    return staged(chunks_of(spark, folder, promote_metadata))
 
 
 def lines_of(spark: SparkSession, folder: str) -> DataFrame:

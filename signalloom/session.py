@@ -1,8 +1,9 @@
-"""Session defaults and lineage cuts."""
+"""Session defaults and stage tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +28,19 @@ def build_session(app: str = "signalloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names in ``spark.checkpoint.dir``.
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet and read back.
 
-    A folder of our own is used only when the session names none (tests, laptops).
+    Cuts the lineage of a result that is read several times, keeps column pruning and
+    filter pushdown for its readers, and survives the loss of executors.  The table goes
+    to the shared folder the session names in ``spark.checkpoint.dir``; a folder of our
+    own is used only when the session names none (tests, laptops).
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="signalloom-ckpt-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="signalloom-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

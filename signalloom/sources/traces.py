@@ -138,6 +138,6 @@ def explode_lines(df: DataFrame, text: str = "text") -> DataFrame:
         lines.filter(F.col("raw") != "")
         .withColumn("line_number", F.col("_i") + 1)
         .withColumn("event_name", F.coalesce(F.get(F.split("raw", ";"), F.lit(4)), F.lit("unknown")))
-        .withColumn("signals", tx.signal_labels(F.col("raw")))
+        .withColumn("signals", tx.signal_labels("raw"))
         .drop("_i", "_line")
     )
