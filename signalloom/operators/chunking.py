@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions.packing import Block, chain
+from ..functions.batches import sorted_groups
 from ..session import BLOCK_ROWS, staged
 
 _EXITS = (
@@ -127,52 +128,54 @@ def chunk_bounds(
         rows.select("testcase_id", "event_index", "length", "last_block", F.explode(spread).alias("block"))
     )
 
-    def held(pdf: pd.DataFrame) -> Block:
-        pdf = pdf.sort_values("event_index", kind="stable")
-        block, last = int(pdf["block"].iloc[0]), int(pdf["last_block"].iloc[0])
-        index = pdf["event_index"].to_numpy()
+    def held(group: dict[str, np.ndarray]) -> Block:
+        block, last, index = group["block"][0], group["last_block"][0], group["event_index"]
         lookback = int(np.searchsorted(index, block * block_rows, side="right")) if block else 0
-        lengths = pdf["length"].to_numpy(dtype=np.int64)
-        return Block(int(index[0]), lengths, lookback, chunk_size, chunk_overlap, block == last)
+        return Block(int(index[0]), group["length"], lookback, chunk_size, chunk_overlap, block == last)
 
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        runs = held(pdf).exits()
-        names = ["reach_low", "reach_high", "reach_out", "chunk_count", "carry_from", "carry_to"]
-        out = pd.DataFrame(runs, columns=names)
-        out.insert(0, "block", int(pdf["block"].iloc[0]))
-        out.insert(0, "testcase_id", pdf["testcase_id"].iloc[0])
-        return out
+    runs_of = ["reach_low", "reach_high", "reach_out", "chunk_count", "carry_from", "carry_to"]
+
+    def exits(batches):
+        for group in sorted_groups(batches, ["testcase_id", "block"]):
+            out = pd.DataFrame(held(group).exits(), columns=runs_of)
+            out.insert(0, "block", group["block"][0])
+            out.insert(0, "testcase_id", group["testcase_id"][0])
+            yield out
 
     def entries(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
-        names = ["reach_low", "reach_high", "reach_out", "chunk_count", "carry_from", "carry_to"]
-        blocks = [list(g[names].itertuples(index=False, name=None)) for _, g in pdf.groupby("block")]
+        blocks = [list(g[runs_of].itertuples(index=False, name=None)) for _, g in pdf.groupby("block")]
         found = pd.DataFrame(chain(blocks), columns=["reach", "carried", "chunks_before"])
         found.insert(0, "block", np.arange(1, len(blocks) + 1))
         found.insert(0, "testcase_id", pdf["testcase_id"].iloc[0])
         return found
 
-    def bounds(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = held(pdf)
-        reach, carried, before = (int(pdf[c].iloc[0]) for c in ("reach", "carried", "chunks_before"))
-        found = list(block.chunks(reach, carried))
-        out = pd.DataFrame(found, columns=["line_start", "line_end", "event_start"])
-        out["event_end"] = out["line_end"]
-        out.insert(0, "chunk_index", np.arange(before, before + len(found)))
-        out.insert(0, "testcase_id", pdf["testcase_id"].iloc[0])
-        return out
+    def bounds(batches):
+        names = ["testcase_id", "chunk_index", "line_start", "line_end", "event_start", "event_end"]
+        rows = []
+        for group in sorted_groups(batches, ["testcase_id", "block"]):
+            case, number = group["testcase_id"][0], int(group["chunks_before"][0])
+            for start, end, first in held(group).chunks(int(group["reach"][0]), int(group["carried"][0])):
+                rows.append((case, number, start, end, first, end))
+                number += 1
+            if len(rows) >= 10_000:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    def by_block(df: DataFrame) -> DataFrame:
+        """Each block in one task, its rows in order."""
+        return df.repartition("testcase_id", "block").sortWithinPartitions("testcase_id", "block", "event_index")
 
     long_traces = rows.filter((F.col("last_block") > 0) & (F.col("block") < F.col("last_block")))
     starts = (
-        long_traces.groupBy("testcase_id", "block")
-        .applyInPandas(exits, _EXITS)
-        .groupBy("testcase_id")
-        .applyInPandas(entries, _ENTRIES)
+        by_block(long_traces).mapInPandas(exits, _EXITS).groupBy("testcase_id").applyInPandas(entries, _ENTRIES)
     )
     placed = rows.join(starts, ["testcase_id", "block"], "left").fillna(
         0, ["reach", "carried", "chunks_before"]
     )
-    return placed.groupBy("testcase_id", "block").applyInPandas(bounds, _BOUNDS)
+    return by_block(placed).mapInPandas(bounds, _BOUNDS)
 
 
 def chunk_members(bounds: DataFrame) -> DataFrame:

@@ -89,21 +89,28 @@ def normalise(
     numbered = with_position(
         evidence, "testcase_id", "seq", "event_index", per_key=per_trace, block_rows=block_rows
     )
+    event_id = F.format_string("%s-%04d", F.col("testcase_id"), F.col("event_index"))
+    events = event_columns(numbered, event_id)
+    return promote(events) if promote_metadata else events
+
+
+def event_columns(evidence: DataFrame, event_id: Column) -> DataFrame:
+    """Events from evidence that carries ``extracted_values``; a projection, no shuffle."""
     category, kind = "category", "evidence_type"
     found = F.coalesce(F.col("extracted_values"), F.expr("cast(map() as map<string,string>)"))
     staged = (
-        numbered.withColumn("extracted_values", found)
+        evidence.withColumn("extracted_values", found)
         .withColumn("operator", F.try_element_at(F.col("extracted_values"), F.lit("operator")))
         .withColumn("country", F.try_element_at(F.col("extracted_values"), F.lit("country")))
         .withColumn("event_name", event_name(category))
         .withColumn("cause", event_cause(category))
     )
     advice, again = recommendation(category), retry_recommended(category)
-    events = staged.select(
+    return staged.select(
         "testcase_id",
-        F.format_string("%s-%04d", F.col("testcase_id"), F.col("event_index")).alias("event_id"),
+        event_id.alias("event_id"),
         "seq",
-        "event_index",
+        *(["event_index"] if "event_index" in evidence.columns else []),
         "timestamp",
         event_family(kind).alias("event_family"),
         F.expr("coalesce(nullif(protocol_layer, ''), 'unknown')").alias("protocol_layer"),
@@ -135,7 +142,6 @@ def normalise(
             again.alias("retry_recommended"),
         ).alias("metadata"),
     )
-    return promote(events) if promote_metadata else events
 
 
 def promote(events: DataFrame) -> DataFrame:

@@ -14,7 +14,9 @@ from ..operators import prompts, retry, vectors as vec
 from ..operators.neighbours import nearest_chunks
 from ..operators.ordering import with_position
 from ..schemas import TRACE_COLUMNS
-from ..sources import artifacts, traces
+from ..session import stage_folder
+from ..sources import artifacts, stages, traces
+from ..streaming import live
 from . import fixtures as fx
 from .oracle import sql
 
@@ -940,3 +942,89 @@ def default_recommendation(spark, d):
  ELSE 'No clear failure cause detected yet.' END AS likely_cause, {_DEFAULT} AS action FROM head""", "head"))
 def diagnosis_text(spark, d):
     return inv.diagnosis(inv.investigation_header(fx.events_of(spark, d), fx.staged_chunks_of(spark, d)))
+
+
+# --- streams -----------------------------------------------------------------------------
+
+
+def _live_rows(spark, d):
+    """The trace rows of ``events``, read as a stream."""
+    schema = fx.table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return fx.as_trace_rows(stream)
+
+
+@_query(sql("SELECT testcase_id || '@' || CAST(seq AS VARCHAR) AS event_id, event_name, severity, cause FROM ev", "ev"))
+def stream_events(spark, d):
+    found = live.drain(live.stream_events(_live_rows(spark, d)), stage_folder(spark))
+    return found.select("event_id", "event_name", "severity", "cause")
+
+
+@_query(sql("""SELECT strftime(time_bucket(INTERVAL '1 hour', CAST(ts_text AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS window_start,
+ coalesce(operator, 'unknown') AS operator, count(*) AS events, count(*) FILTER (WHERE timing_out) AS timeouts,
+ count(*) FILTER (WHERE failing) AS failures FROM fail_ev WHERE ts_text IS NOT NULL GROUP BY 1, 2""", "fail_ev"))
+def storm_counts(spark, d):
+    counts = live.storm_counts(fx.events_of(spark, d), "1 hour")
+    start = F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")
+    return counts.select(start.alias("window_start"), "operator", "events", "timeouts", "failures")
+
+
+@_query()
+def stream_storm_counts(spark, d):
+    values = evd.trace_values(fx.trace_rows(spark, d))
+    counts = live.storm_counts(live.stream_events(_live_rows(spark, d), values), "1 hour", "30 minutes")
+    return live.drain(counts, stage_folder(spark))
+
+
+@_query(sql("""SELECT testcase_id, strftime(min(t), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS events FROM (
+ SELECT *, sum(fresh) OVER (PARTITION BY testcase_id ORDER BY t, seq) AS part FROM (
+ SELECT *, CASE WHEN t < lag(t) OVER (PARTITION BY testcase_id ORDER BY t, seq) + INTERVAL '12 hours' THEN 0 ELSE 1 END AS fresh
+ FROM (SELECT testcase_id, seq, CAST(ts_text AS TIMESTAMP) AS t FROM ev WHERE ts_text IS NOT NULL) a) b) c
+GROUP BY testcase_id, part""", "ev"))
+def activity_sessions(spark, d):
+    sessions = live.activity_sessions(fx.events_of(spark, d), "12 hours")
+    start = F.date_format("session_start", "yyyy-MM-dd HH:mm:ss")
+    return sessions.select("testcase_id", start.alias("session_start"), "events")
+
+
+@_query(sql("SELECT event_id FROM ev WHERE ts_text IS NOT NULL", "ev"))
+def unique_events(spark, d):
+    events = fx.events_of(spark, d)
+    return live.unique_events(events.unionByName(events)).select("event_id")
+
+
+# --- stage files -------------------------------------------------------------------------
+
+
+@_query(sql("SELECT testcase_id, count(*) AS evidence FROM found WHERE category IS NOT NULL GROUP BY 1", "found"))
+def trace_csv_scan(spark, d):
+    folder = stage_folder(spark)
+    rows = fx.trace_rows(spark, d)
+    header = rows.select("testcase_id", *TRACE_COLUMNS)
+    (
+        header.withColumn("case", F.col("testcase_id")).drop("testcase_id")
+        .repartition("case").write.partitionBy("case").option("header", True).option("sep", ";")
+        .option("escape", '"').csv(folder)
+    )
+    read = traces.read_traces(spark, folder + "/case=*")
+    case = F.regexp_extract("source_trace", r"case=(\d{9})", 1)
+    return evd.classify(read.withColumn("testcase_id", case)).groupBy("testcase_id").agg(
+        F.count(F.lit(1)).alias("evidence")
+    )
+
+
+@_query(sql("SELECT event_id, event_name, severity, tag_text FROM ev", "ev"))
+def event_files(spark, d):
+    folder = stage_folder(spark)
+    events = fx.events_of(spark, d)
+    stages.export_json(events, folder)
+    return stages.read_json(spark, folder, events.schema).select(
+        "event_id", "event_name", "severity", _joined("tags").alias("tag_text")
+    )
+
+
+@_query(sql("SELECT chunk_id, event_names, has_failure FROM ch", "ch"))
+def chunk_files(spark, d):
+    folder = stage_folder(spark)
+    stages.write_stage(fx.chunks_of(spark, d), folder)
+    return stages.read_stage(spark, folder).select("chunk_id", _joined("event_names"), "has_failure")

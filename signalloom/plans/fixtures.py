@@ -30,7 +30,12 @@ def testcase_of(user: Column) -> Column:
 
 def trace_rows(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` as trace rows.  Ids rise with time, so ``seq`` is the event id."""
-    events = table(spark, folder, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return as_trace_rows(table(spark, folder, "events"))
+
+
+def as_trace_rows(events: DataFrame) -> DataFrame:
+    """An ``events`` table, stored or streamed, as trace rows."""
+    events = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     k, user = F.col("k"), F.col("user_id")
     error = _choice(
         "k % 8",

@@ -28,19 +28,24 @@ def build_session(app: str = "signalloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet and read back.
+def stage_folder(spark: SparkSession) -> str:
+    """A new folder for one table, in the shared folder of ``spark.checkpoint.dir``.
 
-    Cuts the lineage of a result that is read several times, keeps column pruning and
-    filter pushdown for its readers, and survives the loss of executors.  The table goes
-    to the shared folder the session names in ``spark.checkpoint.dir``; a folder of our
-    own is used only when the session names none (tests, laptops).
+    A folder of our own is used only when the session names none (tests, laptops).
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="signalloom-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/stage-{uuid.uuid4().hex}"
+    return f"{folder}/stage-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet and read back.
+
+    Cuts the lineage of a result that is read several times, keeps column pruning and
+    filter pushdown for its readers, and survives the loss of executors.
+    """
+    path = stage_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

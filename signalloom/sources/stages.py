@@ -26,6 +26,11 @@ def read_stage(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
+def read_json(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
+    """JSON lines as ``export_json`` writes them."""
+    return spark.read.schema(schema).json(path)
+
+
 def read_event_files(spark: SparkSession, path) -> DataFrame:
     """Per-testcase JSON arrays of events.
 
