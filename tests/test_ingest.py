@@ -90,9 +90,9 @@ def test_every_rule_and_its_priority(spark):
 def test_base_values_take_the_first_assignment_in_row_order(spark):
     rows = rows_of(spark, ["PTC_A.Plmn", "PTC_A.Plmn = 'one';x", "PTC_A.Country = \"sa\"", "PTC_A.Plmn = two",
                            "PTC_A.Imsi=PTC_A.Msisdn"])
-    values = evd.base_values(rows).first()["extracted_values"]
-    assert list(values.items()) == [("operator", "one"), ("country", "sa"), ("imsi", "PTC_A.Msisdn"),
-                                    ("msisdn", "PTC_A.Msisdn")]
+    values = evd.base_values(rows).select(F.explode("extracted_values")).collect()
+    assert [tuple(r) for r in values] == [("operator", "one"), ("country", "sa"), ("imsi", "PTC_A.Msisdn"),
+                                          ("msisdn", "PTC_A.Msisdn")]
 
 
 def test_mapping_overrides_extends_and_reports_errors(spark):
