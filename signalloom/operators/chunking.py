@@ -99,9 +99,10 @@ def chunk_bounds(
 
     ``lines`` holds ``testcase_id``, ``event_index`` (1-based, gap-free per trace) and
     ``length``.  Only these narrow rows reach Python.  A trace longer than ``block_rows``
-    is packed by several tasks (see ``functions.packing``).
+    is packed by several tasks (see ``functions.packing``).  ``lines`` is read twice, so it
+    should come from a stored table.
     """
-    block_of = F.floor((F.col("event_index") - 1) / F.lit(block_rows))
+    block_of = F.expr(f"(event_index - 1) div {block_rows}")
     rows = lines.select("testcase_id", "event_index", "length", block_of.alias("block"))
     whole = Window.partitionBy("testcase_id")
     blocks = rows.select("testcase_id", "block").distinct().withColumn(

@@ -110,7 +110,7 @@ def global_kpis(events: DataFrame, summaries: DataFrame | None = None) -> DataFr
     )
     if summaries is None:
         return kpis.withColumn("summaries", F.lit(0).cast("long"))
-    return kpis.crossJoin(F.broadcast(summaries.agg(F.count(F.lit(1)).alias("summaries"))))
+    return kpis.withColumn("summaries", summaries.agg(F.count(F.lit(1))).scalar())
 
 
 def _first(value: Column, order: str, when: Column | None = None) -> Column:

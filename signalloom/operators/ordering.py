@@ -27,8 +27,7 @@ def with_position(
     row per key) is left-joined through the block totals, which keeps that join
     free of skew as well.
     """
-    blocks_of = F.floor(F.col(order) / F.lit(block_rows))
-    rows = df.withColumn("_block", blocks_of)
+    rows = df.withColumn("_block", F.expr(f"`{order}` div {block_rows}"))
     by_key = Window.partitionBy(key).orderBy("_block")
     totals = (
         rows.groupBy(key, "_block")
@@ -40,7 +39,7 @@ def with_position(
     within = Window.partitionBy(key, "_block").orderBy(order)
     return (
         rows.withColumn("_local", F.row_number().over(within))
-        .join(totals, [key, "_block"])
+        .join(totals, [key, "_block"], "left")
         .withColumn(name, F.col("_before") + F.col("_local"))
         .drop("_block", "_local", "_before")
     )

@@ -34,13 +34,13 @@ OUTCOMES = {
 def reportable(chunks: DataFrame, limit: int | None = None) -> DataFrame:
     """Chunks with a failure, high severity or retry flag; every chunk when none has one.
 
-    The "none has one" test is a one-row aggregate joined to each task, not a driver
-    count.  ``limit`` keeps the first chunks in trace order.
+    The "none has one" test is a scalar subquery of the same plan, not a driver count.
+    ``limit`` keeps the first chunks in trace order.
     """
     flags = [F.coalesce(F.col(c), F.lit(False)) for c in ("has_failure", "has_high_severity", "has_retry_recommended")]
     flagged = flags[0] | flags[1] | flags[2]
-    some = chunks.agg(F.coalesce(F.bool_or(flagged), F.lit(False)).alias("_some"))
-    kept = chunks.crossJoin(F.broadcast(some)).filter(flagged | ~F.col("_some")).drop("_some")
+    some = chunks.agg(F.coalesce(F.bool_or(flagged), F.lit(False))).scalar()
+    kept = chunks.filter(flagged | ~some)
     return kept.orderBy("testcase_id", "chunk_index").limit(limit) if limit else kept
 
 

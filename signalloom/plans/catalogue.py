@@ -14,7 +14,7 @@ from ..operators import prompts, retry, vectors as vec
 from ..operators.neighbours import nearest_chunks
 from ..operators.ordering import with_position
 from ..schemas import TRACE_COLUMNS
-from ..session import stage_folder
+from ..session import stage_folder, staged
 from ..sources import artifacts, stages, traces
 from ..streaming import live
 from . import fixtures as fx
@@ -340,7 +340,7 @@ def chunk_bounds_no_overlap(spark, d):
 
 @_query(sql(f"SELECT {_BOUNDS} FROM b", "b"))
 def chunk_bounds_events(spark, d):
-    events = fx.events_of(spark, d)
+    events = staged(fx.events_of(spark, d))
     lines = events.select("testcase_id", "event_index", F.length(chunking.event_text(events)).alias("length"))
     return chunking.chunk_bounds(lines, 2000, 200)
 
@@ -418,7 +418,7 @@ def _sources(events: DataFrame) -> DataFrame:
  ELSE 'trace_' || testcase_id || '_0.csv' END AS source_trace, '/r/' || testcase_id AS source_result,
  CAST(NULL AS VARCHAR) AS source_report FROM ch""", "ch"))
 def chunk_lineage(spark, d):
-    events = fx.events_of(spark, d)
+    events = staged(fx.events_of(spark, d))
     chunks = chunking.build_chunks(events, 2000, 200, sources=_sources(events))
     return chunks.select("chunk_id", "source_trace", "source_result", "source_report")
 
@@ -504,7 +504,8 @@ def vector_count(spark, d):
 def attach_embeddings(spark, d):
     vectors = fx.vectors_of(spark, d)
     attached, missing = vec.attach_embeddings(vectors.select("chunk_id", "label"), vectors.filter("chunk_id % 4 <> 0"))
-    return attached.agg(F.count(F.lit(1)).alias("attached")).crossJoin(missing.agg(F.count(F.lit(1)).alias("missing")))
+    lost = missing.agg(F.count(F.lit(1))).scalar()
+    return attached.agg(F.count(F.lit(1)).alias("attached")).withColumn("missing", lost)
 
 
 def _first_vector(spark, d) -> list[float]:

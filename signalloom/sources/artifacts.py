@@ -42,18 +42,14 @@ def match_artifacts(
         .join(by_testcase(results, "result_path"), "testcase_id", "left")
         .join(by_testcase(reports, "report_path"), "testcase_id", "left")
     )
-    if templates is None:
-        joined = joined.withColumn("template_path", F.lit(None).cast("string"))
-    else:
-        # A global aggregate: exactly one row.
-        joined = joined.crossJoin(F.broadcast(templates.agg(F.min("path").alias("template_path"))))
+    template = F.lit(None).cast("string") if templates is None else templates.agg(F.min("path")).scalar()
     testcase = F.col("testcase_id")
     return joined.select(
         "testcase_id",
         "trace_path",
         "result_path",
         "report_path",
-        "template_path",
+        template.alias("template_path"),
         names.template_name(testcase).alias("template_name"),
         names.campaign_name(testcase, fallback_campaign).alias("campaign_name"),
         F.lit("operational_trace").alias("report_type"),
