@@ -456,7 +456,7 @@ def truncate_text(spark, d):
     )
 
 
-@_query("""SELECT status, count(*) AS n, sum(event_id) AS ids FROM (SELECT event_id,
+@_query("""SELECT status, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT event_id,
  CASE WHEN event_id % 7 IN (0, 1) OR event_type IS NULL THEN 'rejected' ELSE 'usable' END AS status FROM events) x
 GROUP BY status""")
 def reject_empty(spark, d):
@@ -1029,3 +1029,37 @@ def chunk_files(spark, d):
     folder = stage_folder(spark)
     stages.write_stage(fx.chunks_of(spark, d), folder)
     return stages.read_stage(spark, folder).select("chunk_id", _joined("event_names"), "has_failure")
+
+
+@_query(sql("SELECT seq, stamp AS \"Timestamp\", ev AS \"Event\", info AS \"Information\" FROM rows", "rows"))
+def plain_trace_scan(spark, d):
+    folder = stage_folder(spark)
+    columns = ["number", "Timestamp", "Event", "Information"]
+    rows = fx.trace_rows(spark, d).withColumn("number", F.col("seq").cast("string"))
+    rows.select(F.concat_ws(",", *columns)).write.text(folder)
+    read = traces.read_plain_traces(spark, folder, columns)
+    return read.select(F.col("number").cast("long").alias("seq"), *columns[1:])
+
+
+@_query(sql("""SELECT v.testcase_id, coalesce(x.operator, '') AS operator, coalesce(x.country, '') AS country
+FROM (SELECT DISTINCT testcase_id FROM rows) v LEFT JOIN vals x USING (testcase_id)""", "rows", "vals"))
+def parsed_traces(spark, d):
+    folder = stage_folder(spark)
+    stages.write_stage(evd.trace_values(fx.trace_rows(spark, d), every_trace=True), folder)
+
+    def value(key):
+        return F.coalesce(F.try_element_at("extracted_values", F.lit(key)), F.lit("")).alias(key)
+
+    return stages.read_stage(spark, folder).select("testcase_id", value("operator"), value("country"))
+
+
+@_query(sql("SELECT chunk_id, decision AS retry_decision, match_count AS historical_match_count FROM rep", "rep"))
+def report_bundle(spark, d):
+    folder = stage_folder(spark)
+    chunks, reports = _reports(spark, d)
+    reports = staged(reports)
+    texts = chunks.select("chunk_id", F.length("text").alias("summary"))
+    stages.write_report_bundle(folder, "run-1", health.campaign_health(chunks, reports), texts, texts, reports)
+    return spark.read.schema(reports.schema).json(f"{folder}/retry_reports").select(
+        "chunk_id", "retry_decision", "historical_match_count"
+    )

@@ -23,7 +23,7 @@ def ingest(trace_rows: DataFrame, out: str, mapping: list[dict] | None = None, *
     """Trace rows to the stored ``values``, ``raw_signals`` and ``events`` tables; returns events."""
     rows = staged(trace_rows)  # raw text is parsed once
     evidence = classify(rows)
-    write_stage(trace_values(rows, mapping), f"{out}/values")
+    write_stage(trace_values(rows, mapping, every_trace=True), f"{out}/values")
     write_stage(raw_signals(evidence), f"{out}/raw_signals")
     values = read_stage(rows.sparkSession, f"{out}/values")
     write_stage(normalise(evidence, values, **options), f"{out}/events")
