@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from signalloom.operators import neighbours
 from signalloom.operators import vectors as vec
 from signalloom.operators.neighbours import nearest_chunks
 
@@ -50,6 +51,14 @@ def test_self_join_is_exact(points, metric, exclude, task):
             assert [j for j, _ in found[i]] == [j for j, _ in expected[i]]
 
 
+def test_hot_copies_meet_their_lists_by_broadcast(points, monkeypatch):
+    df, _, _ = points
+    plain = {tuple(r) for r in nearest_chunks(df, k=3).select("query_chunk_id", "rank", "chunk_id").collect()}
+    monkeypatch.setattr(neighbours, "HOT_SHARE", 20)  # only the copied vectors are hot now
+    split = {tuple(r) for r in nearest_chunks(df, k=3).select("query_chunk_id", "rank", "chunk_id").collect()}
+    assert split == plain and len(plain) == 3 * 390
+
+
 def test_probes_trade_recall_for_work(points):
     df, ids, data = points
     exact = {(r["query_chunk_id"], r["chunk_id"]) for r in nearest_chunks(df, k=4, task_vectors=40).collect()}
