@@ -31,15 +31,25 @@ def build_session(app: str = "signalloom", master: str | None = None, **conf: st
 def stage_folder(spark: SparkSession) -> str:
     """A new folder for one table, in the shared folder of ``spark.checkpoint.dir``.
 
-    A folder of our own is used only when the session names none (tests, laptops).
+    A session on one machine may name none and gets a folder of its own.  On a cluster the
+    executors would each write to their own disk, so a missing setting is an error there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="signalloom-"))
         folder = spark.sparkContext.getCheckpointDir()
     return f"{folder}/stage-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a stage folder that nothing reads any more, in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet and read back.
 
