@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fair_mix, language_id
+from . import decontaminate, fair_mix, language_id, line_runs, simhash
 from .blocks import remainder
 
 QUERIES = {}
@@ -41,6 +41,28 @@ def op1_language_id(spark, d):
     )
 
 
+_LINES = r"""
+WITH lines AS (SELECT doc_id, i, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) a) b),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+heavy AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT k.*, h.key IS NOT NULL AND k.doc_id <> h.last AS gone FROM keyed k LEFT JOIN heavy h ON k.key = h.key)
+SELECT doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id"""
+
+
+@_query(_LINES)
+def op3_line_dedup(spark, d):
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    return line_runs.dedup(docs).select(
+        "doc_id",
+        F.col("__n_lines").alias("n_lines"),
+        F.col("__n_dropped").alias("n_dropped"),
+        F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 _MIX = r"""
 WITH sized AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS queue,
   md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS place,
@@ -72,6 +94,13 @@ def op5_fair_mix(spark, d):
     return fair_mix.mix(_table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@_query()
+def op7_simhash(spark, d):
+    return simhash.near_duplicates(_table(spark, d, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 _LEAKS = r"""
 WITH doc_words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
