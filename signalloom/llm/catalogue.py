@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fair_mix, language_id, line_runs, simhash
+from . import decontaminate, fair_mix, interpolation, language_id, line_runs, simhash
 from .blocks import remainder
 
 QUERIES = {}
@@ -41,6 +41,14 @@ def op1_language_id(spark, d):
     )
 
 
+@_query()
+def op2_interpolation(spark, d):
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    rest = F.coalesce(remainder("doc_id", 40), F.lit(0))
+    # one training document in eight is deleted for the weights
+    return interpolation.scores(docs, train=F.coalesce(rest % 5 != 1, F.lit(True)), deleted=rest < 5)
+
+
 _LINES = r"""
 WITH lines AS (SELECT doc_id, i, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) a) b),
