@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fair_mix, interpolation, language_id, line_runs, simhash
+from . import chunk_dedup, decontaminate, fair_mix, interpolation, language_id, line_runs, simhash, suffix_levels
 from .blocks import remainder
 
 QUERIES = {}
@@ -102,6 +102,11 @@ def op5_fair_mix(spark, d):
     return fair_mix.mix(_table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@_query()
+def op6_chunk_dedup(spark, d):
+    return chunk_dedup.repeated_passages(_table(spark, d, "documents"))
+
+
 @_query()
 def op7_simhash(spark, d):
     return simhash.near_duplicates(_table(spark, d, "documents")).select(
@@ -133,3 +138,9 @@ FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
 def op9_decontaminate(spark, d):
     docs = _table(spark, d, "documents").select("doc_id", "text")
     return decontaminate.report(docs, _table(spark, d, "benchmark"))
+
+
+@_query()
+def op10_suffix_levels(spark, d):
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    return suffix_levels.remove_repeats(docs).drop("kept")
