@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, fair_mix, interpolation, language_id, line_runs, simhash, suffix_levels
+from . import chunk_dedup, decontaminate, fair_mix, imatch, interpolation, language_id, line_runs, simhash, suffix_levels
 from .blocks import remainder
 
 QUERIES = {}
@@ -71,6 +71,19 @@ def op3_line_dedup(spark, d):
     )
 
 
+@_query()
+def op4_imatch(spark, d):
+    return imatch.compare_edits(_table(spark, d, "documents")).select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        imatch.shown(F.col("print")).alias("fingerprint"),
+        imatch.shown(F.col("edited_print")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 _MIX = r"""
 WITH sized AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS queue,
   md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS place,
