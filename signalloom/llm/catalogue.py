@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, fair_mix, imatch, interpolation, language_id, line_runs, simhash, suffix_levels
+from . import chunk_dedup, decontaminate, fair_mix, imatch, interpolation, language_id, license_scan, line_runs, simhash
+from . import suffix_levels
 from .blocks import remainder
 
 QUERIES = {}
@@ -127,6 +128,11 @@ def op7_simhash(spark, d):
     )
 
 
+@_query()
+def op8_license_scan(spark, d):
+    return license_scan.scan(_table(spark, d, "documents"))
+
+
 _LEAKS = r"""
 WITH doc_words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

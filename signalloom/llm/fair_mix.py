@@ -168,10 +168,14 @@ def _cut(queued: DataFrame, budget: int) -> dict | None:
     return {"finish": row["finish"], "queue": row["queue"], "last": row["last"], "words": row["last"] - row["first"] - (row["sum"] - budget)}
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix: their own columns and ``__taken_words``, where any are taken."""
-    seed = how.get("seed", "mix")
-    doc_id, text = how.get("doc_id", "doc_id"), how.get("text", "text")
-    table = mix(docs, **how)
-    chosen = table.where("taken > 0").select(F.col("place").alias("__place"), F.col("taken").alias("__taken_words")).dropDuplicates(["__place"])
-    return docs.withColumn("__place", shuffle_key(F.col(doc_id), F.col(text), seed)).join(chosen, "__place").drop("__place")
+def mixed(docs: DataFrame, taken: str = "taken_words", **how) -> DataFrame:
+    """The documents of the mix: their own columns and ``taken``, the words taken (repeats counted).
+
+    Documents of which nothing is taken are left out.  Equal rows take alike.  A column of the
+    documents that is called like ``taken`` keeps its values, and the new one gets underscores.
+    """
+    while taken in docs.columns:
+        taken = f"_{taken}"
+    place = shuffle_key(F.col(how.get("doc_id", "doc_id")), F.col(how.get("text", "text")), how.get("seed", "mix"))
+    chosen = mix(docs, **how).where("taken > 0").groupBy(F.col("place").alias("__place")).agg(F.max("taken").alias(taken))
+    return docs.withColumn("__place", place).join(chosen, "__place").drop("__place")

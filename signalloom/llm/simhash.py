@@ -15,7 +15,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
@@ -288,7 +288,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how)
         groups.where("doc_id = component_id OR component_id IS NULL")
         .groupBy("root")
         .agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-        .select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+        .select(_row_key("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
     )
-    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.hash(text) == F.col("__hash"))
-    return docs.join(stays, same, "left_semi").withColumn("__hash", F.hash(text)).dropDuplicates([doc_id, "__hash"]).drop("__hash")
+    named = docs.withColumns({"__id": _row_key(doc_id), "__hash": F.hash(text)})
+    alike = Window.partitionBy("__id", "__hash").orderBy(F.lit(0))
+    kept = named.join(stays, ["__id", "__hash"], "left_semi").withColumn("__turn", F.row_number().over(alike))
+    return kept.where("__turn = 1").select(*docs.columns)
+
+
+def _row_key(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("none"))
