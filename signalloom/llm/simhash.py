@@ -27,6 +27,8 @@ MAX_NODES = 4096
 #: Pairs of prints that two nodes may have to be compared directly, and node pairs held at once.
 _DIRECT, _HELD = 1024, 1 << 18
 _STEP = 8
+#: Prints of a node that travel as one value.
+_PIECE = 1 << 16
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -228,26 +230,28 @@ def trie_links(prints: DataFrame, budget: int = 2) -> DataFrame:
         roles[i].append(2 * n)
         if j != i:
             roles[j].append(2 * n + 1)
-    width = np.array([len(r) for r in roles])
-    first, flat = np.concatenate([[0], np.cumsum(width)[:-1]]), np.array([r for own in roles for r in own], np.int64)
-    shared = spark.sparkContext.broadcast((bounds, width, first, flat))  # bounded by MAX_NODES
+    roles = spark.createDataFrame(
+        [(leaf, role >> 1, role & 1) for leaf, own in enumerate(roles) for role in own], "leaf int, pair int, side int"
+    )
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds, width, first, flat = shared.value
         for batch in batches:
             value = batch.column(0).to_numpy()
             leaf = np.searchsorted(bounds, value.view(np.uint64), "right") - 1
-            n = width[leaf]
-            which = np.repeat(np.arange(len(value)), n)
-            role = flat[first[leaf[which]] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(role >> 1), pa.array((role & 1).astype(np.int32)), pa.array(value[which])], names=["pair", "side", "print"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), batch.column(0)], names=["leaf", "print"])
+
+    def packed(key: tuple, table: pa.Table) -> pa.Table:
+        value = np.sort(table.column("print").to_numpy().view(np.uint64))
+        pieces = [value[i : i + _PIECE].tobytes() for i in range(0, len(value), _PIECE)]
+        return pa.table({"leaf": pa.array([key[0].as_py()] * len(pieces), pa.int32()), "prints": pa.array(pieces, pa.binary())})
 
     def joined(table: pa.Table) -> pa.Table:
-        side, value = table.column("side").to_numpy(), table.column("print").to_numpy().view(np.uint64)
-        a, b = np.sort(value[side == 0]), np.sort(value[side == 1])
-        if len(b):
+        sides: tuple[list, list] = ([], [])
+        for side, prints in zip(table.column("side").to_pylist(), table.column("prints").to_pylist()):
+            sides[side].append(np.frombuffer(prints, np.uint64))
+        a = np.sort(np.concatenate(sides[0]))
+        if sides[1]:
+            b = np.sort(np.concatenate(sides[1]))
             label = forest(((i, j + len(a)) for i, j in trie_pairs(a, b, budget)), len(a) + len(b))
             a = np.concatenate([a, b])
         else:
@@ -255,7 +259,9 @@ def trie_links(prints: DataFrame, budget: int = 2) -> DataFrame:
         found = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"u": a[found].view(np.int64), "v": a[label[found]].view(np.int64)})
 
-    tasks = prints.select("print").mapInArrow(dealt, "pair long, side int, print long")
+    nodes = prints.select("print").mapInArrow(dealt, "leaf int, print long").groupBy("leaf").applyInArrow(packed, "leaf int, prints binary")
+    # the roles of all nodes are bounded by MAX_NODES and the budget, not by the prints
+    tasks = nodes.join(F.broadcast(roles), "leaf").select("pair", "side", "prints")
     return tasks.groupBy("pair").applyInArrow(joined, "u long, v long")
 
 
