@@ -231,7 +231,7 @@ def scores(
 
     def score(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for lists in batches:
-            estimates, context_class, firsts = _estimates(list(lists), n, v)
+            estimates, context_class, firsts = _estimates(list(lists) if isinstance(lists, tuple) else [lists], n, v)
             logs = np.log10((mixed[context_class].T * estimates).sum(axis=0))
             yield pa.array(np.add.reduceat(logs, firsts) if len(logs) else [], pa.float64())
 

@@ -34,7 +34,7 @@ def learn(
     text: str = "text",
     lang: str = "lang",
 ) -> dict[str, bytes]:
-    """One dictionary per language from the rows that have a text and a language.
+    """One dictionary per language, the most frequent first, from the rows with a text and a language.
 
     The fit reads a documented bounded sample: the rows of each language with the smallest
     hashes, a piece of ``sample_chars`` from a hash-chosen place of each, until
@@ -68,7 +68,8 @@ def learn(
         if size.get(row["lang"], 0) < dictionary_bytes and len(piece) > 1:
             filled.setdefault(row["lang"], []).append(piece)
             size[row["lang"]] = size.get(row["lang"], 0) + len(piece)
-    return {k: b"".join(v)[-dictionary_bytes:] for k, v in sorted(filled.items())}
+    common_first = sorted(filled, key=lambda k: (-counts[k], k))
+    return {k: b"".join(filled[k])[-dictionary_bytes:] for k in common_first}
 
 
 def windows(plain: str, window_bytes: int) -> Iterator[bytes]:
@@ -94,7 +95,7 @@ class Compressors:
     """The learned dictionaries, ready in a worker."""
 
     def __init__(self, dictionaries: dict[str, bytes], window_bytes: int, temperature: float, level: int = 3):
-        self.names = sorted(dictionaries)
+        self.names = list(dictionaries)
         self.window, self.temperature, self.tools = window_bytes, temperature, []
         for name in self.names:
             content = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -117,7 +118,7 @@ class Compressors:
         for piece in windows(plain, self.window):
             for i, tool in enumerate(self.tools):
                 sizes[i] += len(tool.compress(piece))
-        best = min(range(len(sizes)), key=lambda i: (sizes[i], self.names[i]))
+        best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
         odds = np.exp2(-(np.array(sizes, float) - sizes[best]) / self.temperature)
         second = min((s for i, s in enumerate(sizes) if i != best), default=len(plain) + 1)
         return self.names[best], float(1 / odds.sum()), (second - sizes[best]) / max(1, second)
@@ -136,8 +137,8 @@ def predict(
     ``lang`` is a learned language, or ``und`` where the text is null, empty or without a
     letter; ``score`` rises with the bytes that the next languages need more; ``rejected``
     marks ``und`` and margins under ``min_margin`` of the size.  Texts of any length are read
-    whole, window by window.  Only the text goes to Python; equal sizes go to the name that
-    sorts first.
+    whole, window by window.  Only the text goes to Python; equal sizes go to the language that
+    comes first in ``dictionaries``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # bounded by learn()
 
