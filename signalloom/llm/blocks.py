@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one task handles at a time.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def remainder(column: str, modulus: int) -> Column:

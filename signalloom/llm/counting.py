@@ -53,10 +53,11 @@ class Asking:
         return pa.table([pa.array(v, k) for v, k in zip(self.columns, kinds)], names=names)
 
 
-def totals(asked: DataFrame, fold: Fold = sums, extra: Callable | None = None) -> DataFrame:
+def totals(asked: DataFrame, fold: Fold = sums, extra: Callable | None = None, own_b: bool = False) -> DataFrame:
     """``TOLD`` rows for ``ASKED`` rows.
 
     ``extra(kind, total a, total b)`` may give two arrays to be told to block -1 per range.
+    With ``own_b`` a block is told the total of b only for keys to which it gave some b, else 0.
     """
 
     def tell(table: pa.Table) -> pa.Table:
@@ -77,7 +78,8 @@ def totals(asked: DataFrame, fold: Fold = sums, extra: Callable | None = None) -
         rows = [[], [], [], [], []]
         for block, lo, hi in zip(blocks, [0, *ends[:-1]], ends):
             mine = where[lo:hi]
-            for column, value in zip(rows, (block, kind, bucket, pack_ints(all_a[mine]), pack_ints(all_b[mine]))):
+            told_b = np.where(b[lo:hi] > 0, all_b[mine], 0) if own_b else all_b[mine]
+            for column, value in zip(rows, (block, kind, bucket, pack_ints(all_a[mine]), pack_ints(told_b))):
                 column.append(value)
         if extra is not None:
             told = extra(kind, all_a, all_b)

@@ -20,9 +20,10 @@ from .counting import ASKED, Asking, told, totals
 from .packed import LOWER, SPACE, combine, counted, span_digests, utf8, words
 
 _END, _START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
-#: Bits of a key by order: 64 for words; longer n-grams have 48, where a chance match is one
-#: in millions and touches one term of one mixture.
-_BITS = {1: 64}
+#: Bits of a key by order: 62 for words, whose differences in a block then take six bytes; longer
+#: n-grams have 46 (four bytes), where a chance match is one in millions and touches one term
+#: of one mixture.
+_WORD_BITS, _GRAM_BITS = 62, 46
 #: Context frequencies are told apart by powers of two, estimates in the weights' fit by a
 #: quarter of a power of two.
 _CLASSES, _STEPS, _NEVER = 16, 4, -32768
@@ -41,11 +42,12 @@ class Grams:
         self.firsts = self.ends - self.n_tokens + 1
         tokens = np.full(len(digests) + len(self.ends), _END, np.uint64)
         tokens[np.arange(len(digests)) + text] = digests
+        tokens >>= np.uint64(64 - _WORD_BITS)
         self.keys = [tokens]
         chain = _START
         for _ in range(1, order):
             before = self.shifted(self.keys[-1], chain)
-            self.keys.append(combine(before, tokens) >> np.uint64(16) if len(tokens) else tokens)
+            self.keys.append(combine(before, tokens) >> np.uint64(64 - _GRAM_BITS))
             chain = combine(np.array([chain], np.uint64), np.array([_START], np.uint64))[0]
 
     def shifted(self, values: np.ndarray, first) -> np.ndarray:
@@ -57,7 +59,7 @@ class Grams:
 
 
 def _bits(order: int) -> int:
-    return _BITS.get(order, 48)
+    return _WORD_BITS if order == 1 else _GRAM_BITS
 
 
 def counts(
@@ -71,7 +73,7 @@ def counts(
     """
     spark = docs.sparkSession
     blocks = block_count(text_bytes(docs, text), block_bytes)
-    buckets = max(1, -(-blocks // 3))
+    buckets = max(1, -(-blocks // 2))
     source = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(text).alias("text"),
@@ -125,7 +127,7 @@ def counts(
         return pa.table(empty | {"words": pa.array([sizes[0][0]], pa.int64()), "kept_words": pa.array([sizes[0][1]], pa.int64())})
 
     asked = source.groupBy("block").applyInArrow(ask, ASKED)
-    answers = totals(asked, extra=vocabulary)
+    answers = totals(asked, extra=vocabulary, own_b=True)
     id_type = source.schema["doc_id"].dataType.simpleString()
     lists = "".join(f", {n}{k} array<bigint>" for n in "ck" for k in range(1, order + 1))
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, log_sum double{lists}, words long, kept_words long"
