@@ -1,9 +1,10 @@
 """Substring de-duplication by content-defined chunking.
 
 A gear hash rolls over the bytes of a text and cuts where some of its bits are zero, so that
-cuts depend on the bytes just before them and move along with insertions.  Chunks are
-de-duplicated by digest: the first one (least document, first place) stays.  Repeated chunks in
-a row that make a passage are reported or cut out; single chance repeats are not.
+cuts depend on the bytes just before them and move along with insertions.  A chunk begins at
+every cut and ends ``pieces`` cuts later, so chunks overlap and a passage loses little at its
+borders.  Chunks are de-duplicated by digest: the first one (least document, first place)
+stays.  Repeated chunks that make a passage are reported or cut out; short ones are not.
 """
 
 from __future__ import annotations
@@ -68,65 +69,74 @@ def _id(rank: np.ndarray) -> pa.Array:
 
 
 class _Chunks:
-    def __init__(self, table: pa.Table, cut_bits: int, max_bytes: int):
-        self.buf, self.offsets = utf8(table.column("text"))
-        edges = cuts(self.buf, self.offsets, cut_bits, max_bytes)
-        self.starts, self.ends = edges[:-1], edges[1:]
-        self.keys = span_digests(self.buf, self.starts, self.ends)
-        self.doc = np.searchsorted(self.offsets, self.starts, "right") - 1
-        self.rank = _rank(table.column("doc_id"))[self.doc] if table.num_rows else np.zeros(0, np.int64)
+    def __init__(self, table: pa.Table, cut_bits: int, max_bytes: int, pieces: int):
+        buf, self.offsets = utf8(table.column("text"))
+        self.edges = cuts(buf, self.offsets, cut_bits, max_bytes)
+        self.text = np.searchsorted(self.offsets, self.edges[:-1], "right") - 1  # of each piece
+        n = len(self.text)
+        end = np.searchsorted(self.text, self.text, "right")  # one past the last piece of the text
+        begin = np.arange(n)
+        self.begin = begin[(begin + pieces <= end) | (begin == np.searchsorted(self.text, self.text))]
+        self.end = np.minimum(self.begin + pieces, end[self.begin])
+        self.keys = span_digests(buf, self.edges[self.begin], self.edges[self.end])
+        self.rank = _rank(table.column("doc_id"))[self.text] if n else np.zeros(0, np.int64)
         self.distinct, self.where = np.unique(self.keys, return_inverse=True)
 
 
 def repeated_passages(
     docs: DataFrame,
-    min_bytes: int = 128,
-    cut_bits: int = 5,
-    max_bytes: int = 1024,
+    min_bytes: int = 96,
+    cut_bits: int = 4,
+    pieces: int = 4,
+    max_bytes: int = 256,
     block_bytes: int = BLOCK_BYTES,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
     """One row per repeated passage: doc_id, kept_doc_id, start_byte, n_bytes, n_chunks.
 
-    A passage is a run of neighbouring chunks that all occur earlier (in a document with a
+    A passage is a stretch covered by chunks that all occur earlier (in a document with a
     smaller id, or before in the same one), at least ``min_bytes`` long; ``kept_doc_id`` is the
-    document that keeps the first of them.  With chunks of 2**``cut_bits`` bytes on average a
-    repeated text of some 50 words holds many whole chunks.  Null and empty texts have none.
-    Rows of one id are one document read in turn; ids below zero and missing ids come last.
+    document that keeps the chunk at its middle, ``n_chunks`` counts the pieces.  With pieces of
+    2**``cut_bits`` bytes on average a repeated text of some 50 words holds many whole chunks.
+    A text of fewer pieces is one chunk; null and empty texts have none.  Rows of one id are one
+    document read in turn; ids below zero and missing ids come last.
     """
     blocks = block_count(text_bytes(docs, text), block_bytes)
-    buckets = max(1, -(-blocks // 3))
+    buckets = max(1, -(-blocks // 2))
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), block_of(doc_id, text, blocks).alias("block"))
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        chunks, out = _Chunks(table, cut_bits, max_bytes), Asking()
+        chunks, out = _Chunks(table, cut_bits, max_bytes, pieces), Asking()
         least = np.full(len(chunks.distinct), np.iinfo(np.int64).max)
-        np.minimum.at(least, chunks.where, chunks.rank)
+        np.minimum.at(least, chunks.where, chunks.rank[chunks.begin])
         out.add(key[0].as_py(), 0, chunks.distinct, np.bincount(chunks.where, minlength=len(least)), least, buckets)
         return out.table()
 
     def passages(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        chunks = _Chunks(table, cut_bits, max_bytes)
+        chunks = _Chunks(table, cut_bits, max_bytes, pieces)
         times, least = (x[chunks.where] for x in told(answers, 0))
         # the first of its digest in the least document stays
-        own = np.flatnonzero(chunks.rank == least)
+        own = np.flatnonzero(chunks.rank[chunks.begin] == least)
         _, first = np.unique(chunks.keys[own], return_index=True)
         repeated = times > 1
         repeated[own[first]] = False
-        change = np.concatenate([[True], (repeated[1:] != repeated[:-1]) | (chunks.doc[1:] != chunks.doc[:-1])]) if len(repeated) else repeated
-        begin = np.flatnonzero(change)
-        end = np.append(begin[1:], len(repeated))
-        run = repeated[begin]
-        begin, end = begin[run], end[run]
-        size = chunks.ends[end - 1] - chunks.starts[begin] if len(begin) else np.zeros(0, np.int64)
-        long = size >= min_bytes
-        begin, end, size = begin[long], end[long], size[long]
+        change = np.zeros(len(chunks.text) + 1, np.int64)
+        np.add.at(change, chunks.begin[repeated], 1)
+        np.add.at(change, chunks.end[repeated], -1)
+        covered = np.cumsum(change[:-1]) > 0
+        turn = np.flatnonzero(np.concatenate([[True], (covered[1:] != covered[:-1]) | (chunks.text[1:] != chunks.text[:-1])])[: len(covered)])
+        begin, end = turn, np.append(turn[1:], len(covered))[: len(turn)]
+        begin, end = begin[covered[begin]], end[covered[begin]]
+        size = chunks.edges[end] - chunks.edges[begin]
+        begin, end, size = begin[size >= min_bytes], end[size >= min_bytes], size[size >= min_bytes]
+        again = np.flatnonzero(repeated)
+        middle = again[np.searchsorted(chunks.begin[again], (begin + end) // 2, "right") - 1]
         return pa.table(
             {
                 "doc_id": _id(chunks.rank[begin]),
-                "kept_doc_id": _id(least[begin]),
-                "start_byte": pa.array(chunks.starts[begin] - chunks.offsets[chunks.doc[begin]], pa.int64()),
+                "kept_doc_id": _id(least[middle]),
+                "start_byte": pa.array(chunks.edges[begin] - chunks.offsets[chunks.text[begin]], pa.int64()),
                 "n_bytes": pa.array(size, pa.int64()),
                 "n_chunks": pa.array(end - begin, pa.int64()),
             }
