@@ -50,28 +50,31 @@ def lexicon(docs: DataFrame, rarest: float, commonest: float, max_terms: int, te
     return sorted(r["term"] for r in found)
 
 
-def fingerprint(text: str, terms: list[int]) -> Column:
-    """Struct ``level, low, high, whole`` of a text column: its level, the subset hashes there and
-    one level up (0: no term), and a hash of the text where no term is in the lexicon."""
+def fingerprints(terms: list[int], *texts: str) -> Column:
+    """An array with a struct ``level, low, high, whole`` per text column: its level, the subset
+    hashes there and one level up (0: no term), and a hash of the text where no term is in the
+    lexicon.  All texts share one copy of the lexicon in the plan."""
     listed = ", ".join(f"{t}L" if t != _NO_ID else "(-9223372036854775807L - 1L)" for t in terms) or "NULL"
 
     def build(own: Column) -> Column:
         terms = own["terms"]
         level = F.greatest(F.floor(F.log2(F.size(terms) / F.lit(SLOTS * _TERMS_PER_SLOT))), F.lit(0)).cast("int")
-        return F.struct(level.alias("level"), terms.alias("terms"))
+        return F.struct(level.alias("level"), terms.alias("terms"), own["text"].alias("text"))
 
     # array(struct) with transform binds a value once, where a lambda would repeat its expression
-    sized = F.transform(F.array(F.struct(term_hashes(F.col(text)).alias("terms"))), build)
+    hashed_texts = F.transform(F.array(*[F.col(t) for t in texts]), lambda t: F.struct(term_hashes(t).alias("terms"), F.xxhash64(t).alias("text")))
+    sized = F.transform(hashed_texts, build)
     chosen = F.transform(
         sized,
         lambda s: F.struct(
             s["level"].alias("level"),
+            s["text"].alias("text"),
             F.sort_array(
                 F.filter(s["terms"], lambda x: x.bitwiseAND(_low_bits(s["level"]) * SLOTS) == 0)
             ).alias("terms"),
         ),
     )
-    in_band = F.transform(chosen, lambda s: F.struct(s["level"].alias("level"), _in_list(s["terms"], listed).alias("terms")))
+    in_band = F.transform(chosen, lambda s: F.struct(s["level"].alias("level"), s["text"].alias("text"), _in_list(s["terms"], listed).alias("terms")))
 
     def hashed(s: Column, up: int) -> Column:
         wanted = _low_bits(s["level"] + up) * SLOTS + (SLOTS - 1)
@@ -83,16 +86,15 @@ def fingerprint(text: str, terms: list[int]) -> Column:
 
         return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), subset)
 
-    made = F.transform(
+    return F.transform(
         in_band,
         lambda s: F.struct(
             s["level"].alias("level"),
             hashed(s, 0).alias("low"),
             hashed(s, 1).alias("high"),
-            F.when(F.size(s["terms"]) == 0, F.xxhash64(F.col(text))).otherwise(F.lit(0)).alias("whole"),
+            F.when(F.size(s["terms"]) == 0, s["text"]).otherwise(F.lit(0)).alias("whole"),
         ),
     )
-    return F.get(made, F.lit(0))
 
 
 def _low_bits(n: Column) -> Column:
@@ -165,8 +167,8 @@ def compare_edits(
     equal rows count once in the order but are all returned.  No rows: no rows.
     """
     terms = lexicon(docs, rarest, commonest, max_terms, text)
+    # id, text and hash alone are shuffled, once, and every join below reuses that exchange
     base = docs.select(
-        F.col(doc_id).alias("doc_id"),
         F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     ).withColumn("t", F.xxhash64("text"))
@@ -180,15 +182,15 @@ def compare_edits(
     )
     n = F.length("text")
     edited = base.join(given, ["id", "t"]).select(
-        "id", "t", "doc_id", "text", n.alias("n_chars"),
+        "id", "t", F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "text", n.alias("n_chars"),
         F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 4)).cast("int")), "piece").alias("edited"),
     )
     made = staged(
         edited.select(
             "id", "t", "doc_id", F.col("n_chars").cast("long").alias("n_chars"),
             F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-            fingerprint("text", terms).alias("print"), fingerprint("edited", terms).alias("edited_print"),
-        )
+            fingerprints(terms, "text", "edited").alias("prints"),
+        ).select("id", "t", "doc_id", "n_chars", "edited_sha256", F.col("prints")[0].alias("print"), F.col("prints")[1].alias("edited_print"))
     )
     following = (
         made.select("id", "t", "print")

@@ -45,7 +45,7 @@ def test_fingerprint_by_hand(spark, small):
         for w in set(re.findall(r"[a-z0-9\x80-\U0010ffff]+", _lower(r["text"]))):
             counts[hashes[w]] = counts.get(hashes[w], 0) + 1
     assert known == {h for h, n in counts.items() if max(2, 2) <= n <= 40}
-    for r in docs.withColumn("p", imatch.fingerprint("text", terms)).limit(40).collect():
+    for r in docs.withColumn("p", imatch.fingerprints(terms, "text")[0]).limit(40).collect():
         own = {hashes[w] for w in re.findall(r"[a-z0-9\x80-\U0010ffff]+", _lower(r["text"]))}
         level = max(0, math.floor(math.log2(len(own) / 40))) if own else 0
         assert r["p"]["level"] == level
