@@ -24,8 +24,9 @@ from .components import components
 #: Fingerprints of one task's trie node; more once there are ``MAX_NODES`` of them.
 NODE_PRINTS = 16_384
 MAX_NODES = 4096
-#: Pairs of prints that two nodes may have to be compared directly, and node pairs held at once.
-_DIRECT, _HELD = 1024, 1 << 18
+#: Pairs of prints that two nodes may have to be compared directly, node pairs held at once, and
+#: pairs of prints compared at once: what bounds a task's memory beside its prints.
+_DIRECT, _HELD, _COMPARED = 1024, 1 << 15, 1 << 18
 _STEP = 8
 #: Prints of a node that travel as one value.
 _PIECE = 1 << 16
@@ -113,8 +114,8 @@ def _compare(a, b, nodes, budget, itself):
     sizes = (nodes[:, 1] - nodes[:, 0]) * (nodes[:, 3] - nodes[:, 2])
     ends = np.cumsum(sizes)
     at = 0
-    while at < len(nodes):  # some million comparisons at a time
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 21), "right")))
+    while at < len(nodes):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _COMPARED, "right")))
         some, n = nodes[at:upto], sizes[at:upto]
         which = np.repeat(np.arange(len(some)), n)
         inside = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
