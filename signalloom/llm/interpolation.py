@@ -27,6 +27,8 @@ _WORD_BITS, _GRAM_BITS = 62, 46
 #: Context frequencies are told apart by powers of two, estimates in the weights' fit by a
 #: quarter of a power of two.
 _CLASSES, _STEPS, _NEVER = 16, 4, -32768
+#: Tokens whose estimates are in memory at a time.
+_AT_ONCE = 1 << 18
 
 
 class Grams:
@@ -145,6 +147,16 @@ def counts(
     return table.where("n_tokens IS NOT NULL").drop("words", "kept_words"), numbers
 
 
+def _parts(lists: list[pa.Array]) -> Iterator[list[pa.Array]]:
+    """The rows of a batch in parts of some ``_AT_ONCE`` tokens, or one row."""
+    ends = lists[0].offsets.to_numpy().astype(np.int64)
+    at = 0
+    while at + 1 < len(ends):
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + _AT_ONCE, "right")) - 1)
+        yield [x.slice(at, upto - at) for x in lists]
+        at = upto
+
+
 def _estimates(lists: list[pa.Array], n: int, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per token the estimates from order 0 (uniform) up, its context class, and where texts begin."""
     offsets = lists[0].offsets.to_numpy().astype(np.int64)
@@ -177,8 +189,8 @@ def weights(table: DataFrame, numbers: dict[str, int], order: int, rounds: int =
     n, v = numbers["N"] - numbers["deleted_N"], numbers["kept_V"]
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            estimates, context_class, _ = _estimates([batch.column(k) for k in range(order)], n, v)
+        for part in (p for batch in batches for p in _parts([batch.column(k) for k in range(order)])):
+            estimates, context_class, _ = _estimates(part, n, v)
             with np.errstate(divide="ignore"):
                 steps = np.where(estimates[1:] > 0, np.round(np.log2(estimates[1:]) * _STEPS), _NEVER).astype(np.int64)
             code = context_class
@@ -233,9 +245,12 @@ def scores(
 
     def score(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for lists in batches:
-            estimates, context_class, firsts = _estimates(list(lists) if isinstance(lists, tuple) else [lists], n, v)
-            logs = np.log10((mixed[context_class].T * estimates).sum(axis=0))
-            yield pa.array(np.add.reduceat(logs, firsts) if len(logs) else [], pa.float64())
+            found = []
+            for part in _parts(list(lists) if isinstance(lists, tuple) else [lists]):
+                estimates, context_class, firsts = _estimates(part, n, v)
+                logs = np.log10((mixed[context_class].T * estimates).sum(axis=0))
+                found.append(np.add.reduceat(logs, firsts))
+            yield pa.array(np.concatenate(found) if found else [], pa.float64())
 
     model = F.arrow_udf(score, "double", F.ArrowUDFType.SCALAR_ITER)(*[F.col(f"c{k}") for k in range(1, order + 1)])
     floor = float(np.log10(n + 0.5 * (v + 1)))

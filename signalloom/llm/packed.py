@@ -130,27 +130,36 @@ def counted(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def pack_ints(values: np.ndarray) -> bytes:
-    """Non-negative integers in as few bytes each as the largest needs."""
+    """Non-negative integers in as few bytes each as the largest needs.
+
+    Equal places of all numbers lie together, so that the high ones of mostly small numbers
+    are runs of zeros to the compression of a shuffle.
+    """
     values = np.ascontiguousarray(values, dtype=np.uint64)
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    return bytes([width]) + values.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return bytes([width]) + values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def unpack_ints(blob: bytes) -> np.ndarray:
     width = blob[0]
-    raw = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :width] = raw
+    raw = np.frombuffer(blob, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :width] = raw.T
     return out.reshape(-1).view(np.uint64)
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Ascending keys as their differences."""
-    return pack_ints(np.diff(keys, prepend=np.uint64(0)))
+    """Ascending keys as the first one and the differences of the rest."""
+    if not len(keys):
+        return b""
+    return int(keys[0]).to_bytes(8, "little") + pack_ints(np.diff(keys))
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
-    return np.cumsum(unpack_ints(blob), dtype=np.uint64)
+    if not blob:
+        return np.zeros(0, np.uint64)
+    first = np.frombuffer(blob, np.uint64, count=1)
+    return np.cumsum(np.concatenate([first, unpack_ints(blob[8:])]), dtype=np.uint64)
 
 
 def bucket_edges(keys: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
