@@ -149,10 +149,15 @@ def signal_labels(line: str) -> Column:
     return F.expr(f"array_compact(array({', '.join(cases)}))")
 
 
-def cut_text(col: Column, limit: int, mark: str, trim: bool = False) -> Column:
-    """Text cut at ``limit`` characters with ``mark`` appended only when something was cut."""
+def cut_text(col: Column, limit: int | None, mark: str, trim: bool = False) -> Column:
+    """Text cut at ``limit`` characters with ``mark`` appended only when something was cut.
+
+    Without a limit nothing is cut.
+    """
     text = F.coalesce(col, F.lit(""))
     text = strip(text) if trim else text
+    if limit is None:
+        return text
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(mark))).otherwise(text)
 
 

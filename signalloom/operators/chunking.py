@@ -103,12 +103,28 @@ def chunk_bounds(
     should come from a stored table.
     """
     block_of = F.expr(f"(event_index - 1) div {block_rows}")
-    rows = lines.select("testcase_id", "event_index", "length", block_of.alias("block"))
-    whole = Window.partitionBy("testcase_id")
-    blocks = rows.select("testcase_id", "block").distinct().withColumn(
-        "last_block", F.max("block").over(whole)
+    rows = lines.select("testcase_id", "event_index", "length", block_of.alias("part"))
+    keep = max(chunk_overlap, 0)
+
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Blocks of one trace, from its parts: a part with less text than a look-back is joined
+        with those after it.  A block is called by its first part."""
+        pdf = pdf.sort_values("part").reset_index(drop=True)
+        blocks, chars, opens = [], 0, True
+        for part, size, final in zip(pdf["part"], pdf["chars"], pdf["final"]):
+            blocks.append(part if opens else blocks[-1])
+            chars = size if opens else chars + size
+            opens = chars > chunk_size + keep and chars - final >= keep
+        following = {a: b for a, b in zip(sorted(set(blocks)), sorted(set(blocks))[1:])}
+        pdf["block"], pdf["next_block"] = blocks, [following.get(b, -1) for b in blocks]
+        return pdf[["testcase_id", "part", "block", "next_block"]]
+
+    parts = rows.groupBy("testcase_id", "part").agg(
+        F.sum("length").alias("chars"), F.max_by("length", "event_index").alias("final")
     )
-    rows = rows.join(blocks, ["testcase_id", "block"])
+    case = rows.schema["testcase_id"].dataType.simpleString()
+    blocks = parts.groupBy("testcase_id").applyInPandas(unite, f"testcase_id {case}, part long, block long, next_block long")
+    rows = rows.join(blocks, ["testcase_id", "part"]).drop("part")
 
     # Lines at the end of a block are look-back of the next block as well.
     in_block = Window.partitionBy("testcase_id", "block")
@@ -119,35 +135,39 @@ def chunk_bounds(
         .withColumn("_last", F.max_by("length", "event_index").over(in_block))
     )
     left = F.col("_all") - F.col("_sofar")
-    keep = max(chunk_overlap, 0)
-    is_tail = (F.col("block") < F.col("last_block")) & (
+    is_tail = (F.col("next_block") >= 0) & (
         (left <= chunk_size + keep) | (left - F.col("_last") < keep)
     )
-    spread = F.when(is_tail, F.array(F.col("block"), F.col("block") + 1)).otherwise(F.array(F.col("block")))
+    spread = F.when(is_tail, F.array(F.col("block"), F.col("next_block"))).otherwise(F.array(F.col("block")))
     # Written once: the narrow rows are read by the pass over long traces and by the last pass.
     rows = staged(
-        rows.select("testcase_id", "event_index", "length", "last_block", F.explode(spread).alias("block"))
+        rows.withColumn("_own", F.col("block"))
+        .select("testcase_id", "event_index", "length", "_own", "next_block", F.explode(spread).alias("block"))
+        # a look-back line knows the block after its own, not the one after that
+        .withColumn("next_block", F.when(F.col("block") == F.col("_own"), F.col("next_block")))
+        .drop("_own")
     )
 
     def held(group: dict[str, np.ndarray]) -> Block:
-        block, last, index = group["block"][0], group["last_block"][0], group["event_index"]
+        block, index = group["block"][0], group["event_index"]
         lookback = int(np.searchsorted(index, block * block_rows, side="right")) if block else 0
-        return Block(int(index[0]), group["length"], lookback, chunk_size, chunk_overlap, block == last)
+        return Block(int(index[0]), group["length"], lookback, chunk_size, chunk_overlap, group["next_block"][-1] < 0)
 
     runs_of = ["reach_low", "reach_high", "reach_out", "chunk_count", "carry_from", "carry_to"]
 
     def exits(batches):
         for group in sorted_groups(batches, ["testcase_id", "block"]):
             out = pd.DataFrame(held(group).exits(), columns=runs_of)
-            out.insert(0, "block", group["block"][0])
+            out.insert(0, "block", int(group["next_block"][-1]))
             out.insert(0, "testcase_id", group["testcase_id"][0])
             yield out
 
     def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        blocks = [list(g[runs_of].itertuples(index=False, name=None)) for _, g in pdf.groupby("block")]
+        # what leaves a block enters the one that the row is called by
+        groups = sorted(pdf.groupby("block"), key=lambda g: g[0])
+        blocks = [list(g[runs_of].itertuples(index=False, name=None)) for _, g in groups]
         found = pd.DataFrame(chain(blocks), columns=["reach", "carried", "chunks_before"])
-        found.insert(0, "block", np.arange(1, len(blocks) + 1))
+        found.insert(0, "block", [b for b, _ in groups])
         found.insert(0, "testcase_id", pdf["testcase_id"].iloc[0])
         return found
 
@@ -169,7 +189,9 @@ def chunk_bounds(
         """Each block in one task, its rows in order."""
         return df.repartition("testcase_id", "block").sortWithinPartitions("testcase_id", "block", "event_index")
 
-    long_traces = rows.filter((F.col("last_block") > 0) & (F.col("block") < F.col("last_block")))
+    # look-back lines come first, so the last line of a block tells whether another follows
+    follows = rows.filter("next_block >= 0").select("testcase_id", "block").distinct()
+    long_traces = rows.join(follows, ["testcase_id", "block"], "left_semi")
     starts = (
         by_block(long_traces).mapInPandas(exits, _EXITS).groupBy("testcase_id").applyInPandas(entries, _ENTRIES)
     )

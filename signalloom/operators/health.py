@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Array columns that are counted.
 DIMENSIONS = ["event_families", "severities", "event_names", "causes", "operators", "countries",
               "network_domains", "tags"]
+# How many dominant values a report shows, by column.
 TOP_VALUES = {"tags": 20}
 TOP_DEFAULT = 10
 
@@ -64,15 +65,21 @@ def value_counts(chunks: DataFrame, by: str | None = None) -> DataFrame:
     return counts.drop("_campaign") if by is None else counts
 
 
-def top_values(counts: DataFrame, by: str | None = None) -> DataFrame:
-    """Dominant values per column, most frequent first, ties by first appearance."""
+def top_values(
+    counts: DataFrame, by: str | None = None, most: int = TOP_DEFAULT, most_of: dict[str, int] | None = None
+) -> DataFrame:
+    """Dominant values per column, most frequent first, ties by first appearance.
+
+    ``most`` values of each column, or as many as ``most_of`` names for it.
+    """
+    most_of = TOP_VALUES if most_of is None else most_of
     df, key = _keyed(counts, by)
     order = Window.partitionBy(key, "dim").orderBy(F.desc("n"), "first_seen")
-    limit = F.lit(TOP_DEFAULT)
-    for dim, size in TOP_VALUES.items():
+    limit = F.lit(most)
+    for dim, size in most_of.items():
         limit = F.when(F.col("dim") == dim, F.lit(size)).otherwise(limit)
-    most = max(TOP_DEFAULT, *TOP_VALUES.values())
-    ranked = df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    widest = max([most, *most_of.values()])
+    ranked = df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= widest)
     return ranked.filter(F.col("rank") <= limit).drop("_campaign")
 
 

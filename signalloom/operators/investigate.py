@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.rules import IMPORTANT_TOKENS
+from ..session import staged
+from .ordering import with_position
 
 # What a diagnosis says.
 CAUSE_UNKNOWN_TIMEOUT = ("Timeout pattern detected. Check network stability, transport delay, "
@@ -21,10 +23,6 @@ ADVICE = {
     "chunks": "Review important chunks and similar historical patterns.",
     "none": "No immediate action detected.",
 }
-MESSAGE_CHARS = 180
-EVIDENCE_LINES = 200
-EVIDENCE_FALLBACK_LINES = 50
-MAX_RECOMMENDATIONS = 10
 
 
 def _col(df: DataFrame, name: str, kind: str = "string") -> Column:
@@ -222,8 +220,11 @@ def value_distribution(events: DataFrame) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).drop("first_seq")
 
 
-def event_timeline(events: DataFrame) -> DataFrame:
-    """Events in trace order with messages cut for display."""
+def event_timeline(events: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Events as timeline rows, ordered by ``seq`` within a testcase.
+
+    ``max_chars`` cuts messages for display; sorting is left to the reader.
+    """
     return events.select(
         "testcase_id",
         "seq",
@@ -235,8 +236,8 @@ def event_timeline(events: DataFrame) -> DataFrame:
         "cause",
         _col(events, "retry_recommended", "boolean").alias("retry"),
         _col(events, "recommendation").alias("recommendation"),
-        tx.cut_text(F.col("normalized_message"), MESSAGE_CHARS, "...").alias("message"),
-    ).orderBy("testcase_id", "seq")
+        tx.cut_text(F.col("normalized_message"), max_chars, "...").alias("message"),
+    )
 
 
 def chunk_table(chunks: DataFrame, important_only: bool = False) -> DataFrame:
@@ -256,36 +257,35 @@ def chunk_table(chunks: DataFrame, important_only: bool = False) -> DataFrame:
     )
 
 
-def raw_evidence(events: DataFrame, important_only: bool = True) -> DataFrame:
-    """Raw lines per testcase: the important ones, or the first lines when none is.
+def raw_evidence(
+    events: DataFrame, important_only: bool = True, most: int | None = None, fallback: int | None = None
+) -> DataFrame:
+    """Raw lines per testcase with their place: the important ones, or all where none is.
 
-    Every step ranks within a testcase and keeps a fixed number of rows, which Spark
-    applies in each task before the shuffle, so no task receives a whole trace.
+    ``most`` keeps the first lines of a testcase, ``fallback`` those of one without important
+    lines.  Places are counted in blocks, so no task receives a whole trace.
     """
     line = F.coalesce(
         *[tx.blank_to_null(_col(events, name)) for name in ("raw_message", "raw", "source_line")]
     )
     lines = events.select("testcase_id", "seq", line.alias("line")).filter("line is not null")
+
+    def first(rows: DataFrame, n: int | None) -> DataFrame:
+        kept = rows if n is None else rows.filter(F.col("position") <= n)
+        return kept.select("testcase_id", F.col("position").cast("int").alias("position"), "seq", "line")
+
     if not important_only:
-        by_case = Window.partitionBy("testcase_id").orderBy("seq")
-        return lines.withColumn("position", F.row_number().over(by_case)).filter(
-            F.col("position") <= EVIDENCE_LINES
-        )
-    lines = lines.withColumn("hit", F.expr(tx.contains_any("lower(line)", IMPORTANT_TOKENS)))
-    by_kind = Window.partitionBy("testcase_id", "hit").orderBy("seq")
-    ranked = lines.withColumn("position", F.row_number().over(by_kind)).filter(
-        F.col("position") <= EVIDENCE_LINES
-    )
-    some = F.bool_or("hit").over(Window.partitionBy("testcase_id"))
-    return (
-        ranked.withColumn("some", some)
-        .filter(F.col("hit") | (~F.col("some") & (F.col("position") <= EVIDENCE_FALLBACK_LINES)))
-        .select("testcase_id", "position", "seq", "line")
-    )
+        return first(with_position(lines, name="position"), most)
+    # written once: lines are read by the hits, by the rest and by what tells them apart
+    marked = staged(lines.withColumn("hit", F.expr(tx.contains_any("lower(line)", IMPORTANT_TOKENS))))
+    some = marked.groupBy("testcase_id").agg(F.bool_or("hit").alias("some"))
+    hits = with_position(marked.filter("hit"), name="position")
+    others = with_position(marked.filter("NOT hit"), name="position", per_key=some).filter("NOT some")
+    return first(hits, most).unionByName(first(others, most if fallback is None else fallback))
 
 
-def recommendations(events: DataFrame) -> DataFrame:
-    """Distinct recommendations per testcase in order of first appearance, at most ten."""
+def recommendations(events: DataFrame, most: int | None = None) -> DataFrame:
+    """Distinct recommendations per testcase in order of first appearance; ``most`` keeps the first."""
     firsts = (
         events.select("testcase_id", "seq", _col(events, "recommendation").alias("recommendation"))
         .filter(F.coalesce(F.col("recommendation"), F.lit("")) != "")
@@ -293,6 +293,5 @@ def recommendations(events: DataFrame) -> DataFrame:
         .agg(F.min("seq").alias("first_seq"))
     )
     order = Window.partitionBy("testcase_id").orderBy("first_seq")
-    return firsts.withColumn("position", F.row_number().over(order)).filter(
-        F.col("position") <= MAX_RECOMMENDATIONS
-    )
+    placed = firsts.withColumn("position", F.row_number().over(order))
+    return placed if most is None else placed.filter(F.col("position") <= most)

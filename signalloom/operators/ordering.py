@@ -46,6 +46,7 @@ def with_position(
 
 
 def latest_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key, the one with the highest ``order``."""
-    newest = Window.partitionBy(key).orderBy(F.desc(order))
+    """One row per key, the one with the highest ``order``; ties go to the greatest content."""
+    content = F.xxhash64(*[c for c in df.columns if c not in (key, order)])
+    newest = Window.partitionBy(key).orderBy(F.desc(order), F.desc(content))
     return df.withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1").drop("_rn")

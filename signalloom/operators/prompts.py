@@ -8,10 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 
-MAX_NEIGHBOURS = 5
 CUT_MARK = "\n...[truncated]"
-SUMMARY_CHARS = 12000
-ROOT_CAUSE_CHARS = 14000
 
 # Chunk fields shown in a prompt, in order.
 CHUNK_FIELDS = ["chunk_id", "trace_id", "testcase_id", "event_count", "event_names", "event_families",
@@ -105,11 +102,12 @@ def chunk_metadata(chunks: DataFrame) -> Column:
     )
 
 
-def neighbour_context(neighbours: DataFrame, style: str = "summary") -> DataFrame:
-    """The nearest five neighbours of each chunk as JSON lines, and how many there are in all.
+def neighbour_context(neighbours: DataFrame, style: str = "summary", most: int | None = None) -> DataFrame:
+    """The neighbours of each chunk as JSON lines, nearest first, and how many there are.
 
     ``neighbours`` carries ``query_chunk_id``, ``rank``, ``chunk_id``, ``distance`` and a
-    ``metadata`` struct.  Only five short lines per chunk are ever collected.
+    ``metadata`` struct; a chunk has as many as the search was asked for.  ``most`` shows the
+    nearest ones only.
     """
     fields = neighbours.schema["metadata"].dataType
     meta = F.col("metadata")
@@ -131,7 +129,9 @@ def neighbour_context(neighbours: DataFrame, style: str = "summary") -> DataFram
             *tail,
         ]
     )
-    shown = F.when(F.col("rank") <= MAX_NEIGHBOURS, F.struct("rank", line.alias("line")))
+    shown = F.struct("rank", line.alias("line"))
+    if most is not None:
+        shown = F.when(F.col("rank") <= most, shown)
     return neighbours.groupBy(F.col("query_chunk_id").alias("chunk_id")).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(shown)), lambda r: r["line"]), "\n"
@@ -141,10 +141,11 @@ def neighbour_context(neighbours: DataFrame, style: str = "summary") -> DataFram
 
 
 def _prompts(
-    chunks: DataFrame, neighbours: DataFrame, style: str, limit: int, product: str, max_chunks: int | None
+    chunks: DataFrame, neighbours: DataFrame, style: str, limit: int | None, product: str, max_chunks: int | None,
+    max_neighbours: int | None,
 ) -> DataFrame:
     picked = chunks.orderBy("testcase_id", "chunk_index").limit(max_chunks) if max_chunks else chunks
-    joined = picked.join(neighbour_context(neighbours, style), "chunk_id", "left")
+    joined = picked.join(neighbour_context(neighbours, style, max_neighbours), "chunk_id", "left")
     return joined.select(
         *picked.columns,
         F.coalesce("similar_incident_count", F.lit(0)).alias("similar_incident_count"),
@@ -162,18 +163,18 @@ def _prompts(
 
 def summary_prompts(
     chunks: DataFrame, neighbours: DataFrame, product: str = "roaming",
-    max_chunks: int | None = None, max_chars: int = SUMMARY_CHARS,
+    max_chunks: int | None = None, max_chars: int | None = None, max_neighbours: int | None = None,
 ) -> DataFrame:
     """Chunks with the prompt that asks for an operational summary."""
-    return _prompts(chunks, neighbours, "summary", max_chars, product, max_chunks)
+    return _prompts(chunks, neighbours, "summary", max_chars, product, max_chunks, max_neighbours)
 
 
 def root_cause_prompts(
     chunks: DataFrame, neighbours: DataFrame, product: str = "roaming",
-    max_chunks: int | None = None, max_chars: int = ROOT_CAUSE_CHARS,
+    max_chunks: int | None = None, max_chars: int | None = None, max_neighbours: int | None = None,
 ) -> DataFrame:
     """Chunks with the prompt that asks for a root-cause hypothesis."""
-    return _prompts(chunks, neighbours, "root_cause", max_chars, product, max_chunks)
+    return _prompts(chunks, neighbours, "root_cause", max_chars, product, max_chunks, max_neighbours)
 
 
 # Chunk fields kept next to an answer, in order.

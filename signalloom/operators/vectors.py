@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +14,6 @@ from ..functions import text as tx
 from ..schemas import CHUNK_SETS
 from .ordering import latest_per_key
 
-EMBEDDING_CHARS = 6000
-
 
 def semantic_text(chunks: DataFrame) -> Column:
     """Labelled sections of a chunk as one text for embedding."""
@@ -48,8 +49,10 @@ def signal_query(signals: Column) -> Column:
     )
 
 
-def embedding_input(text: Column) -> Column:
-    return F.substring(F.coalesce(text, F.lit("")), 1, EMBEDDING_CHARS)
+def embedding_input(text: Column, limit: int | None = None) -> Column:
+    """Text for an embedding model, cut only for models that take ``limit`` characters."""
+    whole = F.coalesce(text, F.lit(""))
+    return whole if limit is None else F.substring(whole, 1, limit)
 
 
 def split_empty(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
@@ -58,27 +61,45 @@ def split_empty(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     return df.filter(usable), df.filter(~usable)
 
 
-def fit_text_vectors(df: DataFrame, text: str = "text", dimensions: int = 256):
-    """A hashed TF-IDF text model, unit length.  ``df`` is the corpus its weights come from."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+@dataclass(frozen=True)
+class TextModel:
+    """Hashed TF-IDF: a word's slot comes from its MD5, a slot's weight from the texts that hold it."""
+
+    text: str
+    rarity: list[float]
 
-    return Pipeline(
-        stages=[
-            RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}_]+"),
-            HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimensions),
-            IDF(inputCol="_counts", outputCol="_weighted"),
-            Normalizer(inputCol="_weighted", outputCol="_unit"),
-        ]
-    ).fit(df)
 
+def _slots(text: str, dimensions: int) -> Column:
+    """The slot of each word of a text; words are runs of letters, digits and underscores."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % dimensions).cast("int"))
 
-def embed(model, df: DataFrame, output: str = "embedding") -> DataFrame:
-    """Apply a fitted text model; the vector is an array of floats."""
-    from pyspark.ml.functions import vector_to_array
 
-    vectors = model.transform(df).withColumn(output, vector_to_array("_unit", "float32"))
-    return vectors.drop("_words", "_counts", "_weighted", "_unit")
+def fit_text_vectors(df: DataFrame, text: str = "text", dimensions: int = 256) -> TextModel:
+    """A hashed TF-IDF text model of unit vectors.  ``df`` is the corpus its weights come from.
+
+    One aggregate over whole texts; the model holds one number per dimension.
+    """
+    held = df.select(F.explode(F.array_distinct(_slots(text, dimensions))).alias("slot")).groupBy("slot").count()
+    known = {r["slot"]: r["count"] for r in held.collect()}
+    total = df.count()
+    return TextModel(text, [math.log((1.0 + total) / (1.0 + known[i])) if i in known else 0.0 for i in range(dimensions)])
+
+
+def embed(model: TextModel, df: DataFrame, output: str = "embedding") -> DataFrame:
+    """Apply a fitted text model; the vector is an array of floats, zero for a text without known words."""
+    rarity = np.array(model.rarity)
+
+    @F.pandas_udf("array<float>")
+    def weigh(slots: pd.Series) -> pd.Series:
+        out = []
+        for own in slots:
+            row = np.bincount(own, minlength=len(rarity)) * rarity if len(own) else np.zeros(len(rarity))
+            length = np.sqrt((row**2).sum())
+            out.append((row / length if length else row).astype(np.float32))
+        return pd.Series(out, index=slots.index)
+
+    return df.withColumn(output, weigh(_slots(model.text, len(rarity))))
 
 
 def flat_metadata(chunks: DataFrame) -> DataFrame:
@@ -105,8 +126,14 @@ def attach_embeddings(chunks: DataFrame, embeddings: DataFrame) -> tuple[DataFra
 
 
 def upsert(stored: DataFrame, batch: DataFrame, order: str = "batch_id") -> DataFrame:
-    """Vector table after a batch: per chunk the row of the latest batch."""
-    return latest_per_key(stored.unionByName(batch), "chunk_id", order)
+    """Vector table after a batch: per chunk the row of the latest batch.
+
+    Of several rows of a chunk in one batch the one with the greatest content wins.  Stored
+    rows that the batch does not touch are neither sorted nor compared.
+    """
+    touched = batch.select("chunk_id").distinct()
+    latest = latest_per_key(stored.join(touched, "chunk_id", "left_semi").unionByName(batch), "chunk_id", order)
+    return stored.join(touched, "chunk_id", "left_anti").unionByName(latest)
 
 
 def similarity(distance: Column) -> Column:
@@ -125,7 +152,8 @@ def distance_to(query: list[float], metric: str = "sq_l2"):
         rows = np.stack(vectors.to_numpy()).astype(np.float64)
         if metric == "cosine":
             norms = np.linalg.norm(rows, axis=1) * np.linalg.norm(target)
-            return pd.Series(1.0 - rows @ target / norms)
+            # a zero vector has no direction: distance 1
+            return pd.Series(1.0 - np.divide(rows @ target, norms, out=np.zeros(len(rows)), where=norms > 0))
         squares = ((rows - target) ** 2).sum(axis=1)
         return pd.Series(np.sqrt(squares) if metric == "l2" else squares)
 

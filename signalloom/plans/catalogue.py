@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -235,7 +235,7 @@ def time_shift(spark, d):
 
 
 @_query(sql("""SELECT DISTINCT testcase_id, error FROM clocks, (VALUES
- ('mapping_failed:time(PTC_A.StartTime:list index out of range'),
+ ('mapping_failed:time(PTC_A.StartTime:a clock rule reads time(parameter, format)'),
  ('mapping_failed:[a;:unterminated character set at position 0')) v(error)""", "clocks"))
 def parser_errors(spark, d):
     mapping = [{"value": "time(PTC_A.StartTime"}, {"value": "[a;"}, {"value": "PTC_A.EndTime"}]
@@ -450,7 +450,7 @@ def semantic_text(spark, d):
 
 @_query("SELECT doc_id, md5(substr(text, 1, 6000)) AS text_md5, least(length(text), 6000) AS n FROM documents")
 def truncate_text(spark, d):
-    cut = vec.embedding_input(F.col("text"))
+    cut = vec.embedding_input(F.col("text"), 6000)
     return fx.table(spark, d, "documents").select(
         "doc_id", F.md5(cut).alias("text_md5"), F.length(cut).cast("long").alias("n")
     )
@@ -584,18 +584,36 @@ def _embedded(spark, d):
     return model, usable, vec.embed(model, usable)
 
 
-@_query()
-def embed_texts(spark, d):
-    _, _, vectors = _embedded(spark, d)
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    return vectors.select("chunk_id", F.size("embedding").alias("dimensions"), F.round(norm, 3).alias("norm"))
+_WEIGHTS = r"""WITH texts AS (SELECT conv_id || '-' || turn AS chunk_id, text FROM conversations WHERE trim(coalesce(text, '')) <> ''),
+words AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM texts),
+slots AS (SELECT chunk_id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 256 AS slot FROM words),
+counts AS (SELECT chunk_id, slot, count(*) AS n FROM slots GROUP BY 1, 2),
+held AS (SELECT slot, ln((1.0 + (SELECT count(*) FROM texts)) / (1.0 + count(*))) AS rarity FROM counts GROUP BY 1),
+raw AS (SELECT chunk_id, slot, n * rarity AS w FROM counts JOIN held USING (slot)),
+weights AS (SELECT chunk_id, slot, CASE WHEN s > 0 THEN w / s ELSE 0 END AS w
+ FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY chunk_id)) AS s FROM raw) x)"""
 
 
-@_query()
+@_query(_WEIGHTS + " SELECT chunk_id, slot, round(w, 4) AS weight FROM weights WHERE w <> 0")
+def embed_texts(spark, d):
+    _, _, vectors = _embedded(spark, d)
+    cells = vectors.select("chunk_id", F.posexplode("embedding").alias("slot", "w")).filter("w <> 0")
+    return cells.select("chunk_id", F.col("slot").cast("long").alias("slot"), F.round(F.col("w").cast("double"), 4).alias("weight"))
+
+
+@_query(_WEIGHTS + """, dots AS (SELECT a.chunk_id AS q, b.chunk_id AS c, sum(a.w * b.w) AS dot
+ FROM weights a JOIN weights b USING (slot) GROUP BY 1, 2),
+norms AS (SELECT chunk_id, sum(w * w) AS s FROM weights GROUP BY 1),
+lengths AS (SELECT chunk_id, coalesce(s, 0) AS s FROM texts LEFT JOIN norms USING (chunk_id)),
+pairs AS (SELECT a.chunk_id AS q, b.chunk_id AS c, round(greatest(0, a.s + b.s - 2 * coalesce(dot, 0)), 5) AS d
+ FROM lengths a CROSS JOIN lengths b LEFT JOIN dots ON q = a.chunk_id AND c = b.chunk_id)
+SELECT q AS query_chunk_id, round(d, 3) AS distance, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, c) AS rank
+ FROM pairs) x WHERE rank <= 5 GROUP BY 1, 2""")
 def search_by_text(spark, d):
+    """Every text asks; the distances of its five nearest, with how many lie at each."""
     model, usable, vectors = _embedded(spark, d)
-    asked = usable.filter(F.col("chunk_id").endswith("-0"))
-    return _rounded(nearest_chunks(vectors, vec.embed(model, asked), k=5), "query_chunk_id")
+    found = nearest_chunks(vectors, vec.embed(model, usable), k=5)
+    return found.groupBy("query_chunk_id", F.round("distance", 3).alias("distance")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- retry and health --------------------------------------------------------------------
@@ -697,9 +715,12 @@ def retry_distribution(spark, d):
     return health.decision_counts(_reports(spark, d)[1], "retry_decision")
 
 
-@_query("SELECT 'x' AS decision, CAST(1 AS BIGINT) AS n FROM events WHERE false")
+@_query(sql("SELECT decision, count(*) AS n, CAST(0 AS BIGINT) AS n_as_observed FROM rep GROUP BY 1", "rep"))
 def retry_distribution_as_observed(spark, d):
-    return health.decision_counts(_reports(spark, d)[1])
+    """Decisions, and how many of them a report counts that looks in the column it names."""
+    reports = staged(_reports(spark, d)[1])
+    observed = health.decision_counts(reports).withColumnRenamed("n", "n_as_observed")
+    return health.decision_counts(reports, "retry_decision").join(observed, "decision", "full").fillna(0, ["n", "n_as_observed"])
 
 
 _CLUSTER = """CASE WHEN n_plmn > 0 OR n_reject > 0 THEN 'Roaming registration rejection pattern'
@@ -739,28 +760,45 @@ def recommended_action_decided(spark, d):
 # --- prompts -----------------------------------------------------------------------------
 
 
-def _prompt_sql(style: str, lines: str, limit: int) -> str:
+# The texts that a prompt must hold, written out so that the SQL checks them.
+_PROMPT_TEXTS = {
+    "summary": (
+        "\n\nChunk evidence:\n",
+        "\n\nSimilar historical chunks:\n",
+        "\n\nReturn only this structure:\n\nOperational summary:\n- \n\nFailure indicators:\n- \n\nRetry relevance:\n- \n\n"
+        "Similarity observations:\n- \n\nRecommended next checks:\n- \n\nConfidence:\n- high / medium / low with short reason",
+    ),
+    "root_cause": (
+        "\n\nTrace evidence:\n",
+        "\n\nSimilar historical incidents:\n",
+        "\n\nReturn the analysis with these sections:\n\n1. Probable root cause\n2. Evidence from trace\n"
+        "3. Similar historical patterns\n4. Confidence level: low / medium / high\n5. What to inspect next\n"
+        "6. Retry recommendation: retry / wait / do not retry / escalate",
+    ),
+}
+
+
+def _prompt_sql(style: str, lines: str) -> str:
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
-    cut = (f"CASE WHEN length(text) > {limit} THEN substr(text, 1, {limit}) || chr(10) || '...[truncated]'"
-           " ELSE text END")
+    evidence, similar, closing = _PROMPT_TEXTS[style]
     parts = [
-        quoted(prompts.OPENING.replace("{product}", "roaming")), "payload", quoted(prompts.EVIDENCE_TITLE[style]),
-        cut, quoted(prompts.NEIGHBOUR_TITLE[style]), "n.lines", quoted(prompts.CLOSING[style]),
+        quoted("Analyze this roaming telecom operational chunk.\n\nChunk metadata:\n"), "payload", quoted(evidence),
+        "text", quoted(similar), "n.lines", quoted(closing),
     ]
     return sql(f"""SELECT chunk_id, n.n AS similar_incident_count, md5({' || '.join(parts)}) AS prompt_md5
 FROM pay JOIN {lines} n ON n.query_chunk_id = pay.chunk_id""", "pay", lines)
 
 
-@_query(_prompt_sql("summary", "nls", 1500))
+@_query(_prompt_sql("summary", "nls"))
 def summary_prompt(spark, d):
     chunks = fx.staged_chunks_of(spark, d)
-    made = prompts.summary_prompts(chunks, fx.following_chunks(chunks), max_chars=1500)
+    made = prompts.summary_prompts(chunks, fx.following_chunks(chunks))
     return made.select("chunk_id", "similar_incident_count", F.md5("prompt").alias("prompt_md5"))
 
 
-@_query(_prompt_sql("root_cause", "nlr", 14000))
+@_query(_prompt_sql("root_cause", "nlr"))
 def rca_prompt(spark, d):
     chunks = fx.staged_chunks_of(spark, d)
     made = prompts.root_cause_prompts(chunks, fx.following_chunks(chunks))
@@ -879,13 +917,18 @@ def value_distribution(spark, d):
 
 
 @_query(sql("""SELECT testcase_id, seq, ts_text AS "timestamp", event_name, event_family AS family, severity, result, cause,
- again AS retry, advice AS recommendation, CASE WHEN length(normalized_message) > 180
- THEN substr(normalized_message, 1, 180) || '...' ELSE normalized_message END AS message FROM ev""", "ev"))
+ again AS retry, advice AS recommendation, normalized_message AS message FROM ev""", "ev"))
 def event_timeline(spark, d):
     shown = inv.event_timeline(fx.events_of(spark, d, True))
     return shown.withColumn("timestamp", tx.clock_text(F.col("timestamp")))
 
 
+@_query(sql("""SELECT testcase_id, seq, CASE WHEN length(normalized_message) > 60
+ THEN substr(normalized_message, 1, 60) || '...' ELSE normalized_message END AS message FROM ev""", "ev"))
+def event_timeline_cut(spark, d):
+    return inv.event_timeline(fx.events_of(spark, d, True), max_chars=60).select("testcase_id", "seq", "message")
+
+
 _TABLE = """SELECT testcase_id, chunk_index, chunk_id, event_count, replace(event_names, ',', ', ') AS events,
  replace(event_families, ',', ', ') AS families, replace(causes, ',', ', ') AS causes, has_failure,
  has_high_severity, has_retry_recommended FROM ch"""
@@ -905,22 +948,43 @@ _HIT = " OR ".join(f"contains(lower(raw_message), '{w}')" for w in
                    ["fail", "reject", "timeout", "retry", "notregistered", "detached", "plmn", "locationupdate"])
 
 
-@_query(sql(f"""SELECT testcase_id, CAST(position AS INTEGER) AS position, seq, raw_message AS line FROM (
+def _evidence_sql(kept: str, hit: str = _HIT) -> str:
+    return sql(f"""SELECT testcase_id, CAST(position AS INTEGER) AS position, seq, raw_message AS line FROM (
  SELECT *, row_number() OVER (PARTITION BY testcase_id, hit ORDER BY seq) AS position,
- bool_or(hit) OVER (PARTITION BY testcase_id) AS any_hit FROM (SELECT *, ({_HIT}) AS hit FROM ev) a) b
-WHERE position <= CASE WHEN hit THEN 200 WHEN any_hit THEN 0 ELSE 50 END""", "ev"))
+ bool_or(hit) OVER (PARTITION BY testcase_id) AS any_hit FROM (SELECT *, ({hit}) AS hit FROM ev) a) b
+WHERE {kept}""", "ev")
+
+
+@_query(_evidence_sql("hit OR NOT any_hit"))
 def raw_evidence(spark, d):
     return inv.raw_evidence(fx.events_of(spark, d))
 
 
-@_query(sql("""SELECT testcase_id, advice AS recommendation, first_seq, CAST(position AS INTEGER) AS position FROM (
+@_query(_evidence_sql("position <= CASE WHEN hit THEN 20 WHEN any_hit THEN 0 ELSE 5 END"))
+def raw_evidence_first(spark, d):
+    return inv.raw_evidence(fx.events_of(spark, d), most=20, fallback=5)
+
+
+@_query(_evidence_sql("true", "true"))
+def raw_evidence_all(spark, d):
+    return inv.raw_evidence(fx.events_of(spark, d), important_only=False)
+
+
+_ADVICE = """SELECT testcase_id, advice AS recommendation, first_seq, CAST(position AS INTEGER) AS position FROM (
  SELECT *, row_number() OVER (PARTITION BY testcase_id ORDER BY first_seq) AS position FROM (
- SELECT testcase_id, advice, min(seq) AS first_seq FROM ev WHERE advice IS NOT NULL GROUP BY 1, 2) a) b
-WHERE position <= 10""", "ev"))
+ SELECT testcase_id, advice, min(seq) AS first_seq FROM ev WHERE advice IS NOT NULL GROUP BY 1, 2) a) b"""
+
+
+@_query(sql(_ADVICE, "ev"))
 def recommendations(spark, d):
     return inv.recommendations(fx.events_of(spark, d, True))
 
 
+@_query(sql(_ADVICE + " WHERE position <= 2", "ev"))
+def recommendations_first(spark, d):
+    return inv.recommendations(fx.events_of(spark, d, True), most=2)
+
+
 _DEFAULT = """CASE WHEN named_timeout THEN 'Check timeout thresholds, network stability, signaling delay and retry behavior.'
  WHEN retries > 0 THEN 'Compare retry count with historical successful retries before escalation.'
  WHEN failures > 0 THEN 'Inspect failed trace lines and compare with similar incidents.'
@@ -963,32 +1027,83 @@ def stream_events(spark, d):
 
 @_query(sql("""SELECT strftime(time_bucket(INTERVAL '1 hour', CAST(ts_text AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS window_start,
  coalesce(operator, 'unknown') AS operator, count(*) AS events, count(*) FILTER (WHERE timing_out) AS timeouts,
- count(*) FILTER (WHERE failing) AS failures FROM fail_ev WHERE ts_text IS NOT NULL GROUP BY 1, 2""", "fail_ev"))
+ count(*) FILTER (WHERE failing) AS failures FROM fail_ev GROUP BY 1, 2""", "fail_ev"))
 def storm_counts(spark, d):
-    counts = live.storm_counts(fx.events_of(spark, d), "1 hour")
+    """Events without a clock are counted under no window."""
+    events = fx.events_of(spark, d)
+    counts = live.storm_counts(events, "1 hour")
+    rest = live.without_clock(events).groupBy(F.coalesce("operator", F.lit("unknown")).alias("operator")).agg(
+        F.count(F.lit(1)).alias("events"), F.count_if(inv.is_timeout()).alias("timeouts"),
+        F.count_if(inv.is_failure()).alias("failures"),
+    )
     start = F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")
-    return counts.select(start.alias("window_start"), "operator", "events", "timeouts", "failures")
+    placed = counts.select(start.alias("window_start"), "operator", "events", "timeouts", "failures")
+    return placed.unionByName(rest.withColumn("window_start", F.lit(None).cast("string")))
+
+
+# Sliding windows that the watermark has passed; later ones are still open.
+_SLOTS = """SELECT *, time_bucket(INTERVAL '30 minutes', CAST(ts_text AS TIMESTAMP)) AS slot FROM fail_ev WHERE ts_text IS NOT NULL"""
+_CLOSED_STORMS = f"""SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, coalesce(operator, 'unknown') AS operator, count(*) AS events,
+ count(*) FILTER (WHERE timing_out) AS timeouts, count(*) FILTER (WHERE failing) AS failures
+FROM (SELECT *, slot AS ws FROM ({_SLOTS}) a UNION ALL SELECT *, slot - INTERVAL '30 minutes' FROM ({_SLOTS}) b) w
+WHERE ws + INTERVAL '1 hour' <= (SELECT max(CAST(ts_text AS TIMESTAMP)) - INTERVAL '10 minutes' FROM fail_ev) GROUP BY 1, 2"""
 
 
-@_query()
+@_query(sql(_CLOSED_STORMS, "fail_ev"))
 def stream_storm_counts(spark, d):
     values = evd.trace_values(fx.trace_rows(spark, d))
     counts = live.storm_counts(live.stream_events(_live_rows(spark, d), values), "1 hour", "30 minutes")
-    return live.drain(counts, stage_folder(spark))
+    start = F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")
+    found = live.drain(counts, stage_folder(spark))
+    return found.select(start.alias("window_start"), "operator", "events", "timeouts", "failures")
 
 
-@_query(sql("""SELECT testcase_id, strftime(min(t), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS events FROM (
+_SESSIONS = """SELECT testcase_id, strftime(min(t), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS events FROM (
  SELECT *, sum(fresh) OVER (PARTITION BY testcase_id ORDER BY t, seq) AS part FROM (
  SELECT *, CASE WHEN t < lag(t) OVER (PARTITION BY testcase_id ORDER BY t, seq) + INTERVAL '12 hours' THEN 0 ELSE 1 END AS fresh
  FROM (SELECT testcase_id, seq, CAST(ts_text AS TIMESTAMP) AS t FROM ev WHERE ts_text IS NOT NULL) a) b) c
-GROUP BY testcase_id, part""", "ev"))
+GROUP BY testcase_id, part"""
+
+
+@_query(sql(_SESSIONS + " UNION ALL SELECT testcase_id, NULL, count(*) FROM ev WHERE ts_text IS NULL GROUP BY testcase_id", "ev"))
 def activity_sessions(spark, d):
-    sessions = live.activity_sessions(fx.events_of(spark, d), "12 hours")
+    """Events without a clock are counted per testcase under no session."""
+    events = fx.events_of(spark, d)
+    sessions = live.activity_sessions(events, "12 hours")
     start = F.date_format("session_start", "yyyy-MM-dd HH:mm:ss")
-    return sessions.select("testcase_id", start.alias("session_start"), "events")
+    rest = live.without_clock(events).groupBy("testcase_id").agg(F.count(F.lit(1)).alias("events"))
+    placed = sessions.select("testcase_id", start.alias("session_start"), "events")
+    return placed.unionByName(rest.withColumn("session_start", F.lit(None).cast("string")))
 
 
-@_query(sql("SELECT event_id FROM ev WHERE ts_text IS NOT NULL", "ev"))
+@_query(sql(_SESSIONS + """ HAVING max(t) + INTERVAL '12 hours' <= (SELECT max(CAST(ts_text AS TIMESTAMP)) - INTERVAL '10 minutes'
+ FROM ev)""", "ev"))
+def stream_sessions(spark, d):
+    """Sessions that the watermark has closed."""
+    sessions = live.activity_sessions(live.stream_events(_live_rows(spark, d)), "12 hours")
+    start = F.date_format("session_start", "yyyy-MM-dd HH:mm:ss")
+    found = live.drain(sessions, stage_folder(spark))
+    return found.select("testcase_id", start.alias("session_start"), "events")
+
+
+@_query(sql("SELECT testcase_id || '@' || CAST(seq AS VARCHAR) AS event_id FROM ev", "ev"))
+def stream_unique_events(spark, d):
+    twice = _live_rows(spark, d).withColumn("again", F.explode(F.array(F.lit(1), F.lit(2)))).drop("again")
+    return live.drain(live.unique_events(live.stream_events(twice), "60 days").select("event_id"), stage_folder(spark))
+
+
+@_query("SELECT vec_id AS chunk_id, label FROM embeddings")
+def stream_vector_upsert(spark, d):
+    schema = fx.table(spark, d, "embeddings").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(d)
+    folder = stage_folder(spark)
+    rows = stream.select(F.col("vec_id").alias("chunk_id"), "label", "embedding")
+    writer = live.upsert_vectors(rows, f"{folder}/vectors", f"{folder}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return live.read_vectors(spark, f"{folder}/vectors").select("chunk_id", "label")
+
+
+@_query(sql("SELECT event_id FROM ev", "ev"))
 def unique_events(spark, d):
     events = fx.events_of(spark, d)
     return live.unique_events(events.unionByName(events)).select("event_id")
@@ -997,21 +1112,21 @@ def unique_events(spark, d):
 # --- stage files -------------------------------------------------------------------------
 
 
-@_query(sql("SELECT testcase_id, count(*) AS evidence FROM found WHERE category IS NOT NULL GROUP BY 1", "found"))
+@_query(sql("""SELECT testcase_id, row_number() OVER (PARTITION BY testcase_id ORDER BY seq) AS place, stamp AS "Timestamp",
+ ev AS "Event", info AS "Information" FROM rows WHERE seq % 2 = 1""", "rows"))
 def trace_csv_scan(spark, d):
+    """Two files per testcase, of which the one with the highest path counts; every row and its place."""
     folder = stage_folder(spark)
-    rows = fx.trace_rows(spark, d)
-    header = rows.select("testcase_id", *TRACE_COLUMNS)
+    rows = fx.trace_rows(spark, d).withColumns({"case": F.col("testcase_id"), "half": F.col("seq") % 2})
     (
-        header.withColumn("case", F.col("testcase_id")).drop("testcase_id")
-        .repartition("case").write.partitionBy("case").option("header", True).option("sep", ";")
-        .option("escape", '"').csv(folder)
+        rows.repartition("case", "half").sortWithinPartitions("case", "half", "seq").select("case", "half", *TRACE_COLUMNS)
+        .write.partitionBy("case", "half").option("header", True).option("sep", ";").option("escape", '"').csv(folder)
     )
-    read = traces.read_traces(spark, folder + "/case=*")
+    read = traces.read_traces(spark, folder + "/case=*/half=*")
     case = F.regexp_extract("source_trace", r"case=(\d{9})", 1)
-    return evd.classify(read.withColumn("testcase_id", case)).groupBy("testcase_id").agg(
-        F.count(F.lit(1)).alias("evidence")
-    )
+    one = traces.one_file_per_testcase(read.withColumn("testcase_id", case))
+    place = F.row_number().over(Window.partitionBy("testcase_id").orderBy("seq")).cast("long")
+    return one.select("testcase_id", place.alias("place"), "Timestamp", "Event", "Information")
 
 
 @_query(sql("SELECT event_id, event_name, severity, tag_text FROM ev", "ev"))
@@ -1031,14 +1146,20 @@ def chunk_files(spark, d):
     return stages.read_stage(spark, folder).select("chunk_id", _joined("event_names"), "has_failure")
 
 
-@_query(sql("SELECT seq, stamp AS \"Timestamp\", ev AS \"Event\", info AS \"Information\" FROM rows", "rows"))
+@_query(sql("SELECT testcase_id, seq, stamp AS \"Timestamp\", ev AS \"Event\", info AS \"Information\", true AS in_order FROM rows", "rows"))
 def plain_trace_scan(spark, d):
+    """Files with a header in another order than asked for; every row and its place in its file."""
     folder = stage_folder(spark)
-    columns = ["number", "Timestamp", "Event", "Information"]
-    rows = fx.trace_rows(spark, d).withColumn("number", F.col("seq").cast("string"))
-    rows.select(F.concat_ws(",", *columns)).write.text(folder)
-    read = traces.read_plain_traces(spark, folder, columns)
-    return read.select(F.col("number").cast("long").alias("seq"), *columns[1:])
+    written = ["Information", "case", "number", "Event", "Timestamp"]
+    rows = fx.trace_rows(spark, d).withColumns({"number": F.col("seq").cast("string"), "case": F.col("testcase_id")})
+    spread = rows.repartition(4, "case").sortWithinPartitions("case", "seq")
+    spread.select(*written).write.option("header", True).option("nullValue", "").option("emptyValue", "").csv(folder)
+    read = traces.read_plain_traces(spark, folder, ["case", "number", "Timestamp", "Event", "Information"])
+    number = F.col("number").cast("long")
+    before = F.lag(number).over(Window.partitionBy("source_trace", "case").orderBy("seq"))
+    return read.withColumn("in_order", F.coalesce(before < number, F.lit(True))).select(
+        F.col("case").alias("testcase_id"), number.alias("seq"), "Timestamp", "Event", "Information", "in_order"
+    )
 
 
 @_query(sql("""SELECT v.testcase_id, coalesce(x.operator, '') AS operator, coalesce(x.country, '') AS country

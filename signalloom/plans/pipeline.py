@@ -17,12 +17,22 @@ from ..operators.vectors import (
 )
 from ..session import staged
 from ..sources.stages import read_stage, write_report_bundle, write_stage
+from ..sources.traces import one_file_per_testcase
 
 
-def ingest(trace_rows: DataFrame, out: str, mapping: list[dict] | None = None, **options) -> DataFrame:
-    """Trace rows to the stored ``values``, ``raw_signals`` and ``events`` tables; returns events."""
+def ingest(
+    trace_rows: DataFrame, out: str, mapping: list[dict] | None = None, artifacts: DataFrame | None = None, **options
+) -> DataFrame:
+    """Trace rows to the stored ``values``, ``raw_signals`` and ``events`` tables; returns events.
+
+    One file counts per testcase: that of ``artifacts`` (``discover``), else the highest path,
+    where rows say which file they come from.  A file that may hold quoted line breaks is read
+    by one task (``read_traces``).
+    """
+    if "source_trace" in trace_rows.columns:
+        trace_rows = one_file_per_testcase(trace_rows, artifacts)
     rows = staged(trace_rows)  # raw text is parsed once
-    evidence = classify(rows)
+    evidence = staged(classify(rows))  # and classified once
     write_stage(trace_values(rows, mapping, every_trace=True), f"{out}/values")
     write_stage(raw_signals(evidence), f"{out}/raw_signals")
     values = read_stage(rows.sparkSession, f"{out}/values")
@@ -32,12 +42,14 @@ def ingest(trace_rows: DataFrame, out: str, mapping: list[dict] | None = None, *
 
 def analyse(
     events: DataFrame, out: str, chunk_size: int = 2000, chunk_overlap: int = 200, k: int = 5,
-    embeddings=None, skip_embedding: bool = False, skip_similarity: bool = False, **options,
+    embeddings=None, skip_embedding: bool = False, skip_similarity: bool = False, strict: bool = False, **options,
 ) -> dict[str, DataFrame]:
-    """Events to the stored ``chunks``, ``vectors`` and ``neighbours`` tables.
+    """Events to the stored ``chunks``, ``vectors``, ``rejects`` and ``neighbours`` tables.
 
     ``embeddings`` maps a table with ``chunk_id`` and ``text`` to one with ``chunk_id`` and
-    ``embedding``; by default texts are embedded with a model fitted on them.
+    ``embedding``; by default texts are embedded with a model fitted on them.  Chunks without
+    text and chunks that got no vector are written to ``rejects`` with the reason; ``strict``
+    makes them an error.
     """
     spark = events.sparkSession
     write_stage(build_chunks(events, chunk_size, chunk_overlap), f"{out}/chunks")
@@ -45,12 +57,19 @@ def analyse(
     tables = {"chunks": chunks}
     if skip_embedding:
         return tables
-    texts, _ = split_empty(chunks.select("chunk_id", embedding_input(semantic_text(chunks)).alias("text")), "text")
+    texts, blank = split_empty(chunks.select("chunk_id", embedding_input(semantic_text(chunks)).alias("text")), "text")
     if embeddings is None:
         found = embed(fit_text_vectors(texts), texts)
     else:
         found = embeddings(texts)
-    with_vectors, _ = attach_embeddings(chunks, found)
+    with_vectors, lost = attach_embeddings(chunks.join(texts.select("chunk_id"), "chunk_id", "left_semi"), found)
+    rejects = blank.select("chunk_id", F.lit("empty text").alias("reason")).unionByName(
+        lost.select("chunk_id", F.lit("no vector").alias("reason"))
+    )
+    write_stage(rejects, f"{out}/rejects")
+    tables["rejects"] = read_stage(spark, f"{out}/rejects")
+    if strict and (bad := tables["rejects"].count()):
+        raise ValueError(f"{bad} chunks without text or vector, see {out}/rejects")
     stored = flat_metadata(chunks).join(with_vectors.select("chunk_id", "text", "embedding"), "chunk_id")
     write_stage(stored, f"{out}/vectors")
     tables["vectors"] = read_stage(spark, f"{out}/vectors")
@@ -63,14 +82,20 @@ def analyse(
 
 def report(
     spark: SparkSession, data: str, out: str, run_id: str, max_chunks: int | None = None,
-    decision_col: str = "retry_recommendation", product: str = "roaming",
+    decision_col: str = "retry_recommendation", product: str = "roaming", root_causes: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Stored chunks and neighbours to the report bundle: retry advice, health and prompts."""
+    """Stored chunks and neighbours to the report bundle: retry advice, health and prompts.
+
+    ``root_causes`` are the answers to root-cause prompts that health counts.  A campaign
+    without chunks is an error.
+    """
     chunks = read_stage(spark, f"{data}/chunks")
+    if chunks.limit(1).count() == 0:
+        raise ValueError("no chunks to report on")
     neighbours = read_stage(spark, f"{data}/neighbours")
     picked = staged(reportable(chunks, max_chunks))
     advice = staged(retry_reports(picked, neighbours))
-    health = campaign_health(picked, advice, decision_col=decision_col)
+    health = campaign_health(picked, advice, root_causes, decision_col=decision_col)
     meta = flat_metadata(chunks)
     described = neighbours.join(
         meta.select("chunk_id", F.struct(*[c for c in meta.columns if c != "chunk_id"]).alias("metadata")), "chunk_id"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,22 @@ def build_session(app: str = "signalloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a session whose cluster has not installed it.
+
+    Python steps import it there.  A local session shares the driver's path and needs nothing.
+    """
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="signalloom-ship-"), "signalloom.zip")  # read by the driver alone
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(target)
+
+
 def stage_folder(spark: SparkSession) -> str:
     """A new folder for one table, in the shared folder of ``spark.checkpoint.dir``.
 

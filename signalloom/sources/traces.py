@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,6 +68,11 @@ def read_traces(spark: SparkSession, path, split_files: bool = False) -> DataFra
     return _rows(reader, path, split_files)
 
 
+def _clean(line: str) -> Column:
+    """A header line without byte-order mark, quotes and carriage return."""
+    return F.regexp_replace(line, '[\r\ufeff"]', "")
+
+
 def trace_headers(spark: SparkSession, path) -> DataFrame:
     """First line of every file: ``file_path``, ``header``."""
     lines = spark.read.text(path).select(
@@ -83,17 +88,19 @@ def trace_headers(spark: SparkSession, path) -> DataFrame:
     )
 
 
-def read_traces_any_header(spark: SparkSession, path, split_files: bool = False) -> DataFrame:
+def read_traces_any_header(spark: SparkSession, path, split_files: bool = False, max_headers: int = 100) -> DataFrame:
     """Like ``read_traces`` for files whose headers order the columns differently.
 
-    Files are read once per distinct header (a handful), columns bound by name; columns
-    a file lacks are null.
+    Each reader gets the files of one header only, and columns are bound by name; columns a
+    file lacks are null.  ``max_headers`` bounds what reaches the driver; more kinds of header
+    are an error, since such files are no traces.
     """
-    headers = trace_headers(spark, path).withColumn(
-        "header", F.regexp_replace("header", r'[\r﻿"]', "")
-    )
+    headers = trace_headers(spark, path).withColumn("header", _clean("header"))
+    kinds = headers.groupBy("header").agg(F.collect_list("file_path").alias("paths")).orderBy("header").limit(max_headers + 1).collect()
+    if len(kinds) > max_headers:
+        raise ValueError(f"more than {max_headers} kinds of header under {path}")
     parts = []
-    for row in headers.select("header").distinct().orderBy("header").collect():
+    for row in kinds:
         columns = row["header"].split(";")
         reader = (
             spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
@@ -103,30 +110,50 @@ def read_traces_any_header(spark: SparkSession, path, split_files: bool = False)
             .option("multiLine", not split_files)
             .option("mode", "PERMISSIVE")
         )
-        rows = _rows(reader, path, split_files)
-        mine = headers.filter(F.col("header") == row["header"]).select(F.col("file_path").alias("source_trace"))
+        rows = _rows(reader, row["paths"], split_files)
         kept = [F.col(c) if c in columns else F.lit(None).cast("string").alias(c) for c in TRACE_COLUMNS]
-        parts.append(
-            rows.join(mine, "source_trace", "left_semi").select("testcase_id", "seq", *kept, "source_trace")
-        )
+        parts.append(rows.select("testcase_id", "seq", *kept, "source_trace"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def read_plain_traces(spark: SparkSession, path, columns: list[str] | None = None) -> DataFrame:
-    """Comma-separated traces split at every comma, no quoting; short rows end in nulls."""
+    """Comma-separated traces split at every comma, no quoting; short rows end in nulls.
+
+    The first line of a file is its header, and columns bind to it by name, whatever their
+    order; columns that a file lacks are null.  Large files are read in parallel.
+    """
     columns = columns or TRACE_COLUMNS
-    lines = spark.read.text(path)
-    rows = _with_order(lines, split_files=False)
-    parts = F.split("value", ",", -1)
-    header = F.lit(",".join(columns))
-    return rows.filter(F.rtrim("value") != header).select(
+    lines = _with_order(spark.read.text(path), split_files=True)
+    # one row per file: the line that begins at its first byte
+    first = lines.filter("seq = 1").select("file_path", F.split(F.trim(_clean("value")), r"\s*,\s*", -1).alias("header"))
+    parts = F.split(F.regexp_replace("value", "\r$", ""), ",", -1)
+    rows = lines.filter("seq > 1 AND trim(value) != ''").join(first, "file_path").withColumn("parts", parts)
+
+    def named(column: str) -> Column:
+        at = F.array_position("header", column)
+        return F.when(at > 0, F.get("parts", (at - 1).cast("int"))).alias(column)
+
+    return rows.select(
         names.testcase_id(names.base_name(F.col("file_path"))).alias("testcase_id"),
         "seq",
-        *[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)],
+        *[named(c) for c in columns],
         F.col("file_path").alias("source_trace"),
     )
 
 
+def one_file_per_testcase(rows: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
+    """Rows of the one trace file that stands for each testcase: that of ``artifacts``
+    (``discover``), else the highest path.
+
+    Files number their rows on their own, so rows of two files would share positions.
+    """
+    if artifacts is None:
+        chosen = rows.groupBy("testcase_id").agg(F.max("source_trace").alias("source_trace"))
+    else:
+        chosen = artifacts.select("testcase_id", F.col("trace_path").alias("source_trace"))
+    return rows.join(chosen, ["testcase_id", "source_trace"], "left_semi")
+
+
 def explode_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """Text column to non-blank lines: 1-based line number, stripped text, name, labels."""
     # Fixed value: the fifth ``;`` field names the event.

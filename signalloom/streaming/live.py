@@ -5,7 +5,7 @@ Every function takes a streaming or a batch DataFrame and gives the same rows fo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -35,12 +35,20 @@ def _timed(events: DataFrame, delay: str) -> DataFrame:
     return timed.withWatermark("event_time", delay)
 
 
+def without_clock(events: DataFrame) -> DataFrame:
+    """The events that windows and sessions cannot place, so that sums add up."""
+    return events.filter("timestamp is null")
+
+
 def unique_events(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Each event id once, however often its source row is replayed within ``delay``."""
-    timed = _timed(events, delay)
-    if timed.isStreaming:
-        return timed.dropDuplicatesWithinWatermark(["event_id"])
-    return timed.dropDuplicates(["event_id"])
+    """Each event id once, however often its source row is replayed within ``delay``.
+
+    Events without a clock know no delay; a stream remembers their ids for good.
+    """
+    if not events.isStreaming:
+        return events.dropDuplicates(["event_id"])
+    timed = _timed(events, delay).dropDuplicatesWithinWatermark(["event_id"]).drop("event_time")
+    return timed.unionByName(without_clock(events).dropDuplicates(["event_id"]))
 
 
 def storm_counts(
@@ -62,7 +70,14 @@ def storm_counts(
 
 
 def activity_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Bursts of events per testcase, ended by a silence of ``gap``."""
+    """Bursts of events per testcase, ended by a silence of ``gap``.
+
+    A table is first counted by time slots as long as the gap, in each of which a testcase has
+    one session at most; only slots are then put in order, so that no task gets all events of
+    a busy testcase.
+    """
+    if not events.isStreaming:
+        return _slot_sessions(events, gap)
     sessions = _timed(events, delay).groupBy(
         F.session_window("event_time", gap).alias("w"), "testcase_id"
     ).agg(F.count(F.lit(1)).alias("events"))
@@ -71,6 +86,26 @@ def activity_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "
     )
 
 
+def _slot_sessions(events: DataFrame, gap: str) -> DataFrame:
+    timed = events.withColumn("event_time", F.col("timestamp").cast("timestamp")).filter("event_time is not null")
+    micros = F.unix_micros("event_time")
+    width = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {gap}"))
+    slots = (
+        timed.groupBy("testcase_id", F.floor(micros / width).alias("slot"))
+        .agg(F.min("event_time").alias("first"), F.max("event_time").alias("last"), F.count(F.lit(1)).alias("n"))
+    )
+    in_turn = Window.partitionBy("testcase_id").orderBy("slot")
+    pause = F.unix_micros("first") - F.unix_micros(F.lag("last").over(in_turn))
+    opened = slots.withColumn("opens", F.coalesce((pause > width).cast("int"), F.lit(1)))
+    numbered = opened.withColumn("session", F.sum("opens").over(in_turn))
+    joined = numbered.groupBy("testcase_id", "session").agg(
+        F.min("first").alias("session_start"), F.max("last").alias("last"), F.sum("n").alias("events")
+    )
+    return joined.select(
+        "testcase_id", "session_start", (F.col("last") + F.expr(f"interval {gap}")).alias("session_end"), "events"
+    )
+
+
 def upsert_vectors(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Vectors of each micro-batch into their own folder; a replayed batch replaces itself."""
 

@@ -1,6 +1,8 @@
-"""Chunk packing against a line-by-line restatement, and chunk contents."""
+"""Chunk packing against sums of line lengths, and chunk contents."""
 
 import random
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pytest
@@ -10,26 +12,23 @@ from signalloom.functions.packing import Block, chain
 from signalloom.operators import chunking
 
 
-def line_by_line(lengths, size, overlap):
-    """Packs one line at a time; gives 1-based (line start, line end, event start)."""
-    chunks, lines, events, used = [], [], [], 0
-    for i, length in enumerate(lengths, start=1):
-        if lines and used + length > size:
-            chunks.append((lines[0], lines[-1], events[0]))
-            kept, total = [], 0
-            for j in reversed(lines if overlap > 0 else []):
-                kept.insert(0, j)
-                total += lengths[j - 1]
-                if total >= overlap:
-                    break
-            lines, events = kept, events[-max(1, len(events) // 10):]
-            used = sum(lengths[j - 1] for j in lines)
-        lines.append(i)
-        events.append(i)
-        used += length
-    if lines:
-        chunks.append((lines[0], lines[-1], events[0]))
-    return chunks
+def by_sums(lengths, size, overlap):
+    """1-based (line start, line end, event start) of each chunk, from sums of line lengths.
+
+    A chunk takes new lines up to the last whose sum from the chunk's start fits, and one at
+    least.  The next starts at the last line from which the overlap is full, and its events at
+    a tenth of this chunk's events before its end.
+    """
+    upto = [0, *accumulate(lengths)]
+    start, first_event, new, out = 1, 1, 1, []
+    while new <= len(lengths):
+        end = max(new, bisect_right(upto, upto[start - 1] + size) - 1)
+        out.append((start, end, first_event))
+        first_event = end + 1 - max(1, (end - first_event + 1) // 10)
+        full = bisect_right(upto, upto[end] - overlap)
+        start = max(start, full) if overlap > 0 else end + 1
+        new = end + 1
+    return out
 
 
 def block_by_block(lengths, size, overlap, rows):
@@ -54,12 +53,12 @@ def random_case(rng):
     return lengths, rng.choice([1, 5, 20, 100, 400]), rng.choice([-1, 0, 1, 5, 20, 100, 500])
 
 
-def test_packing_matches_line_by_line():
+def test_packing_matches_by_sums():
     rng = random.Random(7)
     compared = 0
     for _ in range(3000):
         lengths, size, overlap = random_case(rng)
-        expected = line_by_line(lengths, size, overlap)
+        expected = by_sums(lengths, size, overlap)
         assert block_by_block(lengths, size, overlap, 10**6) == expected
         try:
             assert block_by_block(lengths, size, overlap, 40) == expected
@@ -71,20 +70,21 @@ def test_packing_matches_line_by_line():
 
 def test_every_event_is_new_in_one_chunk():
     lengths, size, overlap = [7] * 500, 60, 15
-    ends = [end for _, end, _ in line_by_line(lengths, size, overlap)]
+    ends = [end for _, end, _ in by_sums(lengths, size, overlap)]
     assert ends == sorted(set(ends)) and ends[-1] == 500
 
 
 @pytest.mark.parametrize("block_rows", [10**6, 50])
 def test_bounds_on_spark_with_a_hot_trace(spark, block_rows):
     rng = random.Random(3)
-    lengths = {"hot": [rng.randint(1, 40) for _ in range(900)], "a": [30] * 7, "b": [500], "c": [1, 900, 1]}
+    lengths = {"hot": [rng.randint(1, 40) for _ in range(900)], "a": [30] * 7, "b": [500], "c": [1, 900, 1],
+               "thin": [1 if i % 100 else 60 for i in range(1500)], "tiny": [1] * 400}
     rows = [(case, i + 1, n) for case, all_ in lengths.items() for i, n in enumerate(all_)]
     lines = spark.createDataFrame(rows, "testcase_id string, event_index long, length int").repartition(5)
     found = chunking.chunk_bounds(lines, 200, 50, block_rows=block_rows).orderBy("testcase_id", "chunk_index").collect()
     for case, all_ in lengths.items():
         mine = [r for r in found if r["testcase_id"] == case]
-        assert [(r["line_start"], r["line_end"], r["event_start"]) for r in mine] == line_by_line(all_, 200, 50)
+        assert [(r["line_start"], r["line_end"], r["event_start"]) for r in mine] == by_sums(all_, 200, 50)
         assert [r["chunk_index"] for r in mine] == list(range(len(mine)))
 
 

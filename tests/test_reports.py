@@ -99,14 +99,16 @@ def test_dominant_values_break_ties_by_first_appearance(spark):
     assert (len(row["dominant_tags"]), len(row["dominant_causes"])) == (20, 10)
 
 
-def test_prompt_metadata_is_json_and_neighbours_stop_at_five(spark):
+def test_prompt_metadata_is_json_and_neighbours_stop_where_asked(spark):
     chunks = chunks_of(spark, [chunk(0, text='say "hi"\n', event_names=["A", 'B"q'], has_failure=True), chunk(1)])
     near = spark.range(7).select(
         F.lit("t::chunk_0").alias("query_chunk_id"), (F.col("id") + 1).cast("int").alias("rank"),
         F.concat(F.lit("n"), "id").alias("chunk_id"),
         F.when(F.col("id") != 2, F.col("id") * F.lit(0.00005)).alias("distance"),
         F.struct(F.lit("A,B").alias("event_names"), F.lit(True).alias("has_failure")).alias("metadata"))
-    made = prompts.summary_prompts(chunks, near, "Acme").orderBy("chunk_id").collect()
+    every = prompts.summary_prompts(chunks, near, "Acme").orderBy("chunk_id").first()["prompt"]
+    assert len(every.split("Similar historical chunks:\n")[1].split("\n\nReturn only")[0].splitlines()) == 7
+    made = prompts.summary_prompts(chunks, near, "Acme", max_neighbours=5).orderBy("chunk_id").collect()
     first = made[0]["prompt"]
     assert first.startswith("Analyze this Acme telecom operational chunk.")
     payload = first.split("Chunk metadata:\n")[1].split("\n\nChunk evidence:")[0]
@@ -148,8 +150,11 @@ def test_investigation_fallbacks(spark):
     assert texts["b"]["action"] == inv.ADVICE["timeout"]
     assert texts["b"]["likely_cause"] == "Main detected cause: TIMEOUT"
     lines = inv.raw_evidence(events).groupBy("testcase_id").count().collect()
+    assert {r["testcase_id"]: r["count"] for r in lines} == {"a": 1, "b": 300, "c": 80}
+    lines = inv.raw_evidence(events, most=200, fallback=50).groupBy("testcase_id").count().collect()
     assert {r["testcase_id"]: r["count"] for r in lines} == {"a": 1, "b": 200, "c": 50}
-    assert inv.raw_evidence(events, important_only=False).count() == 1 + 200 + 80
+    assert inv.raw_evidence(events, important_only=False).count() == 1 + 300 + 80
+    assert inv.raw_evidence(events, important_only=False, most=70).count() == 1 + 70 + 70
     overview = {r["testcase_id"]: r for r in inv.testcase_overview(events).collect()}
     assert overview["b"]["failures"] == 300 and overview["a"]["operator"] == ""
     assert inv.of_testcase(events, "a").count() == 1

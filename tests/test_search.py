@@ -96,3 +96,48 @@ def test_text_vectors_find_the_same_text(spark):
     asked = vec.embed(model, usable.filter("chunk_id = 'b'").withColumn("chunk_id", F.lit("q")))
     best = nearest_chunks(vec.embed(model, usable), asked, k=1).first()
     assert (best["query_chunk_id"], best["chunk_id"]) == ("q", "b")
+
+
+@pytest.mark.parametrize("task", [2048, 30])
+def test_many_ties_go_to_the_lowest_ids(spark, task):
+    """Unit vectors at right angles: each is as far from all others."""
+    rows = [(i, [1.0 if j == i else 0.0 for j in range(100)]) for i in range(100)]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(3)
+    found = {}
+    for r in nearest_chunks(df, k=3, task_vectors=task).collect():
+        found.setdefault(r["query_chunk_id"], {})[r["rank"]] = r["chunk_id"]
+    for i in range(100):
+        assert [found[i][n] for n in (1, 2, 3)] == [i, *[j for j in range(3) if j != i][:2]]
+
+
+def test_zero_vectors_have_a_cosine_distance(spark):
+    rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    found = {(r["query_chunk_id"], r["chunk_id"]): r["distance"] for r in nearest_chunks(df, k=3, metric="cosine").collect()}
+    assert found[1, 1] == 0 and found[1, 2] == found[1, 3] == found[2, 1] == found[2, 3] == pytest.approx(1.0)
+    assert {r["chunk_id"]: r["distance"] for r in vec.search(df, [1.0, 0.0], 3, "cosine").collect()} == {2: 0.0, 1: 1.0, 3: 1.0}
+
+
+def test_probes_reach_most_neighbours(points):
+    df, ids, data = points
+    exact = {(r["query_chunk_id"], r["chunk_id"]) for r in nearest_chunks(df, k=5).collect()}
+    some = {(r["query_chunk_id"], r["chunk_id"]) for r in nearest_chunks(df, k=5, probes=8).collect()}
+    assert len(some & exact) >= 0.9 * len(exact)
+
+
+def test_texts_are_embedded_whole(spark):
+    tail = "unusual ending words"
+    rows = [("a", "common words here " * 600 + tail), ("b", tail), ("c", "common words here"), ("d", "...")]
+    df = spark.createDataFrame(rows, "chunk_id string, text string")
+    model = vec.fit_text_vectors(df, dimensions=64)
+    found = {r["chunk_id"]: np.array(r["embedding"]) for r in vec.embed(model, df).collect()}
+    assert found["a"] @ found["b"] > 0 and not found["d"].any()
+    assert np.linalg.norm(found["b"]) == pytest.approx(1, abs=1e-5)
+
+
+def test_rows_of_one_batch_have_a_defined_winner(spark):
+    stored = spark.createDataFrame([("a", 1, 1), ("b", 1, 1)], "chunk_id string, v int, batch_id int")
+    batch = spark.createDataFrame([("a", 7, 2), ("a", 8, 2)], stored.schema)
+    first = {(r["chunk_id"], r["v"]) for r in vec.upsert(stored, batch).collect()}
+    again = {(r["chunk_id"], r["v"]) for r in vec.upsert(stored, batch.orderBy("v", ascending=False)).collect()}
+    assert first == again and ("b", 1) in first and len(first) == 2
