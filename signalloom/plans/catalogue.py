@@ -22,6 +22,8 @@ from .oracle import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: Groups that the approximate neighbour search looks into.
+KNN_PROBES = 34
 
 
 def _query(oracle: str | None = None, name: str | None = None):
@@ -828,6 +830,43 @@ def answered_prompts(spark, d):
     return prompts.answered(asked, answers).select("chunk_id", "summary", _joined("event_names"), "similar_incident_count")
 
 
+# --- from vectors to health --------------------------------------------------------------
+
+
+def _chain(spark, d):
+    chunks = fx.staged_chunks_of(spark, d)
+    vectors = staged(fx.chunk_vectors(spark, d, chunks))
+    return chunks, retry.retry_reports(chunks, nearest_chunks(vectors, k=5))
+
+
+@_query(sql("""SELECT chunk_id, decision AS retry_decision, match_count AS historical_match_count,
+ round(round(mean_distance, 6), 3) AS average_distance FROM real_rep""", "real_rep"))
+def retry_chain(spark, d):
+    """Vectors, their nearest neighbours, features and decision in one chain."""
+    return _chain(spark, d)[1].select(
+        "chunk_id", "retry_decision", "historical_match_count", F.round("average_distance", 3).alias("average_distance")
+    )
+
+
+@_query(sql("SELECT decision, count(*) AS n, (SELECT count(*) FROM ch) AS total_chunks FROM real_rep GROUP BY 1", "real_rep", "ch"))
+def health_chain(spark, d):
+    chunks, reports = _chain(spark, d)
+    report = health.campaign_health(chunks, staged(reports), decision_col="retry_decision")
+    return report.select(F.explode("retry_decision_distribution").alias("decision", "n"), "total_chunks")
+
+
+@_query("SELECT count(*) AS asked, true AS recall_reached FROM embeddings")
+def knn_recall(spark, d):
+    """The approximate search finds nine in ten of the exact five nearest."""
+    vectors = fx.vectors_of(spark, d)
+    exact = nearest_chunks(vectors, k=5).select("query_chunk_id", "chunk_id")
+    found = nearest_chunks(vectors, k=5, probes=KNN_PROBES).select("query_chunk_id", "chunk_id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_chunk_id", "chunk_id"], "left")
+    return both.agg(
+        F.count_distinct("query_chunk_id").alias("asked"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_reached")
+    )
+
+
 # --- investigation -----------------------------------------------------------------------
 
 _OVERVIEW = """SELECT testcase_id, arg_min(coalesce(operator, ''), seq) AS operator,
@@ -868,6 +907,19 @@ def chunk_lookup(spark, d):
     return inv.of_chunk(fx.chunks_of(spark, d), "350000008::chunk_2").select("chunk_id", _joined("event_names"))
 
 
+@_query(sql("SELECT chunk_id, 'seen ' || event_names AS summary FROM ch WHERE testcase_id = '350000008'", "ch"))
+def summary_lookup(spark, d):
+    """The stored summaries of one testcase."""
+    made = inv.of_testcase(fx.chunks_of(spark, d), "350000008").select(
+        "chunk_id", "trace_id", "testcase_id", F.concat(F.lit("seen "), F.array_join("event_names", ",")).alias("summary"),
+        F.lit(0).cast("long").alias("similar_incident_count"), F.col("chunk_index").alias("_at"),
+    )
+    folder = stage_folder(spark)
+    stages.export_arrays(made, folder, "testcase_id", "_at")
+    stored = stages.read_summary_files(spark, folder + "/testcase_id=350000008")
+    return stored.select("chunk_id", "summary")
+
+
 @_query(sql("SELECT event_id FROM fail_ev WHERE failing", "fail_ev"))
 def failure_events(spark, d):
     return fx.events_of(spark, d).filter(inv.is_failure()).select("event_id")
@@ -1139,6 +1191,38 @@ def event_files(spark, d):
     )
 
 
+@_query(sql("""SELECT testcase_id, row_number() OVER (PARTITION BY testcase_id ORDER BY seq) AS place, event_id, event_name,
+ severity, tag_text FROM ev""", "ev"))
+def event_array_files(spark, d):
+    """Events as one JSON array per testcase, read back with their places."""
+    folder = stage_folder(spark)
+    stages.export_arrays(fx.events_of(spark, d), folder, "testcase_id", "seq")
+    case = F.regexp_extract("_metadata.file_path", r"testcase_id=(\d+)", 1)
+    read = stages.read_event_files(spark, folder + "/*", case)
+    return read.select("testcase_id", F.col("seq").alias("place"), "event_id", "event_name", "severity", _joined("tags").alias("tag_text"))
+
+
+@_query(sql("SELECT chunk_id, testcase_id, chunk_index, event_count, event_names, causes, has_failure FROM ch", "ch"))
+def chunk_array_files(spark, d):
+    folder = stage_folder(spark)
+    stages.export_arrays(fx.chunks_of(spark, d).withColumn("_at", F.col("chunk_index")).withColumn("case", F.col("testcase_id")), folder, "case", "_at")
+    return stages.read_chunk_files(spark, folder + "/*").select(
+        "chunk_id", "testcase_id", "chunk_index", "event_count", _joined("event_names"), _joined("causes"), "has_failure"
+    )
+
+
+@_query(_knn_sql("PARTITION BY query_chunk_id", "query_chunk_id,"))
+def similarity_files(spark, d):
+    """Neighbours as JSON arrays per query and as the neighbours table."""
+    folder = stage_folder(spark)
+    stages.write_stage(nearest_chunks(fx.vectors_of(spark, d)), f"{folder}/table")
+    table = stages.read_stage(spark, f"{folder}/table")
+    stages.export_arrays(table.withColumn("query", F.col("query_chunk_id") % 7).withColumn("_at", F.struct("query_chunk_id", "rank")), f"{folder}/arrays", "query", "_at")
+    read = stages.read_similarity_files(spark, f"{folder}/arrays/*")
+    ids = {c: F.col(c).cast("long") for c in ("query_chunk_id", "chunk_id")}
+    return _rounded(read.withColumns(ids), "query_chunk_id")
+
+
 @_query(sql("SELECT chunk_id, event_names, has_failure FROM ch", "ch"))
 def chunk_files(spark, d):
     folder = stage_folder(spark)
@@ -1174,13 +1258,32 @@ def parsed_traces(spark, d):
     return stages.read_stage(spark, folder).select("testcase_id", value("operator"), value("country"))
 
 
-@_query(sql("SELECT chunk_id, decision AS retry_decision, match_count AS historical_match_count FROM rep", "rep"))
+@_query(sql("""SELECT 'retry_reports' AS part, chunk_id AS id, decision AS detail, match_count AS n FROM rep
+UNION ALL SELECT 'summaries', chunk_id, 'seen ' || event_names, length(text) FROM ch
+UNION ALL SELECT 'root_cause_reports', chunk_id, 'due to ' || causes, event_count FROM ch
+UNION ALL SELECT 'campaign_health', 'all', CAST(count(DISTINCT testcase_id) AS VARCHAR), count(*) FROM ch""", "rep", "ch"))
 def report_bundle(spark, d):
+    """All four tables of a bundle, read back."""
     folder = stage_folder(spark)
     chunks, reports = _reports(spark, d)
     reports = staged(reports)
-    texts = chunks.select("chunk_id", F.length("text").alias("summary"))
-    stages.write_report_bundle(folder, "run-1", health.campaign_health(chunks, reports), texts, texts, reports)
-    return spark.read.schema(reports.schema).json(f"{folder}/retry_reports").select(
-        "chunk_id", "retry_decision", "historical_match_count"
+
+    def answers(start, names, number):
+        text = F.concat(F.lit(start), F.coalesce(F.array_join(names, ","), F.lit("")))
+        return chunks.select("chunk_id", text.alias("answer"), number.cast("long").alias("n"))
+
+    summaries = answers("seen ", "event_names", F.length("text"))
+    causes = answers("due to ", "causes", F.col("event_count"))
+    stages.write_report_bundle(folder, "run-1", health.campaign_health(chunks, reports), summaries, causes, reports)
+
+    def part(name, schema, key, detail, n):
+        table = spark.read.schema(f"{schema}, run_id string").json(f"{folder}/{name}").filter("run_id = 'run-1'")
+        return table.select(F.lit(name).alias("part"), key.alias("id"), F.col(detail).cast("string").alias("detail"), F.col(n).alias("n"))
+
+    chunk = F.col("chunk_id")
+    return (
+        part("retry_reports", "chunk_id string, retry_decision string, historical_match_count long", chunk, "retry_decision", "historical_match_count")
+        .unionByName(part("summaries", "chunk_id string, answer string, n long", chunk, "answer", "n"))
+        .unionByName(part("root_cause_reports", "chunk_id string, answer string, n long", chunk, "answer", "n"))
+        .unionByName(part("campaign_health", "unique_testcase_count long, total_chunks long", F.lit("all"), "unique_testcase_count", "total_chunks"))
     )

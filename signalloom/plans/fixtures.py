@@ -157,6 +157,14 @@ def vectors_of(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def chunk_vectors(spark: SparkSession, folder: str, chunks: DataFrame) -> DataFrame:
+    """``chunk_id`` and ``embedding`` of each chunk; chunks share the vectors of ``embeddings``."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    number = F.substring("testcase_id", 4, 20).cast("long") * 31 + F.col("chunk_index")
+    placed = chunks.select("chunk_id", F.pmod(number, F.lit(vectors.count())).alias("vec_id"))
+    return placed.join(vectors, "vec_id").drop("vec_id")
+
+
 def following_chunks(chunks: DataFrame, reach: int = 4) -> DataFrame:
     """Neighbours of a chunk: itself and the next chunks of its trace, at made-up distances."""
     steps = F.explode(F.sequence(F.lit(0), F.lit(reach - 1))).alias("step")

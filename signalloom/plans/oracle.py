@@ -246,7 +246,8 @@ _REFUSED = " OR ".join([
     _in_list("event_families", "authentication"), _in_list("event_families", "registration"),
     _in_list("causes", "NAS_NOT_REGISTERED"), _in_list("tags", "REJECT_SIGNAL")])
 
-_cte("rep", ["feat"], f"""
+def _report(features: str) -> str:
+    return f"""
 SELECT *, CASE o WHEN 1 THEN 'escalate' WHEN 2 THEN 'do_not_retry' WHEN 3 THEN 'retry_after_cooldown'
   WHEN 4 THEN 'escalate' WHEN 5 THEN 'retry' ELSE 'no_retry_needed' END AS decision,
  CASE o WHEN 1 THEN 'critical' WHEN 2 THEN 'high' WHEN 3 THEN 'medium' WHEN 4 THEN 'high' WHEN 5 THEN 'low'
@@ -259,7 +260,25 @@ SELECT *, CASE o WHEN 1 THEN 'escalate' WHEN 2 THEN 'do_not_retry' WHEN 3 THEN '
   ELSE 'Chunk does not indicate retry-worthy failure.' END AS reason
 FROM (SELECT *, CASE WHEN has_high_severity THEN 1
  WHEN match_count >= 3 AND mean_distance <= 0.01 AND has_failure THEN 2
- WHEN {_UNSTABLE} THEN 3 WHEN {_REFUSED} THEN 4 WHEN has_failure THEN 5 ELSE 6 END AS o FROM feat) x""")
+ WHEN {_UNSTABLE} THEN 3 WHEN {_REFUSED} THEN 4 WHEN has_failure THEN 5 ELSE 6 END AS o FROM {features}) x"""
+
+
+_cte("rep", ["feat"], _report("feat"))
+
+# Chunks with the vectors of ``embeddings`` (several chunks share one) and their five nearest.
+_cte("chunk_vec", ["ch"], """
+SELECT chunk_id, (CAST(substr(testcase_id, 4) AS BIGINT) * 31 + chunk_index) % (SELECT count(*) FROM embeddings) AS vec_id FROM ch""")
+
+_cte("near", ["chunk_vec", "pairs"], """
+SELECT * FROM (SELECT p.query_chunk_id AS vec_id, c.chunk_id, p.d, row_number() OVER (
+  PARTITION BY p.query_chunk_id ORDER BY round(p.d, 9), c.chunk_id) AS rank
+ FROM pairs p JOIN chunk_vec c ON c.vec_id = p.chunk_id) x WHERE rank <= 5""")
+
+_cte("real_feat", ["ch", "near"], """
+SELECT ch.*, n.c AS match_count, n.d AS mean_distance FROM ch JOIN chunk_vec v USING (chunk_id)
+JOIN (SELECT vec_id, count(*) AS c, avg(d) AS d FROM near GROUP BY 1) n ON n.vec_id = v.vec_id""")
+
+_cte("real_rep", ["real_feat"], _report("real_feat"))
 
 _cte("clocks", ["base"], """
 SELECT testcase_id, event_id AS seq, CASE event_id % 4

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,25 +31,39 @@ def read_json(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_event_files(spark: SparkSession, path) -> DataFrame:
+def export_arrays(df: DataFrame, path: str, key: str, order: str) -> None:
+    """One JSON array per value of ``key``, in ``order``, under ``path/<key>=<value>``.
+
+    An array is one line, so this suits exports of bounded keys; stages stay tables.
+    """
+    fields = F.struct(*[c for c in df.columns if c != order])
+    rows = F.array_sort(  # rows may hold maps, which have no order of their own
+        F.collect_list(F.struct(F.col(order).alias("_at"), fields.alias("row"))),
+        lambda a, b: F.when(a["_at"] < b["_at"], -1).when(a["_at"] > b["_at"], 1).otherwise(0),
+    )
+    arrays = df.groupBy(F.col(key).alias("_key")).agg(rows.alias("rows"))
+    text = F.to_json(F.transform("rows", lambda r: r["row"]), {"ignoreNullFields": "false"})
+    arrays.select("_key", text.alias("value")).withColumnRenamed("_key", key).write.partitionBy(key).text(path)
+
+
+def read_event_files(spark: SparkSession, path, testcase: Column | None = None) -> DataFrame:
     """Per-testcase JSON arrays of events.
 
-    The testcase comes from the file name and the event's place in the array is its
-    index.  A file that does not hold events is skipped.
+    The testcase comes from the file name (or ``testcase``, an expression over
+    ``_metadata.file_path``) and the event's place in the array is its index.  A file none of
+    whose entries has an event's id or name holds no events and is skipped.
     """
+    if testcase is None:
+        testcase = F.regexp_replace(names.base_name(F.col("_metadata.file_path")), r"_events\.json$", "")
     fields = [f for f in EVENT.fields if f.name not in ("testcase_id", "seq", "timestamp")]
     schema = T.StructType([*fields, T.StructField("timestamp", T.StringType())])
     rows = spark.read.schema(schema).option("multiLine", True).json(path)
     in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        rows.select(
-            "*",
-            F.regexp_replace(names.base_name(F.col("_metadata.file_path")), r"_events\.json$", "")
-            .alias("testcase_id"),
-            (in_task + 1).alias("seq"),
-        )
-        .filter(F.col("event_id").isNotNull() | F.col("event_name").isNotNull())
+    found = rows.select(
+        "*", testcase.alias("testcase_id"), (in_task + 1).alias("seq"), F.col("_metadata.file_path").alias("_file")
     )
+    events = found.filter("event_id IS NOT NULL OR event_name IS NOT NULL").select("_file").distinct()
+    return found.join(events, "_file", "left_semi").drop("_file")
 
 
 def read_chunk_files(spark: SparkSession, path) -> DataFrame:
@@ -57,6 +71,21 @@ def read_chunk_files(spark: SparkSession, path) -> DataFrame:
     return spark.read.schema(CHUNK).option("multiLine", True).json(path).filter("chunk_id is not null")
 
 
+# Rows of a similarity file: a match with the chunk that asked, which the file name alone does not keep.
+SIMILARITY = "query_chunk_id string, rank int, chunk_id string, distance double, similarity_score double"
+SUMMARY = "chunk_id string, trace_id string, testcase_id string, summary string, similar_incident_count long"
+
+
+def read_similarity_files(spark: SparkSession, path) -> DataFrame:
+    """JSON arrays of matches, one file or many."""
+    return spark.read.schema(SIMILARITY).option("multiLine", True).json(path).filter("query_chunk_id is not null")
+
+
+def read_summary_files(spark: SparkSession, path) -> DataFrame:
+    """JSON arrays of chunk summaries."""
+    return spark.read.schema(SUMMARY).option("multiLine", True).json(path).filter("chunk_id is not null")
+
+
 def write_report_bundle(
     path: str,
     run_id: str,
