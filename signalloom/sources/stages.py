@@ -60,10 +60,14 @@ def read_event_files(spark: SparkSession, path, testcase: Column | None = None)
     rows = spark.read.schema(schema).option("multiLine", True).json(path)
     in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     found = rows.select(
-        "*", testcase.alias("testcase_id"), (in_task + 1).alias("seq"), F.col("_metadata.file_path").alias("_file")
+        "*", testcase.alias("testcase_id"), in_task.alias("_row"), F.col("_metadata.file_path").alias("_file")
     )
-    events = found.filter("event_id IS NOT NULL OR event_name IS NOT NULL").select("_file").distinct()
-    return found.join(events, "_file", "left_semi").drop("_file")
+    # a task may read several files one after another, so places count from the file's first row
+    files = found.groupBy("_file").agg(
+        F.min("_row").alias("_first"), F.bool_or(F.col("event_id").isNotNull() | F.col("event_name").isNotNull()).alias("_holds")
+    )
+    placed = found.join(files.filter("_holds"), "_file").withColumn("seq", F.col("_row") - F.col("_first") + 1)
+    return placed.drop("_file", "_row", "_first", "_holds")
 
 
 def read_chunk_files(spark: SparkSession, path) -> DataFrame:
