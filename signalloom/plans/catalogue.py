@@ -501,13 +501,15 @@ def vector_count(spark, d):
     return _upserted(spark, d).agg(F.count(F.lit(1)).alias("vectors"))
 
 
-@_query("""SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 4 <> 0) AS attached,
- (SELECT count(*) FROM embeddings WHERE vec_id % 4 = 0) AS missing""")
+@_query("""SELECT vec_id AS chunk_id, CASE WHEN vec_id % 4 <> 0 THEN label END AS label,
+ CASE WHEN vec_id % 4 <> 0 THEN round(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 4) END AS length,
+ vec_id % 4 <> 0 AS attached FROM embeddings""")
 def attach_embeddings(spark, d):
     vectors = fx.vectors_of(spark, d)
     attached, missing = vec.attach_embeddings(vectors.select("chunk_id", "label"), vectors.filter("chunk_id % 4 <> 0"))
-    lost = missing.agg(F.count(F.lit(1))).scalar()
-    return attached.agg(F.count(F.lit(1)).alias("attached")).withColumn("missing", lost)
+    length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    found = attached.select("chunk_id", "label", F.round(length, 4).alias("length"), F.lit(True).alias("attached"))
+    return found.unionByName(missing.withColumn("attached", F.lit(False)), allowMissingColumns=True)
 
 
 def _first_vector(spark, d) -> list[float]:
@@ -904,7 +906,9 @@ def testcase_lookup(spark, d):
 
 @_query(sql("SELECT chunk_id, event_names FROM ch WHERE chunk_id = '350000008::chunk_2'", "ch"))
 def chunk_lookup(spark, d):
-    return inv.of_chunk(fx.chunks_of(spark, d), "350000008::chunk_2").select("chunk_id", _joined("event_names"))
+    events = inv.of_testcase(fx.events_of(spark, d), "350000008")
+    chunks = chunking.build_chunks(staged(events), 2000, 200)
+    return inv.of_chunk(chunks, "350000008::chunk_2").select("chunk_id", _joined("event_names"))
 
 
 @_query(sql("SELECT chunk_id, 'seen ' || event_names AS summary FROM ch WHERE testcase_id = '350000008'", "ch"))

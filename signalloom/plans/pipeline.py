@@ -97,7 +97,9 @@ def report(
     advice = staged(retry_reports(picked, neighbours))
     health = campaign_health(picked, advice, root_causes, decision_col=decision_col)
     meta = flat_metadata(chunks)
-    described = neighbours.join(
+    # only what the picked chunks ask for meets the metadata
+    asked = picked.select(F.col("chunk_id").alias("query_chunk_id"))
+    described = neighbours.join(asked, "query_chunk_id", "left_semi").join(
         meta.select("chunk_id", F.struct(*[c for c in meta.columns if c != "chunk_id"]).alias("metadata")), "chunk_id"
     )
     summaries = summary_prompts(picked, described, product)
