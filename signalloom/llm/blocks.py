@@ -36,9 +36,10 @@ def block_of(doc_id: str, text: str, blocks: int) -> Column:
 
 
 def with_text(docs: DataFrame, text: Column, column: str = "text") -> DataFrame:
-    """Documents with another text; a whole-number ``n_chars`` follows it."""
-    out = docs.withColumn(column, text)
+    """Documents with another text; where it differs, a whole-number ``n_chars`` follows it."""
+    out = docs.withColumn("__text", text)
     for field in docs.schema.fields:
         if field.name == "n_chars" and isinstance(field.dataType, T.IntegralType):
-            out = out.withColumn("n_chars", F.length(column).cast(field.dataType))
-    return out
+            same = F.col("__text").eqNullSafe(F.col(column))
+            out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("__text").cast(field.dataType)))
+    return out.withColumn(column, F.col("__text")).drop("__text")

@@ -149,7 +149,7 @@ def _shards(items: DataFrame, item: str, text: str, max_words: int) -> list[list
     return shards
 
 
-_MARKS = "n_words long, spans array<long>, items array<string>"
+_MARKS = "n_words long, spans array<long>, items array<string>, clean string"
 FOUND = "__leak_marks"
 
 
@@ -161,13 +161,15 @@ def mark(
     item_text: str = "text",
     text: str = "text",
     max_words: int = 4_000_000,
+    cut: bool = False,
 ) -> DataFrame:
-    """All columns of ``docs`` and ``__leak_marks`` (struct: n_words, spans, items).
+    """All columns of ``docs`` and ``__leak_marks`` (struct: n_words, spans, items, clean).
 
     ``spans`` holds first word and one past the last word of each maximal marked run, in turn;
     ``items`` the sorted ids of the items whose windows occur.  An item of fewer words than a
     window is a window of its own; one without words is none; one without an id marks words
     and is not listed.  A null text has no words.  No items: no marks.
+    With ``cut`` a marked text is also given without its spans, in ``clean``.
 
     What is broadcast at a time is bounded by ``max_words``: a larger test set is cut into
     shards of items, and documents stream through one automaton after another.
@@ -177,26 +179,31 @@ def mark(
     for n, shard in enumerate(shards):
         shared = context.broadcast(shard)
 
-        def marked(batches: Iterator[tuple[pa.Array, pa.Array]], shared=shared) -> Iterator[pa.Array]:
+        last = n == len(shards) - 1
+
+        def marked(batches: Iterator[tuple[pa.Array, pa.Array]], shared=shared, cut=cut and last) -> Iterator[pa.Array]:
             automaton = Automaton(shared.value, window)
             for texts, before in batches:
                 rows = []
                 for value, old in zip(texts.cast(pa.large_binary()), before):
-                    words = words_of(value.as_py())
+                    data = value.as_py()
+                    words = words_of(data)
                     hit, found = automaton.hits(words)
                     if old.is_valid:
                         for a, b in zip(*[iter(old["spans"].as_py())] * 2):
                             hit[a:b] = True
                         found |= set(old["items"].as_py())
                     runs = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-                    rows.append((len(words), runs.tolist(), sorted(found)))
+                    clean = _without(data, runs.tolist(), automaton) if cut and len(runs) else None
+                    rows.append((len(words), runs.tolist(), sorted(found), clean))
                 yield pa.StructArray.from_arrays(
                     [
                         pa.array([r[0] for r in rows], pa.int64()),
                         pa.array([r[1] for r in rows], pa.list_(pa.int64())),
                         pa.array([r[2] for r in rows], pa.list_(pa.string())),
+                        pa.array([r[3] for r in rows], pa.string()),
                     ],
-                    names=["n_words", "spans", "items"],
+                    names=["n_words", "spans", "items", "clean"],
                 )
 
         before = F.col(FOUND) if n else F.lit(None).cast(f"struct<{_MARKS.replace(' ', ':').replace(',:', ',')}>")
@@ -222,9 +229,17 @@ def report(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **how) ->
     )
 
 
-def cut_words(text: str, spans: list[int]) -> str:
+def _without(data: bytes, spans: list[int], automaton: Automaton) -> str:
+    """The text without its spans, and without what its parts hold once they have met."""
+    while spans:
+        data = cut_words(data, spans)
+        hit, _ = automaton.hits(words_of(data))
+        spans = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).tolist()
+    return data.decode()
+
+
+def cut_words(data: bytes, spans: list[int]) -> bytes:
     """The text without the bytes from the first to the last word of each span."""
-    data = text.encode()
     plain = data.translate(_TABLE)
     solid = np.concatenate([[0], (np.frombuffer(plain, np.uint8) != 32).view(np.int8), [0]])
     edges = np.flatnonzero(np.diff(solid))
@@ -233,7 +248,7 @@ def cut_words(text: str, spans: list[int]) -> str:
         kept.append(data[at : edges[2 * first]])
         at = int(edges[2 * last - 1])
     kept.append(data[at:])
-    return b"".join(kept).decode()
+    return b"".join(kept)
 
 
 def remove(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5, text: str = "text", **how) -> DataFrame:
@@ -242,15 +257,12 @@ def remove(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5, text: s
     Marked spans leave the text; a document more than ``max_coverage`` of whose words are
     marked leaves the table.  All other documents stay as they are.
     """
-    marked = mark(docs, items, text=text, **how)
+    # one Python step marks and cuts
+    marked = mark(docs, items, text=text, cut=True, **how)
     spans = F.col(f"{FOUND}.spans")
     covered = F.aggregate(
         F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x
     )
 
-    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([cut_words(t, s) if s else t for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
-
     kept = marked.where(covered <= F.col(f"{FOUND}.n_words") * max_coverage)
-    clean = with_text(kept, F.arrow_udf(cut, "string", F.ArrowUDFType.SCALAR)(F.col(text), spans), text)
-    return clean.drop(FOUND)
+    return with_text(kept, F.coalesce(F.col(f"{FOUND}.clean"), F.col(text)), text).drop(FOUND)

@@ -57,5 +57,11 @@ def test_shards_change_nothing(spark, odd, nothing, max_words):
 
 
 def test_cut_takes_the_text_between_words_along():
-    assert cut_words("Äb one, two; three four", [1, 3]) == "Äb ; three four"
-    assert cut_words("one two", [0, 2]) == ""
+    assert cut_words("Äb one, two; three four".encode(), [1, 3]).decode() == "Äb ; three four"
+    assert cut_words(b"one two", [0, 2]) == b""
+
+
+def test_parts_that_meet_after_a_cut_are_cut_too(spark):
+    items = spark.createDataFrame([(1, "a b c"), (2, "x y")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "p x a b c y q r s t u v w")], "doc_id long, text string")
+    assert decontaminate.remove(docs, items).first()["text"].split() == list("pqrstuvw")
