@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage_folder
-from .blocks import BLOCK_BYTES, block_count, block_of, text_bytes
+from .blocks import block_count, block_of, text_bytes
 from .counting import ASKED, Asking, told, totals
 from .packed import LOWER, SPACE, combine, counted, span_digests, utf8, words
 
@@ -65,7 +65,7 @@ def _bits(order: int) -> int:
 
 
 def counts(
-    docs: DataFrame, train: Column, deleted: Column, order: int = 2, block_bytes: int = BLOCK_BYTES, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, train: Column, deleted: Column, order: int = 2, block_bytes: int = 6 << 20, doc_id: str = "doc_id", text: str = "text"
 ) -> tuple[DataFrame, dict[str, int]]:
     """Per document its tokens' counts, and the totals of the corpus.
 
@@ -75,7 +75,7 @@ def counts(
     """
     spark = docs.sparkSession
     blocks = block_count(text_bytes(docs, text), block_bytes)
-    buckets = max(1, -(-blocks // 2))
+    buckets = blocks  # about as many keys to a range as to a block
     source = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(text).alias("text"),
@@ -230,7 +230,7 @@ def weights(table: DataFrame, numbers: dict[str, int], order: int, rounds: int =
 
 
 def scores(
-    docs: DataFrame, train: Column, deleted: Column, order: int = 2, block_bytes: int = BLOCK_BYTES, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, train: Column, deleted: Column, order: int = 2, block_bytes: int = 6 << 20, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per document.
 
