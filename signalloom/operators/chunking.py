@@ -117,13 +117,19 @@ def chunk_bounds(
             opens = chars > chunk_size + keep and chars - final >= keep
         following = {a: b for a, b in zip(sorted(set(blocks)), sorted(set(blocks))[1:])}
         pdf["block"], pdf["next_block"] = blocks, [following.get(b, -1) for b in blocks]
-        return pdf[["testcase_id", "part", "block", "next_block"]]
+        pdf["after_next"] = [following.get(b, -1) for b in pdf["next_block"]]
+        return pdf[["testcase_id", "part", "block", "next_block", "after_next"]]
 
     parts = rows.groupBy("testcase_id", "part").agg(
         F.sum("length").alias("chars"), F.max_by("length", "event_index").alias("final")
     )
     case = rows.schema["testcase_id"].dataType.simpleString()
-    blocks = parts.groupBy("testcase_id").applyInPandas(unite, f"testcase_id {case}, part long, block long, next_block long")
+    parts = parts.withColumn("_most", F.max("part").over(Window.partitionBy("testcase_id")))
+    whole = parts.filter("_most = 0").select(
+        "testcase_id", "part", F.col("part").alias("block"), *[F.lit(-1).cast("long").alias(c) for c in ("next_block", "after_next")]
+    )
+    schema = f"testcase_id {case}, part long, block long, next_block long, after_next long"
+    blocks = whole.unionByName(parts.filter("_most > 0").drop("_most").groupBy("testcase_id").applyInPandas(unite, schema))
     rows = rows.join(blocks, ["testcase_id", "part"]).drop("part")
 
     # Lines at the end of a block are look-back of the next block as well.
@@ -138,27 +144,25 @@ def chunk_bounds(
     is_tail = (F.col("next_block") >= 0) & (
         (left <= chunk_size + keep) | (left - F.col("_last") < keep)
     )
-    spread = F.when(is_tail, F.array(F.col("block"), F.col("next_block"))).otherwise(F.array(F.col("block")))
+    own = F.struct("block", "next_block")
+    following = F.struct(F.col("next_block").alias("block"), F.col("after_next").alias("next_block"))
+    spread = F.when(is_tail, F.array(own, following)).otherwise(F.array(own))
     # Written once: the narrow rows are read by the pass over long traces and by the last pass.
     rows = staged(
-        rows.withColumn("_own", F.col("block"))
-        .select("testcase_id", "event_index", "length", "_own", "next_block", F.explode(spread).alias("block"))
-        # a look-back line knows the block after its own, not the one after that
-        .withColumn("next_block", F.when(F.col("block") == F.col("_own"), F.col("next_block")))
-        .drop("_own")
+        rows.select("testcase_id", "event_index", "length", F.inline(spread))
     )
 
     def held(group: dict[str, np.ndarray]) -> Block:
         block, index = group["block"][0], group["event_index"]
         lookback = int(np.searchsorted(index, block * block_rows, side="right")) if block else 0
-        return Block(int(index[0]), group["length"], lookback, chunk_size, chunk_overlap, group["next_block"][-1] < 0)
+        return Block(int(index[0]), group["length"], lookback, chunk_size, chunk_overlap, group["next_block"][0] < 0)
 
     runs_of = ["reach_low", "reach_high", "reach_out", "chunk_count", "carry_from", "carry_to"]
 
     def exits(batches):
         for group in sorted_groups(batches, ["testcase_id", "block"]):
             out = pd.DataFrame(held(group).exits(), columns=runs_of)
-            out.insert(0, "block", int(group["next_block"][-1]))
+            out.insert(0, "block", int(group["next_block"][0]))
             out.insert(0, "testcase_id", group["testcase_id"][0])
             yield out
 
@@ -189,9 +193,7 @@ def chunk_bounds(
         """Each block in one task, its rows in order."""
         return df.repartition("testcase_id", "block").sortWithinPartitions("testcase_id", "block", "event_index")
 
-    # look-back lines come first, so the last line of a block tells whether another follows
-    follows = rows.filter("next_block >= 0").select("testcase_id", "block").distinct()
-    long_traces = rows.join(follows, ["testcase_id", "block"], "left_semi")
+    long_traces = rows.filter("next_block >= 0")
     starts = (
         by_block(long_traces).mapInPandas(exits, _EXITS).groupBy("testcase_id").applyInPandas(entries, _ENTRIES)
     )
