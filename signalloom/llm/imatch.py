@@ -4,8 +4,10 @@ Terms inside a band of inverse document frequency form the lexicon.  Randomised
 are nested: at each level a subset is one of ``SLOTS`` parts, and each level keeps half of the
 terms of the one before.  A document takes the two levels that leave about one of its terms per
 subset, and its fingerprint is a hash of its sorted distinct terms in each subset.  An edit
-changes the subsets that hold an edited term and leaves the others.  Only DataFrame functions
-are used.
+changes the subsets that hold an edited term and leaves the others.  Copies and near copies of
+one text that make up more of the table than the band allows push each other's terms out of it;
+a document with few terms in the band is compared by the same subsets of all its terms.  Only
+DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from .line_runs import ascii_lower
 SLOTS = 16
 #: Distinct terms of a document per level-0 subset; about two in five are in the band.
 _TERMS_PER_SLOT = 2.5
+#: Less than one term in so many in the band, half of what is usual, is too few to compare by.
+_FEW = 5
 _NO_ID = -(1 << 63)
 
 
@@ -51,9 +55,10 @@ def lexicon(docs: DataFrame, rarest: float, commonest: float, max_terms: int, te
 
 
 def fingerprints(terms: list[int], *texts: str) -> Column:
-    """An array with a struct ``level, low, high, whole`` per text column: its level, the subset
-    hashes there and one level up (0: no term), and a hash of the text where no term is in the
-    lexicon.  All texts share one copy of the lexicon in the plan."""
+    """An array with a struct ``level, low, high, whole, few, all_low, all_high`` per text column:
+    its level, the subset hashes there and one level up (0: no term), a hash of the text where
+    no term is in the lexicon, whether too few are, and the subset hashes over all terms.  All
+    texts share one copy of the lexicon in the plan."""
     listed = ", ".join(f"{t}L" if t != _NO_ID else "(-9223372036854775807L - 1L)" for t in terms) or "NULL"
 
     def build(own: Column) -> Column:
@@ -74,13 +79,16 @@ def fingerprints(terms: list[int], *texts: str) -> Column:
             ).alias("terms"),
         ),
     )
-    in_band = F.transform(chosen, lambda s: F.struct(s["level"].alias("level"), s["text"].alias("text"), _in_list(s["terms"], listed).alias("terms")))
+    in_band = F.transform(
+        chosen,
+        lambda s: F.struct(s["level"].alias("level"), s["text"].alias("text"), _in_list(s["terms"], listed).alias("terms"), s["terms"].alias("all")),
+    )
 
-    def hashed(s: Column, up: int) -> Column:
+    def hashed(s: Column, up: int, which: str = "terms") -> Column:
         wanted = _low_bits(s["level"] + up) * SLOTS + (SLOTS - 1)
 
         def subset(slot: Column) -> Column:
-            own = F.filter(s["terms"], lambda x: x.bitwiseAND(wanted) == slot)
+            own = F.filter(s[which], lambda x: x.bitwiseAND(wanted) == slot)
             digest = F.xxhash64(own).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
             return F.when(F.size(own) == 0, F.lit(0)).otherwise(F.greatest(digest, F.lit(1)))
 
@@ -93,6 +101,9 @@ def fingerprints(terms: list[int], *texts: str) -> Column:
             hashed(s, 0).alias("low"),
             hashed(s, 1).alias("high"),
             F.when(F.size(s["terms"]) == 0, s["text"]).otherwise(F.lit(0)).alias("whole"),
+            (F.size(s["terms"]) * _FEW < F.size(s["all"])).alias("few"),
+            _short(hashed(s, 0, "all")).alias("all_low"),
+            _short(hashed(s, 1, "all")).alias("all_high"),
         ),
     )
 
@@ -101,39 +112,60 @@ def _low_bits(n: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1
 
 
+def _short(hashes: Column) -> Column:
+    """15 bits of each hash, enough to compare two subsets; most documents carry these unused."""
+    return F.transform(hashes, lambda h: F.when(h == 0, 0).otherwise(h % 32767 + 1).cast("short"))
+
+
 def _in_list(terms: Column, listed: str) -> Column:
     """The terms of the lexicon, which the plan holds as a literal hash set of bounded size."""
     return F.call_function("filter", terms, F.expr(f"__x -> __x IN ({listed})"))
 
 
 def shown(print_: Column) -> Column:
-    """The fingerprint as a string: its level and the hashes of both levels, or that of the text."""
+    """The fingerprint as a string: its level and the hashes of both levels, after ``all/`` where
+    they are those of all terms, or the hash of a text without a term."""
 
     def level(hashes: Column) -> Column:
         return F.array_join(F.transform(hashes, lambda h: F.when(h == 0, "-").otherwise(F.lower(F.hex(h)))), ".")
 
-    subsets = F.concat_ws("/", print_["level"].cast("string"), level(print_["low"]), level(print_["high"]))
-    return F.when(print_["whole"] != 0, F.concat(F.lit("text/"), F.lower(F.hex(print_["whole"])))).otherwise(subsets)
+    def subsets(low: str, high: str) -> Column:
+        return F.concat_ws("/", print_["level"].cast("string"), level(print_[low]), level(print_[high]))
+
+    return (
+        F.when(print_["few"], F.concat(F.lit("all/"), subsets("all_low", "all_high")))
+        .when(print_["whole"] != 0, F.concat(F.lit("text/"), F.lower(F.hex(print_["whole"]))))
+        .otherwise(subsets("low", "high"))
+    )
 
 
 def likeness(a: Column, b: Column) -> Column:
     """The share of equal hashes among the subsets in which either document has a term, at the
-    better of the levels that both fingerprints have; 1 for equal fingerprints."""
+    better of the levels that both fingerprints have; 1 for equal fingerprints.  Where either
+    has too few terms in the band, the subsets of all terms are compared."""
 
     def share(x: Column, y: Column) -> Column:
         pairs = F.zip_with(x, y, lambda p, q: F.when((p == 0) & (q == 0), None).otherwise((p == q).cast("double")))
         used = F.filter(pairs, lambda s: s.isNotNull())
         return F.when(F.size(used) > 0, F.aggregate(used, F.lit(0.0), lambda t, s: t + s) / F.size(used)).otherwise(0.0)
 
+    few = a["few"] | b["few"]
+
+    def pair(x: str, y: str) -> Column:
+        def side(c: Column, name: str) -> Column:
+            return F.when(few, c[f"all_{name}"]).otherwise(c[name])
+
+        return share(side(a, x), side(b, y))
+
     up = a["level"] - b["level"]
     best = (
-        F.when(up == 0, F.greatest(share(a["low"], b["low"]), share(a["high"], b["high"])))
-        .when(up == 1, share(a["low"], b["high"]))
-        .when(up == -1, share(a["high"], b["low"]))
+        F.when(up == 0, F.greatest(pair("low", "low"), pair("high", "high")))
+        .when(up == 1, pair("low", "high"))
+        .when(up == -1, pair("high", "low"))
         .otherwise(0.0)
     )
-    either = (a["whole"] != 0) | (b["whole"] != 0)
-    return F.when(either, (a["whole"] == b["whole"]).cast("double")).otherwise(best)
+    same_text = (a["whole"] != 0) & (a["whole"] == b["whole"])
+    return F.when(same_text, 1.0).otherwise(best)
 
 
 def _neighbours(keys: DataFrame) -> DataFrame:

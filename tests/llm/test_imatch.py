@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 
 import pytest
@@ -96,3 +97,24 @@ def test_too_many_terms_is_an_error(spark, small):
 def test_only_dataframe_functions(spark, small):
     plan = imatch.compare_edits(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("words_edited", [0, 4])
+def test_a_third_of_the_rows_are_near_copies(spark, words_edited):
+    """All terms of such a group are out of the band; its members are alike all the same."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(6000)]
+    one = rng.sample(vocabulary, 120)
+    rows = []
+    for i in range(600):
+        words = list(one) if i % 6 < 2 else rng.choices(vocabulary, k=120)
+        for at in rng.sample(range(120), words_edited if i % 6 < 2 else 0):
+            words[at] = rng.choice(vocabulary)
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in imatch.compare_edits(docs).collect()}
+    copies = [found[i] for i in found if i % 6 == 0]
+    others = [found[i] for i in found if i % 6 in (2, 3, 4)]
+    assert min(r["near_edited"] for r in copies) > 0.1
+    assert min(r["near_next"] for r in copies) > (0.3 if words_edited else 0.99)
+    assert max(r["near_next"] for r in others) < 0.1
