@@ -13,11 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _OTHER = re.compile(r"[\W\d_]+")
+_OTHER_SQL = r"[^\p{L}\p{Nl}\p{No}]+"
 UNKNOWN = "und"
 
 
@@ -26,6 +27,12 @@ def normalised(text: str | None) -> str:
     return _OTHER.sub(" ", (text or "").lower()).strip()
 
 
+def _piece(chars: Column) -> Column:
+    """So many characters from a hash-chosen place of a text."""
+    at = F.pmod(F.xxhash64(F.lit(1), F.col("text")), F.greatest(F.length("text") - chars, F.lit(1))).cast("int")
+    return F.substring("text", at + 1, chars)
+
+
 def learn(
     labelled: DataFrame,
     dictionary_bytes: int = 96 << 10,
@@ -36,11 +43,11 @@ def learn(
 ) -> dict[str, bytes]:
     """One dictionary per language, the most frequent first, from the rows with a text and a language.
 
-    The fit reads a documented bounded sample: the rows of each language with the smallest
-    hashes, a piece of ``sample_chars`` from a hash-chosen place of each, until
-    ``dictionary_bytes`` are filled.  What reaches the driver is bounded by the number of
-    languages (an error beyond ``max_languages``) times that size.  No labelled rows: no
-    dictionaries.
+    The fit reads a documented bounded sample: the distinct texts of each language with the
+    smallest hashes, a piece of ``sample_chars`` from a hash-chosen place of each, until
+    ``dictionary_bytes`` are filled.  Where all pieces of a language do not fill them, its texts
+    give longer pieces.  What reaches the driver is bounded by the number of languages (an error
+    beyond ``max_languages``) times about that size.  No labelled rows: no dictionaries.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(
         "text IS NOT NULL AND lang IS NOT NULL AND text != ''"
@@ -50,16 +57,34 @@ def learn(
         raise ValueError(f"more than {max_languages} languages")
     if not counts:
         return {}
-    # four times the pieces that full ones would need, so that short texts fill the dictionary too
-    want = 4 * dictionary_bytes // sample_chars
-    share = F.create_map([F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, want / n))])
-    spread = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    at = F.pmod(F.xxhash64(F.lit(1), F.col("text")), F.greatest(F.length("text") - sample_chars, F.lit(1))).cast("int")
+    hashed = rows.withColumn("spread", F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1)))
+    first = _piece(F.lit(sample_chars))
+    # copies of one text teach once; sums over eighths of each doubling of the hash say how far to read
+    sums = (
+        hashed.groupBy("lang", "spread")
+        .agg(F.max(F.octet_length(F.regexp_replace(F.lower(first), _OTHER_SQL, " "))).alias("size"))
+        .groupBy("lang", F.floor(F.log2(F.col("spread") + 1.0) * 8).cast("int").alias("step"))
+        .agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("texts"))
+        .collect()
+    )
+    limits: dict[str, tuple[int, int]] = {}
+    for name in counts:
+        steps = sorted((r["step"], r["size"], r["texts"]) for r in sums if r["lang"] == name)
+        total, upto, texts = 0, 0, sum(s[2] for s in steps)
+        for upto, size, _ in steps:
+            total += size
+            if total >= dictionary_bytes:
+                break
+        # a text too short for a longer piece leaves room that is not given to the others
+        chars = sample_chars if total >= dictionary_bytes else max(sample_chars, dictionary_bytes // texts)
+        limits[name] = (upto, chars)
+    known = sorted(limits.items())
+    upto = F.create_map([F.lit(x) for k, v in known for x in (k, v[0])])[F.col("lang")]
+    chars = F.create_map([F.lit(x) for k, v in known for x in (k, v[1])])[F.col("lang")]
     pieces = (
-        rows.withColumn("spread", spread)
-        .where(F.col("spread") <= share[F.col("lang")] * F.lit(1 << 30))
-        .select("lang", "spread", F.substring("text", at + 1, F.lit(sample_chars)).alias("piece"))
-        .distinct()  # copies of one text teach once
+        hashed.where(F.floor(F.log2(F.col("spread") + 1.0) * 8) <= upto)
+        .select("lang", "spread", _piece(chars).alias("piece"))
+        .distinct()
     )
     filled: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}

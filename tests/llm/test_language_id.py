@@ -61,3 +61,16 @@ def test_ties_go_to_the_more_frequent_language(spark):
     known = language_id.learn(spark.createDataFrame([("q", "b"), ("q", "b"), ("q", "a")], "text string, lang string").withColumn("doc_id", F.lit(1)))
     assert list(known)[0] == "b"
     assert Compressors({"b": b" same", "a": b" same"}, 64, 4.0).judge("something")[0] == "b"
+
+
+def test_copies_and_short_texts_fill_their_dictionaries(spark):
+    """A language of copies of one long text and one of short texts starve no more than another."""
+    long_text = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}ing" for i in range(3000))
+    copies = spark.range(4000).select(F.lit(long_text).alias("text"), F.lit("copies").alias("lang"))
+    letters = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    short = spark.range(9000).select(F.concat(letters, F.lit(" kort")).alias("text"), F.lit("short").alias("lang"))
+    full = 16 << 10
+    known = language_id.learn(copies.unionByName(short), dictionary_bytes=full)
+    assert list(known) == ["short", "copies"]  # by rows, copies included
+    assert len(known["short"]) >= 0.99 * full
+    assert len(known["copies"]) >= 0.9 * full
