@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, fair_mix, imatch, interpolation, language_id, license_scan, line_runs, simhash
-from . import suffix_levels
+from . import chunk_dedup, decontaminate, fair_mix, imatch, interpolation, language_id, license_scan, line_runs
+from . import neighbour_tiles, simhash, suffix_levels
 from .blocks import remainder
 
 QUERIES = {}
@@ -163,3 +163,21 @@ def op9_decontaminate(spark, d):
 def op10_suffix_levels(spark, d):
     docs = _table(spark, d, "documents").select("doc_id", "text")
     return suffix_levels.remove_repeats(docs).drop("kept")
+
+
+_TILES = r"""
+WITH good AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL
+  AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+normed AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM good),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id,
+  list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) / (q.norm * c.norm) AS score
+  FROM normed q JOIN normed c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 5"""
+
+
+@_query(_TILES)
+def op12_neighbour_tiles(spark, d):
+    vectors = _table(spark, d, "embeddings").select("vec_id", "embedding")
+    return neighbour_tiles.nearest(vectors.where("vec_id % 50 = 0"), vectors, k=5)
