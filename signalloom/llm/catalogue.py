@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chunk_dedup, decontaminate, fair_mix, imatch, interpolation, language_id, license_scan, line_runs
-from . import neighbour_tiles, simhash, suffix_levels
+from . import merkle, neighbour_tiles, simhash, suffix_levels
 from .blocks import remainder
 
 QUERIES = {}
@@ -181,3 +181,49 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <
 def op12_neighbour_tiles(spark, d):
     vectors = _table(spark, d, "embeddings").select("vec_id", "embedding")
     return neighbour_tiles.nearest(vectors.where("vec_id % 50 = 0"), vectors, k=5)
+
+
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII string as a DuckDB expression."""
+    bits = "list_reduce([xor(acc, byte)] || CAST(range(8) AS UBIGINT[]), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS UBIGINT))"
+    return f"xor(list_reduce([CAST(4294967295 AS UBIGINT)] || {codes}, lambda acc, byte: {bits}), 4294967295)"
+
+
+_MANIFEST = rf"""
+WITH RECURSIVE claims AS (SELECT *, CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS claimed FROM documents),
+framed AS (SELECT doc_id, text, claimed, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS q,
+  coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+  || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM claims),
+leaves AS (SELECT doc_id, q, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+  sha256(head || coalesce(strlen(claimed) || ':' || claimed, '-')) AS claim FROM framed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY q) AS n FROM leaves),
+nodes AS (SELECT q, 0 AS lvl, i, leaf AS digest, n FROM placed
+  UNION ALL SELECT q, lvl + 1, i // 16, sha256(string_agg(digest, '' ORDER BY i)), (n + 15) // 16 FROM nodes WHERE n > 1 GROUP BY q, lvl, i // 16, n),
+subroots AS (SELECT q, digest, row_number() OVER (ORDER BY q) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS lvl, i, digest, n FROM subroots
+  UNION ALL SELECT lvl + 1, i // 16, sha256(string_agg(digest, '' ORDER BY i)), (n + 15) // 16 FROM tops WHERE n > 1 GROUP BY lvl, i // 16, n),
+near AS (SELECT p.q, p.i AS leaf_i, x.lvl, x.i, x.digest, CAST(floor(p.i / power(16, x.lvl)) AS BIGINT) AS own FROM placed p
+  JOIN nodes x ON x.q = p.q AND x.n > 1 AND x.i // 16 = CAST(floor(p.i / power(16, x.lvl + 1)) AS BIGINT)
+  UNION ALL SELECT p.q, p.i, 1000 + x.lvl, x.i, x.digest, CAST(floor(s.i / power(16, x.lvl)) AS BIGINT) FROM placed p JOIN subroots s ON s.q = p.q
+  JOIN tops x ON x.n > 1 AND x.i // 16 = CAST(floor(s.i / power(16, x.lvl + 1)) AS BIGINT)),
+proofs AS (SELECT q, leaf_i, sha256(coalesce(string_agg(digest, '' ORDER BY lvl, i) FILTER (WHERE i <> own), '')) AS proof_sha256 FROM near GROUP BY q, leaf_i),
+steps AS (SELECT q, leaf_i, row_number() OVER (PARTITION BY q, leaf_i ORDER BY lvl) AS step, bef, aft FROM (SELECT q, leaf_i, lvl,
+  coalesce(string_agg(digest, '' ORDER BY i) FILTER (WHERE i < own), '') AS bef,
+  coalesce(string_agg(digest, '' ORDER BY i) FILTER (WHERE i > own), '') AS aft FROM near GROUP BY q, leaf_i, lvl) g),
+folds AS (SELECT q, i AS leaf_i, CAST(1 AS BIGINT) AS step, claim AS acc FROM placed
+  UNION ALL SELECT f.q, f.leaf_i, f.step + 1, sha256(bef || acc || aft) FROM folds f JOIN steps s ON s.q = f.q AND s.leaf_i = f.leaf_i AND s.step = f.step),
+ends AS (SELECT q, leaf_i, arg_max(acc, step) AS folded_root FROM folds GROUP BY q, leaf_i)
+SELECT p.doc_id, p.leaf, s.digest AS subroot, r.digest AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root,
+  folded_root = r.digest AS verified
+FROM placed p JOIN subroots s ON s.q = p.q JOIN (SELECT digest FROM tops WHERE n = 1) r ON true
+JOIN ends e ON e.q = p.q AND e.leaf_i = p.i LEFT JOIN proofs o ON o.q = p.q AND o.leaf_i = p.i"""
+
+
+@_query(_MANIFEST)
+def op13_merkle(spark, d):
+    docs = _table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(remainder("doc_id", 5) == 0, lower).otherwise(F.col("text"))
+    return merkle.manifest(docs, claims={"text": tampered}).withColumnRenamed("id", "doc_id")

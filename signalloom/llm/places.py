@@ -1,0 +1,32 @@
+"""Places of rows within their key where a key may hold most of the table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..session import staged
+
+
+def placed(rows: DataFrame, key: str, order: list[str], name: str = "place", total: str = "total") -> DataFrame:
+    """``rows`` with the 0-based place of each in its key, and its key's number of rows.
+
+    ``key`` holds no nulls; nulls of an order column come first.  The table is range-sorted by
+    key and order, whose slices cut a hot key; only one total per key and slice meets the
+    others of its key.  Rows equal in all of it get different places.
+    """
+    tied = rows.withColumn("__tie", F.monotonically_increasing_id())
+    sliced = staged(tied.repartitionByRange(key, *order, "__tie").withColumn("__slice", F.spark_partition_id()))
+    ahead = Window.partitionBy(key).orderBy("__slice")
+    every = Window.partitionBy(key)
+    totals = sliced.groupBy(key, "__slice").agg(F.count("*").alias("__n"))
+    totals = totals.select(
+        key, "__slice", (F.sum("__n").over(ahead) - F.col("__n")).alias("__ahead"), F.sum("__n").over(every).alias(total)
+    )
+    within = Window.partitionBy(key, "__slice").orderBy(*order, "__tie")
+    return (
+        sliced.withColumn("__local", F.row_number().over(within) - 1)
+        .join(totals, [key, "__slice"])
+        .withColumn(name, F.col("__ahead") + F.col("__local"))
+        .drop("__local", "__slice", "__ahead", "__tie")
+    )
