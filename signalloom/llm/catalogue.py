@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, fair_mix, imatch, interpolation, language_id, license_scan, line_runs
+from . import burst_trie, chunk_dedup, decontaminate, fair_mix, imatch, interpolation, language_id, license_scan, line_runs
 from . import merkle, neighbour_tiles, simhash, suffix_levels
 from .blocks import remainder
 
@@ -227,3 +227,29 @@ def op13_merkle(spark, d):
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tampered = F.when(remainder("doc_id", 5) == 0, lower).otherwise(F.col("text"))
     return merkle.manifest(docs, claims={"text": tampered}).withColumnRenamed("id", "doc_id")
+
+
+_TRIE = rf"""
+WITH turns AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p, coalesce(role, '') AS role,
+  coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(struct_pack(k := md5(strlen(role) || ':' || role || text), n := length(text)) ORDER BY p) AS l FROM turns GROUP BY c),
+plan AS (SELECT o.c, o.l, CAST({_crc32("CAST(o.c AS VARCHAR)")} % 6 AS INTEGER) AS h, b.l AS first FROM own o LEFT JOIN own b ON b.c = o.c - o.c % 100),
+seqs AS (SELECT c, CASE WHEN first IS NULL OR h = 0 THEN l[h + 1:] ELSE list_concat(first[1:h], l[h + 1:]) END AS s FROM plan),
+pre AS (SELECT c, d, md5(array_to_string(list_transform(s[1:d], lambda x: x.k), ',')) AS key, CASE WHEN d = 0 THEN 0 ELSE s[d].n END AS n, len(s) = d AS done
+  FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM seqs) x),
+nodes AS (SELECT d, key, min(c) AS conv_id, count(*) AS n_convs, max(n) AS chars,
+  sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE done), '')) AS ends_sha256 FROM pre GROUP BY d, key),
+tied AS (SELECT n.*, u.conv_id AS parent_conv_id FROM nodes n LEFT JOIN pre p ON p.c = n.conv_id AND p.d = n.d - 1
+  LEFT JOIN nodes u ON u.d = p.d AND u.key = p.key),
+kids AS (SELECT parent_conv_id AS conv_id, d - 1 AS d, count(*) AS n_children FROM tied WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT t.*, coalesce(n_children, 0) AS n_children FROM tied t LEFT JOIN kids USING (conv_id, d)),
+sums AS (SELECT a.d, a.key, count_if(x.n_children = 0) AS n_leaves, sum((x.n_convs - 1) * x.chars) AS saved FROM full_nodes x
+  JOIN pre a ON a.c = x.conv_id AND a.d <= x.d GROUP BY a.d, a.key)
+SELECT conv_id, CAST(d AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, ends_sha256 FROM full_nodes JOIN sums USING (d, key)"""
+
+
+@_query(_TRIE)
+def op11_burst_trie(spark, d):
+    turns, convs = burst_trie.rebuilt(burst_trie.numbered(_table(spark, d, "conversations")))
+    return burst_trie.prefix_trie(turns, convs)
