@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,17 @@ def block_of(doc_id: str, text: str, blocks: int) -> Column:
     return F.pmod(F.when(F.col(doc_id).isNull(), F.xxhash64(text)).otherwise(own), F.lit(blocks)).cast("int")
 
 
+def shielded(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but ``used`` under names that no operator uses, and a function that
+    gives the columns of ``docs`` back to a result made of it."""
+    away = {c: f"_own_{n}_" for n, c in enumerate(docs.columns) if c not in used}
+
+    def own(made: DataFrame) -> DataFrame:
+        return made.select(*[F.col(away.get(c, f"`{c}`")).alias(c) for c in docs.columns])
+
+    return docs.select(*[F.col(f"`{c}`").alias(away.get(c, c)) for c in docs.columns]), own
+
+
 def with_text(docs: DataFrame, text: Column, column: str = "text") -> DataFrame:
     """Documents with another text; where it differs, a whole-number ``n_chars`` follows it."""
     out = docs.withColumn("__text", text)

@@ -1,7 +1,7 @@
 """Language identification by compression against per-language dictionaries.
 
 Every language gets a zstandard raw-content dictionary of at most ``dictionary_bytes`` of
-normalised text.  A text is cut into windows, each window is compressed against every
+normalised text.  A text is cut into windows, each window is compressed whole against every
 dictionary, and the language with the smallest sum wins.  A narrow margin rejects the text.
 """
 
@@ -16,7 +16,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+from .blocks import shielded
+
 _OTHER = re.compile(r"[\W\d_]+")
 _OTHER_SQL = r"[^\p{L}\p{Nl}\p{No}]+"
 UNKNOWN = "und"
@@ -24,7 +25,11 @@ UNKNOWN = "und"
 
 def normalised(text: str | None) -> str:
     """Lower-case letters, with one space for whatever stands between words."""
-    return _OTHER.sub(" ", (text or "").lower()).strip()
+    plain = _OTHER.sub(" ", (text or "").lower()).strip()
+    if not plain or plain.replace(" ", "").isalpha():
+        return plain
+    # numerals such as fractions count as word characters, yet are no letters
+    return " ".join("".join(c if c.isalpha() else " " for c in plain).split())
 
 
 def _piece(chars: Column) -> Column:
@@ -98,22 +103,14 @@ def learn(
 
 
 def windows(plain: str, window_bytes: int) -> Iterator[bytes]:
-    """The text in pieces of about ``window_bytes``, each word once per piece.
+    """The whole text in pieces of ``window_bytes``, the last one shorter.
 
-    Repeats inside a piece would be copied from the piece itself and say nothing about the
-    dictionaries; short pieces keep the dictionaries in view of every part of a long text.
+    What a piece repeats is copied from the piece itself and says nothing about the
+    dictionaries; short pieces keep these in view of every part of a text, however it repeats.
     """
-    seen: dict[bytes, None] = {}
-    size = 0
-    for word in plain.encode().split():
-        if word not in seen:
-            seen[word] = None
-            size += len(word) + 1
-            if size >= window_bytes:
-                yield b" " + b" ".join(seen)
-                seen, size = {}, 0
-    if seen:
-        yield b" " + b" ".join(seen)
+    data = plain.encode()
+    for at in range(0, len(data), window_bytes):
+        yield data[at : at + window_bytes]
 
 
 class Compressors:
@@ -153,11 +150,12 @@ def predict(
     docs: DataFrame,
     dictionaries: dict[str, bytes],
     min_margin: float = 0.005,
-    window_bytes: int = 2048,
+    window_bytes: int = 512,
     temperature: float = 4.0,
     text: str = "text",
 ) -> DataFrame:
-    """All columns of ``docs`` and ``__verdict`` (struct: lang, score, margin, rejected).
+    """All columns of ``docs`` and ``__verdict`` (struct: lang, score, margin, rejected), in place of
+    a column of that name.
 
     ``lang`` is a learned language, or ``und`` where the text is null, empty or without a
     letter; ``score`` rises with the bytes that the next languages need more; ``rejected``
@@ -185,7 +183,7 @@ def predict(
     return docs.withColumn("__verdict", verdict(F.col(text)))
 
 
-def drop_rejected(docs: DataFrame, dictionaries: dict[str, bytes], **how) -> DataFrame:
+def drop_rejected(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", **how) -> DataFrame:
     """The documents, with their own columns, whose language is clear."""
-    return predict(docs, dictionaries, **how).where("NOT __verdict.rejected").drop("__verdict")
-
+    plain, own = shielded(docs, text)
+    return own(predict(plain, dictionaries, text=text, **how).where("NOT __verdict.rejected"))
