@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, block_count, block_of, text_bytes, with_text
+from .blocks import BLOCK_BYTES, block_count, block_of, shielded, text_bytes, with_text
 from .counting import ASKED, Asking, sum_and_least, told, totals
 from .packed import PIECE, span_digests, utf8
 
@@ -57,15 +57,18 @@ def cuts(buf: np.ndarray, offsets: np.ndarray, cut_bits: int, max_bytes: int) ->
     return out
 
 
-def _rank(ids: pa.ChunkedArray) -> np.ndarray:
-    """Ids as non-negative numbers in their order; below zero and missing ones come last."""
-    values = ids.combine_chunks().fill_null(_NO_ID).to_numpy()
-    return np.where(values < 0, (1 << 62) - values, values)
+def _rank(doc_id: Column, text: Column) -> Column:
+    """Ids as non-negative numbers in their order; below zero and missing ones come last.
+
+    Rows without an id are told apart by their texts, so that one of them stays wherever they are.
+    """
+    spare = F.lit(_NO_ID) + F.coalesce(F.xxhash64(text), F.lit(0)).bitwiseAND(F.lit((1 << 61) - 1))
+    return F.when(doc_id.isNull(), spare).when(doc_id < 0, F.lit(1 << 62) - doc_id).otherwise(doc_id)
 
 
 def _id(rank: np.ndarray) -> pa.Array:
     values = np.where(rank < (1 << 62), rank, (1 << 62) - rank)
-    return pa.array(values, pa.int64(), mask=rank == _NO_ID)
+    return pa.array(values, pa.int64(), mask=rank >= _NO_ID)
 
 
 class _Chunks:
@@ -79,7 +82,7 @@ class _Chunks:
         self.begin = begin[(begin + pieces <= end) | (begin == np.searchsorted(self.text, self.text))]
         self.end = np.minimum(self.begin + pieces, end[self.begin])
         self.keys = span_digests(buf, self.edges[self.begin], self.edges[self.end])
-        self.rank = _rank(table.column("doc_id"))[self.text] if n else np.zeros(0, np.int64)
+        self.rank = table.column("rank").to_numpy()[self.text] if n else np.zeros(0, np.int64)
         self.distinct, self.where = np.unique(self.keys, return_inverse=True)
 
 
@@ -100,11 +103,13 @@ def repeated_passages(
     document that keeps the chunk at its middle, ``n_chunks`` counts the pieces.  With pieces of
     2**``cut_bits`` bytes on average a repeated text of some 50 words holds many whole chunks.
     A text of fewer pieces is one chunk; null and empty texts have none.  Rows of one id are one
-    document read in turn; ids below zero and missing ids come last.
+    document read in turn; ids below zero and missing ids come last, and of those without an id
+    each distinct text is a document.
     """
     blocks = block_count(text_bytes(docs, text), block_bytes)
     buckets = max(1, -(-blocks // 2))
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), block_of(doc_id, text, blocks).alias("block"))
+    rank = _rank(F.col(doc_id).cast("long"), F.col(text))
+    source = docs.select(rank.alias("rank"), F.col(text).alias("text"), block_of(doc_id, text, blocks).alias("block"))
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         chunks, out = _Chunks(table, cut_bits, max_bytes, pieces), Asking()
@@ -164,5 +169,6 @@ def without_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             out.append(value)
         return pa.array(out, pa.string())
 
-    joined = docs.join(spans, F.col(doc_id) == F.col("__id"), "left")
-    return with_text(joined, F.arrow_udf(cut, "string", F.ArrowUDFType.SCALAR)(F.col(text), F.col("__spans")), text).select(*docs.columns)
+    plain, own = shielded(docs, doc_id, text, "n_chars")
+    joined = plain.join(spans, F.col(doc_id) == F.col("__id"), "left")
+    return own(with_text(joined, F.arrow_udf(cut, "string", F.ArrowUDFType.SCALAR)(F.col(text), F.col("__spans")), text))

@@ -99,3 +99,12 @@ def test_odd_rows(odd, nothing):
     assert {(r["doc_id"], r["kept_doc_id"]) for r in rows} == {(6, 1), (7, 7)}
     assert sum(r["doc_id"] == 6 for r in rows) == 2
     assert chunk_dedup.repeated_passages(nothing).count() == 0
+
+
+def test_rows_without_an_id_keep_one_copy_however_cut(spark):
+    rng = np.random.default_rng(12)
+    passage = words(rng, 80)
+    rows = [(None, f"{words(rng, 40)} {passage} {words(rng, 40)}") for _ in range(6)]
+    found = [chunk_dedup.repeated_passages(table(spark, rows), block_bytes=n).collect() for n in (1 << 20, 700, 300)]
+    assert [len(f) for f in found] == [5, 5, 5]
+    assert {(r["doc_id"], r["kept_doc_id"]) for f in found for r in f} == {(None, None)}
