@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import with_text
+from .blocks import shielded, with_text
 from .packed import PUNCT
 
 #: Lower-cases A-Z and turns every byte that is in no word into a space.
@@ -257,12 +257,13 @@ def remove(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5, text: s
     Marked spans leave the text; a document more than ``max_coverage`` of whose words are
     marked leaves the table.  All other documents stay as they are.
     """
+    plain, own = shielded(docs, text, "n_chars")
     # one Python step marks and cuts
-    marked = mark(docs, items, text=text, cut=True, **how)
+    marked = mark(plain, items, text=text, cut=True, **how)
     spans = F.col(f"{FOUND}.spans")
     covered = F.aggregate(
         F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x
     )
 
     kept = marked.where(covered <= F.col(f"{FOUND}.n_words") * max_coverage)
-    return with_text(kept, F.coalesce(F.col(f"{FOUND}.clean"), F.col(text)), text).drop(FOUND)
+    return own(with_text(kept, F.coalesce(F.col(f"{FOUND}.clean"), F.col(text)), text))

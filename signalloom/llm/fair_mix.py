@@ -178,4 +178,7 @@ def mixed(docs: DataFrame, taken: str = "taken_words", **how) -> DataFrame:
         taken = f"_{taken}"
     place = shuffle_key(F.col(how.get("doc_id", "doc_id")), F.col(how.get("text", "text")), how.get("seed", "mix"))
     chosen = mix(docs, **how).where("taken > 0").groupBy(F.col("place").alias("__place")).agg(F.max("taken").alias(taken))
-    return docs.withColumn("__place", place).join(chosen, "__place").drop("__place")
+    key = "__place"
+    while key in docs.columns:
+        key = f"_{key}"
+    return docs.withColumn(key, place).join(chosen.withColumnRenamed("__place", key), key).drop(key)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import remove_folder, stage_folder
-from .blocks import with_text
+from .blocks import shielded, with_text
 
 _BLANK = " \t\n\x0b\x0c\r"
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -136,7 +136,8 @@ def dedup(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """All columns of ``docs`` with ``__n_lines``, ``__n_dropped`` and ``__kept`` (the text left).
+    """All columns of ``docs`` with ``__n_lines``, ``__n_dropped`` and ``__kept`` (the text left), for
+    whose use names that begin with two underscores are reserved.
 
     A line's key is the line without blanks around it and with A-Z lower-cased.  Keys of at
     least ``min_chars`` code points in ``min_docs`` documents lose all their lines except in
@@ -173,8 +174,8 @@ def dedup(
     ).drop("__doc", "__t", "__drops")
 
 
-def without_repeats(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """The documents with their own columns and what is left of their texts; none is left out."""
-    marked = dedup(docs, text=text, **how)
-    clean = with_text(marked, F.when(F.col("__n_dropped") > 0, F.col("__kept")).otherwise(F.col(text)), text)
-    return clean.select(*docs.columns)
+    plain, own = shielded(docs, text, doc_id, "n_chars")
+    marked = dedup(plain, text=text, doc_id=doc_id, **how)
+    return own(with_text(marked, F.when(F.col("__n_dropped") > 0, F.col("__kept")).otherwise(F.col(text)), text))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
+from .blocks import shielded
 from .components import components
 
 #: Fingerprints of one task's trie node; more once there are ``MAX_NODES`` of them.
@@ -297,10 +298,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how)
         .agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
         .select(_row_key("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
     )
-    named = docs.withColumns({"__id": _row_key(doc_id), "__hash": F.hash(text)})
+    plain, own = shielded(docs, doc_id, text)
+    named = plain.withColumns({"__id": _row_key(doc_id), "__hash": F.hash(text)})
     alike = Window.partitionBy("__id", "__hash").orderBy(F.lit(0))
     kept = named.join(stays, ["__id", "__hash"], "left_semi").withColumn("__turn", F.row_number().over(alike))
-    return kept.where("__turn = 1").select(*docs.columns)
+    return own(kept.where("__turn = 1"))
 
 
 def _row_key(column: str) -> Column:
