@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import BLOCK_ROWS
+from ..session import BLOCK_ROWS, staged
 
 
 def with_position(
@@ -50,3 +50,27 @@ def latest_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     content = F.xxhash64(*[c for c in df.columns if c not in (key, order)])
     newest = Window.partitionBy(key).orderBy(F.desc(order), F.desc(content))
     return df.withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1").drop("_rn")
+
+
+def placed(rows: DataFrame, key: str, order: list[str], name: str = "place", total: str = "total") -> DataFrame:
+    """``rows`` with the 0-based place of each in its key, and its key's number of rows.
+
+    Any sortable columns order, ties included: rows equal in all of it get different places,
+    and nulls come first.  The table is range-sorted by key and order, whose slices cut a hot
+    key; only one total per key and slice meets the others of its key.
+    """
+    tied = rows.withColumn("__tie", F.monotonically_increasing_id())
+    sliced = staged(tied.repartitionByRange(key, *order, "__tie").withColumn("__slice", F.spark_partition_id()))
+    ahead = Window.partitionBy(key).orderBy("__slice")
+    totals = sliced.groupBy(F.col(key), F.col("__slice")).agg(F.count("*").alias("__n"))
+    totals = totals.select(
+        F.col(key).alias("__key"),
+        F.col("__slice").alias("__of"),
+        (F.sum("__n").over(ahead) - F.col("__n")).alias("__ahead"),
+        F.sum("__n").over(Window.partitionBy(key)).alias(total),
+    )
+    within = Window.partitionBy(key, "__slice").orderBy(*order, "__tie")
+    numbered = sliced.withColumn("__local", F.row_number().over(within) - 1)
+    own = (F.col("__slice") == F.col("__of")) & F.col(key).eqNullSafe(F.col("__key"))
+    placed_rows = numbered.join(totals, own).withColumn(name, F.col("__ahead") + F.col("__local"))
+    return placed_rows.select(*rows.columns, name, total)

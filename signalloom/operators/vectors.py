@@ -87,16 +87,19 @@ def fit_text_vectors(df: DataFrame, text: str = "text", dimensions: int = 256) -
 
 
 def embed(model: TextModel, df: DataFrame, output: str = "embedding") -> DataFrame:
-    """Apply a fitted text model; the vector is an array of floats, zero for a text without known words."""
+    """Apply a fitted text model; the vector is an array of doubles, zero for a text without known words.
+
+    A store that keeps floats casts when it writes.
+    """
     rarity = np.array(model.rarity)
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def weigh(slots: pd.Series) -> pd.Series:
         out = []
         for own in slots:
             row = np.bincount(own, minlength=len(rarity)) * rarity if len(own) else np.zeros(len(rarity))
             length = np.sqrt((row**2).sum())
-            out.append((row / length if length else row).astype(np.float32))
+            out.append(row / length if length else row)
         return pd.Series(out, index=slots.index)
 
     return df.withColumn(output, weigh(_slots(model.text, len(rarity))))

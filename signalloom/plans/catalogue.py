@@ -598,18 +598,18 @@ weights AS (SELECT chunk_id, slot, CASE WHEN s > 0 THEN w / s ELSE 0 END AS w
  FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY chunk_id)) AS s FROM raw) x)"""
 
 
-@_query(_WEIGHTS + " SELECT chunk_id, slot, round(w, 4) AS weight FROM weights WHERE w <> 0")
+@_query(_WEIGHTS + " SELECT chunk_id, slot, round(w, 6) AS weight FROM weights WHERE w <> 0")
 def embed_texts(spark, d):
     _, _, vectors = _embedded(spark, d)
     cells = vectors.select("chunk_id", F.posexplode("embedding").alias("slot", "w")).filter("w <> 0")
-    return cells.select("chunk_id", F.col("slot").cast("long").alias("slot"), F.round(F.col("w").cast("double"), 4).alias("weight"))
+    return cells.select("chunk_id", F.col("slot").cast("long").alias("slot"), F.round("w", 6).alias("weight"))
 
 
 @_query(_WEIGHTS + """, dots AS (SELECT a.chunk_id AS q, b.chunk_id AS c, sum(a.w * b.w) AS dot
  FROM weights a JOIN weights b USING (slot) GROUP BY 1, 2),
 norms AS (SELECT chunk_id, sum(w * w) AS s FROM weights GROUP BY 1),
 lengths AS (SELECT chunk_id, coalesce(s, 0) AS s FROM texts LEFT JOIN norms USING (chunk_id)),
-pairs AS (SELECT a.chunk_id AS q, b.chunk_id AS c, round(greatest(0, a.s + b.s - 2 * coalesce(dot, 0)), 5) AS d
+pairs AS (SELECT a.chunk_id AS q, b.chunk_id AS c, round(greatest(0, a.s + b.s - 2 * coalesce(dot, 0)), 9) AS d
  FROM lengths a CROSS JOIN lengths b LEFT JOIN dots ON q = a.chunk_id AND c = b.chunk_id)
 SELECT q AS query_chunk_id, round(d, 3) AS distance, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, c) AS rank
  FROM pairs) x WHERE rank <= 5 GROUP BY 1, 2""")
@@ -1185,6 +1185,21 @@ def trace_csv_scan(spark, d):
     return one.select("testcase_id", place.alias("place"), "Timestamp", "Event", "Information")
 
 
+@_query(sql("""SELECT testcase_id, row_number() OVER (PARTITION BY testcase_id ORDER BY seq) AS place, stamp AS "Timestamp",
+ ev AS "Event", 'a "' || info || '";' || chr(10) || 'b;' || seq AS "Information" FROM rows""", "rows"))
+def quoted_trace_scan(spark, d):
+    """Quoted fields that hold quotes, separators and line breaks, under two orders of columns."""
+    folder = stage_folder(spark)
+    broken = F.concat(F.lit('a "'), "Information", F.lit('";\nb;'), "seq")
+    rows = fx.trace_rows(spark, d).withColumns({"case": F.col("testcase_id"), "Information": broken})
+    for kind, columns in (("350", TRACE_COLUMNS), ("360", TRACE_COLUMNS[::-1])):
+        half = rows.where(F.col("testcase_id").startswith(kind)).repartition("case").sortWithinPartitions("case", "seq")
+        half.select("case", *columns).write.mode("append").partitionBy("case").option("header", True).option("sep", ";").option("escape", '"').csv(folder)
+    read = traces.read_traces_any_header(spark, folder).withColumn("testcase_id", F.regexp_extract("source_trace", r"case=(\d{9})", 1))
+    place = F.row_number().over(Window.partitionBy("testcase_id").orderBy("seq")).cast("long")
+    return read.select("testcase_id", place.alias("place"), "Timestamp", "Event", "Information")
+
+
 @_query(sql("SELECT event_id, event_name, severity, tag_text FROM ev", "ev"))
 def event_files(spark, d):
     folder = stage_folder(spark)
@@ -1198,11 +1213,11 @@ def event_files(spark, d):
 @_query(sql("""SELECT testcase_id, row_number() OVER (PARTITION BY testcase_id ORDER BY seq) AS place, event_id, event_name,
  severity, tag_text FROM ev""", "ev"))
 def event_array_files(spark, d):
-    """Events as one JSON array per testcase, read back with their places."""
+    """Events as a JSON array per testcase, in parts, read back with their places."""
     folder = stage_folder(spark)
-    stages.export_arrays(fx.events_of(spark, d), folder, "testcase_id", "seq")
-    case = F.regexp_extract("_metadata.file_path", r"testcase_id=(\d+)", 1)
-    read = stages.read_event_files(spark, folder + "/*", case)
+    stages.export_arrays(fx.events_of(spark, d), folder, "testcase_id", "seq", part_rows=1000)
+    case = F.regexp_extract("file_path", r"testcase_id=(\d+)", 1)
+    read = stages.read_event_files(spark, folder, case)
     return read.select("testcase_id", F.col("seq").alias("place"), "event_id", "event_name", "severity", _joined("tags").alias("tag_text"))
 
 
@@ -1210,19 +1225,21 @@ def event_array_files(spark, d):
 def chunk_array_files(spark, d):
     folder = stage_folder(spark)
     stages.export_arrays(fx.chunks_of(spark, d).withColumn("_at", F.col("chunk_index")).withColumn("case", F.col("testcase_id")), folder, "case", "_at")
-    return stages.read_chunk_files(spark, folder + "/*").select(
+    return stages.read_chunk_files(spark, folder).select(
         "chunk_id", "testcase_id", "chunk_index", "event_count", _joined("event_names"), _joined("causes"), "has_failure"
     )
 
 
 @_query(_knn_sql("PARTITION BY query_chunk_id", "query_chunk_id,"))
 def similarity_files(spark, d):
-    """Neighbours as JSON arrays per query and as the neighbours table."""
+    """Neighbours as a JSON array per query and as the neighbours table."""
     folder = stage_folder(spark)
     stages.write_stage(nearest_chunks(fx.vectors_of(spark, d)), f"{folder}/table")
     table = stages.read_stage(spark, f"{folder}/table")
-    stages.export_arrays(table.withColumn("query", F.col("query_chunk_id") % 7).withColumn("_at", F.struct("query_chunk_id", "rank")), f"{folder}/arrays", "query", "_at")
-    read = stages.read_similarity_files(spark, f"{folder}/arrays/*")
+    # files by the hundred queries; a part of one holds the matches of so many rows at most
+    asked = table.withColumns({"hundred": F.expr("query_chunk_id div 100"), "_at": F.struct("query_chunk_id", "rank")})
+    stages.export_arrays(asked, f"{folder}/arrays", "hundred", "_at")
+    read = stages.read_similarity_files(spark, f"{folder}/arrays")
     ids = {c: F.col(c).cast("long") for c in ("query_chunk_id", "chunk_id")}
     return _rounded(read.withColumns(ids), "query_chunk_id")
 

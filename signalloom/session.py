@@ -31,9 +31,11 @@ def build_session(app: str = "signalloom", master: str | None = None, **conf: st
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors of a session whose cluster has not installed it.
+    """Send this package to the Python workers of a session that have no path to it.
 
-    Python steps import it there.  A local session shares the driver's path and needs nothing.
+    Python steps import it there.  A cluster that has installed the package needs nothing, nor
+    does a local session that was started in its folder or finds it through ``PYTHONPATH``; a
+    driver that found it through ``sys.path`` alone does, since workers do not share that.
     """
     root = os.path.dirname(os.path.abspath(__file__))
     target = os.path.join(tempfile.mkdtemp(prefix="signalloom-ship-"), "signalloom.zip")  # read by the driver alone

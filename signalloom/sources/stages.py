@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import names
+from ..operators.ordering import placed
 from ..schemas import CHUNK, EVENT
+from . import splits
 
 
 def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
@@ -31,48 +33,49 @@ def read_json(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def export_arrays(df: DataFrame, path: str, key: str, order: str) -> None:
-    """One JSON array per value of ``key``, in ``order``, under ``path/<key>=<value>``.
+def export_arrays(df: DataFrame, path: str, key: str, order: str, part_rows: int = 10_000) -> None:
+    """JSON arrays per value of ``key``, in ``order``, under ``path/<key>=<value>/part=<n>``.
 
-    An array is one line, so this suits exports of bounded keys; stages stay tables.
+    A part holds ``part_rows`` rows, the last one fewer, so that no task meets all rows of a
+    key; parts in turn are the key's array.  Ties in ``order`` fall either way.
     """
-    fields = F.struct(*[c for c in df.columns if c != order])
-    rows = F.array_sort(  # rows may hold maps, which have no order of their own
-        F.collect_list(F.struct(F.col(order).alias("_at"), fields.alias("row"))),
-        lambda a, b: F.when(a["_at"] < b["_at"], -1).when(a["_at"] > b["_at"], 1).otherwise(0),
+    fields = [c for c in df.columns if c != order]
+    rows = placed(df.withColumn("__at", F.col(order)), key, ["__at"], "__place", "__total")
+    rows = rows.withColumn("__part", F.expr(f"__place div {part_rows}"))
+    in_turn = F.array_sort(  # rows may hold maps, which have no order of their own
+        F.collect_list(F.struct(F.col("__place").alias("at"), F.struct(*fields).alias("row"))),
+        lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0),
     )
-    arrays = df.groupBy(F.col(key).alias("_key")).agg(rows.alias("rows"))
+    arrays = rows.groupBy(F.col(key).alias("__key"), "__part").agg(in_turn.alias("rows"))
     text = F.to_json(F.transform("rows", lambda r: r["row"]), {"ignoreNullFields": "false"})
-    arrays.select("_key", text.alias("value")).withColumnRenamed("_key", key).write.partitionBy(key).text(path)
+    named = arrays.select("__key", "__part", text.alias("value")).withColumnsRenamed({"__key": key, "__part": "part"})
+    named.write.partitionBy(key, "part").text(path)
+
+
+def _parsed(elements: DataFrame, schema: str | T.StructType, *columns: Column) -> DataFrame:
+    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    named = elements.select(*columns, F.from_json("text", kind).alias("_row"))
+    return named.select(*named.columns[:-1], "_row.*")
 
 
 def read_event_files(spark: SparkSession, path, testcase: Column | None = None) -> DataFrame:
-    """Per-testcase JSON arrays of events.
+    """Per-testcase JSON arrays of events, in files of any size or in parts.
 
-    The testcase comes from the file name (or ``testcase``, an expression over
-    ``_metadata.file_path``) and the event's place in the array is its index.  A file none of
-    whose entries has an event's id or name holds no events and is skipped.
+    The testcase comes from the file name (or ``testcase``, an expression over ``file_path``) and
+    the event's place in the array is its index.  A file that names neither an event's id nor its
+    name holds no events and is skipped.
     """
     if testcase is None:
-        testcase = F.regexp_replace(names.base_name(F.col("_metadata.file_path")), r"_events\.json$", "")
+        testcase = F.regexp_replace(names.base_name(F.col("file_path")), r"_events\.json$", "")
     fields = [f for f in EVENT.fields if f.name not in ("testcase_id", "seq", "timestamp")]
     schema = T.StructType([*fields, T.StructField("timestamp", T.StringType())])
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
-    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    found = rows.select(
-        "*", testcase.alias("testcase_id"), in_task.alias("_row"), F.col("_metadata.file_path").alias("_file")
-    )
-    # a task may read several files one after another, so places count from the file's first row
-    files = found.groupBy("_file").agg(
-        F.min("_row").alias("_first"), F.bool_or(F.col("event_id").isNotNull() | F.col("event_name").isNotNull()).alias("_holds")
-    )
-    placed = found.join(files.filter("_holds"), "_file").withColumn("seq", F.col("_row") - F.col("_first") + 1)
-    return placed.drop("_file", "_row", "_first", "_holds")
+    elements = splits.array_elements(spark, path, ("event_id", "event_name"))
+    return _parsed(elements, schema, testcase.alias("testcase_id"), (F.col("place") + 1).alias("seq"))
 
 
 def read_chunk_files(spark: SparkSession, path) -> DataFrame:
     """JSON arrays of chunks; their order is ``(testcase_id, chunk_index)``."""
-    return spark.read.schema(CHUNK).option("multiLine", True).json(path).filter("chunk_id is not null")
+    return _parsed(splits.array_elements(spark, path), CHUNK).filter("chunk_id is not null")
 
 
 # Rows of a similarity file: a match with the chunk that asked, which the file name alone does not keep.
@@ -82,12 +85,12 @@ SUMMARY = "chunk_id string, trace_id string, testcase_id string, summary string,
 
 def read_similarity_files(spark: SparkSession, path) -> DataFrame:
     """JSON arrays of matches, one file or many."""
-    return spark.read.schema(SIMILARITY).option("multiLine", True).json(path).filter("query_chunk_id is not null")
+    return _parsed(splits.array_elements(spark, path), SIMILARITY).filter("query_chunk_id is not null")
 
 
 def read_summary_files(spark: SparkSession, path) -> DataFrame:
     """JSON arrays of chunk summaries."""
-    return spark.read.schema(SUMMARY).option("multiLine", True).json(path).filter("chunk_id is not null")
+    return _parsed(splits.array_elements(spark, path), SUMMARY).filter("chunk_id is not null")
 
 
 def write_report_bundle(

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions import names
 from ..functions import text as tx
 from ..schemas import TRACE_COLUMNS, TRACE_FILE
+from . import splits
 
 
 def _with_order(df: DataFrame, split_files: bool) -> DataFrame:
@@ -52,8 +53,9 @@ def read_traces(spark: SparkSession, path, split_files: bool = False) -> DataFra
     """``;``-separated trace files with a header and standard quoting, all columns text.
 
     Quoted fields may span lines, so a file is read by one task.  Where traces have no
-    line breaks inside quotes, ``split_files=True`` lets large files be read in parallel.
-    A header in another column order stops the read; see ``read_traces_any_header``.
+    line breaks inside quotes, ``split_files=True`` lets large files be read in parallel;
+    ``read_traces_any_header`` does so for all files.  A header in another column order stops
+    the read.
     """
     reader = (
         spark.read.schema(TRACE_FILE)
@@ -73,47 +75,35 @@ def _clean(line: str) -> Column:
     return F.regexp_replace(line, '[\r\ufeff"]', "")
 
 
-def trace_headers(spark: SparkSession, path) -> DataFrame:
-    """First line of every file: ``file_path``, ``header``."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("row"),
-        "value",
-    )
-    return (
-        lines.filter("start = 0")
-        .groupBy("file_path")
-        .agg(F.min_by("value", "row").alias("header"))
-    )
+def read_traces_any_header(spark: SparkSession, path, max_headers: int = 100, columns: list[str] | None = None) -> DataFrame:
+    """``;``-separated traces of any size, whose headers may order the columns differently.
 
-
-def read_traces_any_header(spark: SparkSession, path, split_files: bool = False, max_headers: int = 100) -> DataFrame:
-    """Like ``read_traces`` for files whose headers order the columns differently.
-
-    Each reader gets the files of one header only, and columns are bound by name; columns a
-    file lacks are null.  ``max_headers`` bounds what reaches the driver; more kinds of header
-    are an error, since such files are no traces.
+    Files are read in parallel splits, also where quoted fields hold line breaks (``splits``).
+    Columns are bound by name through the header of their file; columns a file lacks are null.
+    More than ``max_headers`` kinds of header are an error, since such files are no traces.
     """
-    headers = trace_headers(spark, path).withColumn("header", _clean("header"))
-    kinds = headers.groupBy("header").agg(F.collect_list("file_path").alias("paths")).orderBy("header").limit(max_headers + 1).collect()
+    columns = columns or TRACE_COLUMNS
+    records, headers = splits.quoted_records(spark, path, ";")
+    kinds = headers.select("header").distinct().limit(max_headers + 1).collect()
     if len(kinds) > max_headers:
         raise ValueError(f"more than {max_headers} kinds of header under {path}")
-    parts = []
-    for row in kinds:
-        columns = row["header"].split(";")
-        reader = (
-            spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-            .option("header", True)
-            .option("sep", ";")
-            .option("escape", '"')
-            .option("multiLine", not split_files)
-            .option("mode", "PERMISSIVE")
-        )
-        rows = _rows(reader, row["paths"], split_files)
-        kept = [F.col(c) if c in columns else F.lit(None).cast("string").alias(c) for c in TRACE_COLUMNS]
-        parts.append(rows.select("testcase_id", "seq", *kept, "source_trace"))
-    return reduce(DataFrame.unionByName, parts)
+    orders = sorted(r["header"].split(";") for r in kinds)
+    width = max((len(o) for o in orders), default=1)
+    fields = T.StructType([T.StructField(f"_{n}", T.StringType()) for n in range(width)])
+    parsed = F.from_csv("text", fields.simpleString()[len("struct<") : -1].replace(":", " "), {"sep": ";", "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    rows = records.join(headers, "file_path").withColumn("parsed", parsed)
+    parts = F.array(*[F.col(f"parsed._{n}") for n in range(width)])
+
+    def named(column: str) -> Column:
+        at = F.array_position(F.split("header", ";"), column)
+        return F.when(at > 0, F.get(parts, (at - 1).cast("int"))).alias(column)
+
+    return rows.select(
+        names.testcase_id(names.base_name(F.col("file_path"))).alias("testcase_id"),
+        (F.col("at") + 1).alias("seq"),
+        *[named(c) for c in columns],
+        F.col("file_path").alias("source_trace"),
+    )
 
 
 def read_plain_traces(spark: SparkSession, path, columns: list[str] | None = None) -> DataFrame:

@@ -9,9 +9,8 @@ CODE = """
 import sys
 sys.path.insert(0, {root!r})
 from pyspark.sql import SparkSession
-spark = (SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false")
-         .config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {shared!r})
-         .config("spark.executor.memory", "1g").config("spark.driver.host", "127.0.0.1").getOrCreate())
+spark = (SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {shared!r}).getOrCreate())
 from signalloom.operators import chunking
 from signalloom.session import ship_package
 ship_package(spark)
@@ -24,8 +23,8 @@ spark.stop()
 def test_a_session_outside_the_repository_runs_python_steps():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     with tempfile.TemporaryDirectory() as folder:
-        env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable, "SPARK_SCALA_VERSION": "2.13"}
-        # the driver finds the package by its own path, the workers by what was shipped
+        env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
+        # the workers of a local session have the path of none but their own folder; the driver finds the package by its own path, the workers by what was shipped
         run = subprocess.run([sys.executable, "-c", CODE.format(root=root, shared=folder)], cwd=folder, env=env,
                              capture_output=True, text=True, timeout=240)
     assert "chunks " in run.stdout, run.stderr[-2000:]
