@@ -54,7 +54,7 @@ class Asking:
 
 
 def totals(asked: DataFrame, fold: Fold = sums, extra: Callable | None = None, own_b: bool = False) -> DataFrame:
-    """``TOLD`` rows for ``ASKED`` rows.
+    """``TOLD`` rows for ``ASKED`` rows; a null a is nothing for every key.
 
     ``extra(kind, total a, total b)`` may give two arrays to be told to block -1 per range.
     With ``own_b`` a block is told the total of b only for keys to which it gave some b, else 0.
@@ -64,7 +64,7 @@ def totals(asked: DataFrame, fold: Fold = sums, extra: Callable | None = None, o
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
         blocks = table.column("block").to_pylist()
         keys = [unpack_sorted(k) for k in table.column("keys").to_pylist()]
-        a = np.concatenate([unpack_ints(x) for x in table.column("a").to_pylist()]).astype(np.int64)
+        a = np.concatenate([unpack_ints(x) if x else np.zeros(len(k), np.int64) for x, k in zip(table.column("a").to_pylist(), keys)]).astype(np.int64)
         b = np.concatenate([unpack_ints(x) for x in table.column("b").to_pylist()]).astype(np.int64)
         ends = np.cumsum([len(k) for k in keys])
         every = np.concatenate(keys)
