@@ -168,8 +168,16 @@ def scored(
     counts: DataFrame | None = None,
 ) -> DataFrame:
     """Counts, score, status, issue cluster and action: one row per campaign."""
-    flags, key = _keyed(flag_counts(chunks, by), by)
-    values, _ = _keyed(value_counts(chunks, by) if counts is None else counts, by)
+    decisions = None if retry_reports is None else decision_counts(retry_reports, decision_col, by)
+    counts = value_counts(chunks, by) if counts is None else counts
+    return _scored(flag_counts(chunks, by), counts, decisions, by, degraded, critical)
+
+
+def _scored(
+    flags: DataFrame, counts: DataFrame, decisions: DataFrame | None, by: str | None, degraded: float, critical: float
+) -> DataFrame:
+    flags, key = _keyed(flags, by)
+    values, _ = _keyed(counts, by)
     signals = values.groupBy(key).agg(
         *[
             F.coalesce(F.sum(F.when((F.col("dim") == dim) & (F.col("value") == value), F.col("n"))), F.lit(0))
@@ -178,10 +186,10 @@ def scored(
         ]
     )
     row = flags.join(signals, key, "left").fillna(0, list(SIGNALS))
-    if retry_reports is None:
+    if decisions is None:
         row = row.withColumn("n_do_not_retry", F.lit(0)).withColumn("n_cooldown", F.lit(0))
     else:
-        decisions, _ = _keyed(decision_counts(retry_reports, decision_col, by), by)
+        decisions, _ = _keyed(decisions, by)
         picked = decisions.groupBy(key).agg(
             F.sum(F.when(F.col("decision") == "do_not_retry", F.col("n"))).alias("n_do_not_retry"),
             F.sum(F.when(F.col("decision") == "retry_after_cooldown", F.col("n"))).alias("n_cooldown"),
@@ -206,8 +214,30 @@ def campaign_health(
     critical: float = 0.50,
 ) -> DataFrame:
     """The full health report: scores, dominant values and distributions, one row per campaign."""
-    counts = value_counts(chunks, by)
-    row, key = _keyed(scored(chunks, retry_reports, decision_col, by, degraded, critical, counts), by)
+    decisions = None if retry_reports is None else decision_counts(retry_reports, decision_col, by)
+    causes = None if root_causes is None else cause_counts(root_causes, by)
+    return health_of(flag_counts(chunks, by), value_counts(chunks, by), decisions, causes, by, degraded, critical)
+
+
+def cause_counts(root_causes: DataFrame, by: str | None = None) -> DataFrame:
+    """Root-cause reports per campaign."""
+    df, key = _keyed(root_causes, by)
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("root_cause_report_count"))
+    return counts.drop("_campaign") if by is None else counts
+
+
+def health_of(
+    flags: DataFrame,
+    counts: DataFrame,
+    decisions: DataFrame | None = None,
+    causes: DataFrame | None = None,
+    by: str | None = None,
+    degraded: float = 0.75,
+    critical: float = 0.50,
+) -> DataFrame:
+    """The health report from its counts: those of ``flag_counts``, ``value_counts``,
+    ``decision_counts`` and ``cause_counts``."""
+    row, key = _keyed(_scored(flags, counts, decisions, by, degraded, critical), by)
     top, _ = _keyed(top_values(counts, by), by)
 
     def listed(dim: str) -> Column:
@@ -227,10 +257,10 @@ def campaign_health(
     )
     row = row.join(dominant, key, "left").join(severity, key, "left")
     empty = F.expr("cast(map() as map<string,bigint>)")
-    if retry_reports is None:
+    if decisions is None:
         row = row.withColumn("retry_decision_distribution", empty)
     else:
-        decisions, _ = _keyed(decision_counts(retry_reports, decision_col, by), by)
+        decisions, _ = _keyed(decisions, by)
         spread = decisions.groupBy(key).agg(
             F.map_from_entries(F.array_sort(F.collect_list(F.struct("decision", "n"))))
             .alias("retry_decision_distribution")
@@ -238,10 +268,9 @@ def campaign_health(
         row = row.join(spread, key, "left").withColumn(
             "retry_decision_distribution", F.coalesce("retry_decision_distribution", empty)
         )
-    if root_causes is None:
+    if causes is None:
         row = row.withColumn("root_cause_report_count", F.lit(0).cast("long"))
     else:
-        causes, _ = _keyed(root_causes, by)
-        counted = causes.groupBy(key).agg(F.count(F.lit(1)).alias("root_cause_report_count"))
-        row = row.join(counted, key, "left").fillna(0, ["root_cause_report_count"])
+        causes, _ = _keyed(causes, by)
+        row = row.join(causes, key, "left").fillna(0, ["root_cause_report_count"])
     return row.drop("_campaign", "n_do_not_retry", "n_cooldown", *SIGNALS)

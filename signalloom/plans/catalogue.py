@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions import text as tx
-from ..operators import chunking, events as ev, evidence as evd, health, investigate as inv
+from ..operators import chunking, events as ev, evidence as evd, health, health_states, investigate as inv
 from ..operators import prompts, retry, vectors as vec
+from ..operators.neighbour_index import NeighbourIndex, updated_neighbours
 from ..operators.neighbours import nearest_chunks
 from ..operators.ordering import with_position
 from ..schemas import TRACE_COLUMNS
 from ..session import stage_folder, staged
 from ..sources import artifacts, stages, traces
+from ..sources.vector_store import VectorStore
 from ..streaming import live
 from . import fixtures as fx
 from .oracle import sql
@@ -481,12 +485,17 @@ def vector_metadata(spark, d):
 
 
 def _upserted(spark, d):
-    stored = fx.vectors_of(spark, d).withColumn("batch_id", F.lit(1))
-    again = stored.filter("chunk_id % 3 = 0").withColumn("batch_id", F.lit(2)).withColumn("label", F.col("label") + 100)
-    added = stored.filter("chunk_id % 5 = 0").withColumn("batch_id", F.lit(2)).withColumn(
+    """A store after three batches: the table, a third of it changed with new rows, and a replay."""
+    first = fx.vectors_of(spark, d).withColumn("batch_id", F.lit(1))
+    again = first.filter("chunk_id % 3 = 0").withColumn("batch_id", F.lit(2)).withColumn("label", F.col("label") + 100)
+    added = first.filter("chunk_id % 5 = 0").withColumn("batch_id", F.lit(2)).withColumn(
         "chunk_id", F.col("chunk_id") + 1_000_000
     )
-    return vec.upsert(stored, again.unionByName(added))
+    store = VectorStore(spark, f"{stage_folder(spark)}/vectors", buckets=16)
+    store.upsert(first, 1)
+    store.upsert(again.unionByName(added), 2)
+    store.upsert(first, 2)
+    return store.read()
 
 
 @_query("""SELECT vec_id AS chunk_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label,
@@ -701,6 +710,24 @@ def health_by_campaign(spark, d):
     )
 
 
+@_query(sql("""SELECT campaign, dim, CAST(rank AS INTEGER) AS rank, value, n, total_chunks, unique_testcase_count FROM (SELECT 'all' AS campaign, *,
+ row_number() OVER (PARTITION BY dim ORDER BY n DESC, first_seen) AS rank FROM hc) x,
+ (SELECT count(*) AS total_chunks, count(DISTINCT testcase_id) AS unique_testcase_count FROM ch) t
+WHERE dim = 'causes' AND rank <= 10""", "hc", "ch"))
+def health_loads(spark, d):
+    """Health from the states of three loads, of which one is written twice."""
+    folder = stage_folder(spark)
+    chunks = fx.staged_chunks_of(spark, d).withColumn("campaign", F.lit("all"))
+    for load in (0, 1, 2, 1):
+        part = chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(3)) == load)
+        health_states.write_load(folder, str(load), health_states.load_state(part))
+    row = health_states.merged_health(health_states.read_states(spark, folder))
+    values = row.select("campaign", "total_chunks", "unique_testcase_count", F.posexplode("dominant_causes").alias("pos", "v"))
+    return values.select(
+        "campaign", F.lit("causes").alias("dim"), (F.col("pos") + 1).alias("rank"), "v.value", "v.n", "total_chunks", "unique_testcase_count"
+    )
+
+
 @_query(sql("""SELECT dim, CAST(rank AS INTEGER) AS rank, value, n FROM (SELECT *,
  row_number() OVER (PARTITION BY dim ORDER BY n DESC, first_seen) AS rank FROM hc) x
 WHERE rank <= CASE WHEN dim = 'tags' THEN 20 ELSE 10 END""", "hc"))
@@ -869,6 +896,47 @@ def knn_recall(spark, d):
     )
 
 
+@_query("SELECT vec_id % 3 AS batch, count(*) AS asked, true AS recall_reached FROM embeddings GROUP BY 1")
+def knn_index(spark, d):
+    """A stored index, built once and searched by three batches of queries, against the exact search."""
+    vectors = fx.vectors_of(spark, d)
+    index = NeighbourIndex.build(vectors, f"{stage_folder(spark)}/index", list_vectors=16)
+    probes = math.ceil(0.8 * index.list_count())  # the test vectors have no clusters
+    exact = staged(index.search_exact(vectors.select("chunk_id", "embedding")).select("query_chunk_id", "chunk_id"))
+    parts = []
+    for batch in range(3):
+        asked = vectors.where(F.col("chunk_id") % 3 == batch).select("chunk_id", "embedding")
+        found = index.search(asked, k=5, probes=probes).select("query_chunk_id", "chunk_id", F.lit(1).alias("hit"))
+        both = exact.where(F.col("query_chunk_id") % 3 == batch).join(found, ["query_chunk_id", "chunk_id"], "left")
+        parts.append(both.agg(
+            F.lit(batch).cast("long").alias("batch"), F.count_distinct("query_chunk_id").alias("asked"),
+            (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"),
+        ))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@_query(_knn_sql("PARTITION BY query_chunk_id", "query_chunk_id,", "query_label < 3 AND label >= 5"))
+def knn_index_filtered(spark, d):
+    """All lists of a stored index, filtered by a column that it keeps."""
+    vectors = fx.vectors_of(spark, d)
+    index = NeighbourIndex.build(vectors, f"{stage_folder(spark)}/index", list_vectors=50)
+    asked = vectors.where("label < 3").select("chunk_id", "embedding")
+    return _rounded(index.search(asked, k=5, probes=index.list_count(), where=F.col("label") >= 5), "query_chunk_id")
+
+
+@_query(_knn_sql("PARTITION BY query_chunk_id", "query_chunk_id,"))
+def knn_updated(spark, d):
+    """Neighbours kept up to date over two batches, of new vectors and of others for stored chunks."""
+    vectors = fx.vectors_of(spark, d).select("chunk_id", "embedding")
+    third = F.col("chunk_id") % 3
+    first = staged(vectors.where(third < 2).withColumn("embedding", F.when(third == 1, F.reverse("embedding")).otherwise(F.col("embedding"))))
+    found, stored = nearest_chunks(first), first
+    for batch in (vectors.where(third == 2), vectors.where(third == 1)):
+        found = staged(updated_neighbours(found, stored, batch))
+        stored = staged(stored.join(batch.select("chunk_id"), "chunk_id", "left_anti").unionByName(batch))
+    return _rounded(found, "query_chunk_id")
+
+
 # --- investigation -----------------------------------------------------------------------
 
 _OVERVIEW = """SELECT testcase_id, arg_min(coalesce(operator, ''), seq) AS operator,
@@ -1081,6 +1149,26 @@ def stream_events(spark, d):
     return found.select("event_id", "event_name", "severity", "cause")
 
 
+@_query(sql("SELECT event_id, event_name, severity, cause FROM ev", "ev"))
+def stream_event_ids(spark, d):
+    """Events of a stream under the ids of the batch; the stream comes in four micro-batches."""
+    folder, key = stage_folder(spark), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, live.STATE_STORE)
+    try:
+        # four spans of the table, each of them a micro-batch
+        rows = fx.trace_rows(spark, d)
+        last = (rows.agg(F.max("seq")).first()[0] or 0) + 1
+        for n in range(4):
+            part = rows.where((F.col("seq") >= n * last // 4) & (F.col("seq") < (n + 1) * last // 4))
+            part.write.parquet(f"{folder}/in/n={n}")
+            source = spark.readStream.schema(rows.schema).parquet(f"{folder}/in/n=*")
+            found = live.drain(live.numbered_events(source), f"{folder}/run")
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    return found.select("event_id", "event_name", "severity", "cause")
+
+
 @_query(sql("""SELECT strftime(time_bucket(INTERVAL '1 hour', CAST(ts_text AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS window_start,
  coalesce(operator, 'unknown') AS operator, count(*) AS events, count(*) FILTER (WHERE timing_out) AS timeouts,
  count(*) FILTER (WHERE failing) AS failures FROM fail_ev GROUP BY 1, 2""", "fail_ev"))
@@ -1296,9 +1384,10 @@ def report_bundle(spark, d):
     summaries = answers("seen ", "event_names", F.length("text"))
     causes = answers("due to ", "causes", F.col("event_count"))
     stages.write_report_bundle(folder, "run-1", health.campaign_health(chunks, reports), summaries, causes, reports)
+    tables = stages.read_report_bundle(spark, folder, "run-1")
 
     def part(name, schema, key, detail, n):
-        table = spark.read.schema(f"{schema}, run_id string").json(f"{folder}/{name}").filter("run_id = 'run-1'")
+        table = spark.read.schema(f"{schema}, run_id string").json(tables[name]).filter("run_id = 'run-1'")
         return table.select(F.lit(name).alias("part"), key.alias("id"), F.col(detail).cast("string").alias("detail"), F.col(n).alias("n"))
 
     chunk = F.col("chunk_id")

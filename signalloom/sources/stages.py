@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +11,8 @@ from pyspark.sql import types as T
 from ..functions import names
 from ..operators.ordering import placed
 from ..schemas import CHUNK, EVENT
-from . import splits
+from ..session import remove_folder
+from . import manifests, splits
 
 
 def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
@@ -93,6 +96,10 @@ def read_summary_files(spark: SparkSession, path) -> DataFrame:
     return _parsed(splits.array_elements(spark, path), SUMMARY).filter("chunk_id is not null")
 
 
+# The tables of a bundle.
+BUNDLE = ("campaign_health", "summaries", "root_cause_reports", "retry_reports")
+
+
 def write_report_bundle(
     path: str,
     run_id: str,
@@ -101,13 +108,34 @@ def write_report_bundle(
     root_causes: DataFrame,
     retry_reports: DataFrame,
 ) -> None:
-    """The four report tables under one run id, each in its own folder."""
-    tables = {
-        "campaign_health": health,
-        "summaries": summaries,
-        "root_cause_reports": root_causes,
-        "retry_reports": retry_reports,
-    }
-    for name, df in tables.items():
+    """The four report tables under one run id, each in its own folder.
+
+    A manifest under ``path/bundles`` names the run's folders when all four are written.  Until
+    then, and if the run ends halfway, readers of ``read_report_bundle`` see the bundles before
+    it; a run that is repeated takes the place of its earlier attempts.
+    """
+    spark = health.sparkSession
+    attempt = f"{run_id}-{uuid.uuid4().hex[:12]}"
+    for name, df in zip(BUNDLE, (health, summaries, root_causes, retry_reports)):
         stamped = df.withColumn("run_id", F.lit(run_id)).withColumn("generated_at", F.current_timestamp())
-        export_json(stamped, f"{path}/{name}")
+        export_json(stamped, f"{path}/{name}/bundle={attempt}")
+    known = manifests.committed(spark, f"{path}/bundles")
+    content = {"run_id": run_id, "tables": {n: f"{n}/bundle={attempt}" for n in BUNDLE}}
+    manifests.commit(spark, f"{path}/bundles", f"{len(known):08d}-{uuid.uuid4().hex[:8]}", content)
+    for name in known:
+        old = manifests.load(spark, f"{path}/bundles", name)
+        if old["run_id"] == run_id:
+            for folder in old["tables"].values():
+                remove_folder(spark, f"{path}/{folder}")
+
+
+def read_report_bundle(spark: SparkSession, path: str, run_id: str | None = None) -> dict[str, str]:
+    """The folders of a whole bundle by table: that of ``run_id``, else the newest one.
+
+    An error where no such bundle is complete.
+    """
+    for name in reversed(manifests.committed(spark, f"{path}/bundles")):
+        found = manifests.load(spark, f"{path}/bundles", name)
+        if run_id in (None, found["run_id"]):
+            return {n: f"{path}/{folder}" for n, folder in found["tables"].items()}
+    raise FileNotFoundError(f"no complete bundle under {path}")

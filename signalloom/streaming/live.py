@@ -5,28 +5,91 @@ Every function takes a streaming or a batch DataFrame and gives the same rows fo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.events import event_columns
 from ..operators.evidence import classify
 from ..operators.investigate import is_failure, is_timeout
-from ..operators.ordering import latest_per_key
+from ..operators.ordering import with_position
+from ..sources.vector_store import VectorStore
 
 
 def stream_events(trace_rows: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """Trace rows to events without state.
 
-    The event id is the trace and the row's source offset, since a running number would
-    need state per trace.  ``values`` is an optional static table of per-trace values.
+    The event id is the trace and the row's source offset, since a running number needs state
+    per trace (``numbered_events``).  ``values`` is an optional static table of per-trace values.
     """
-    evidence = classify(trace_rows)
+    evidence = _with_values(classify(trace_rows), values)
+    return event_columns(evidence, F.format_string("%s@%d", F.col("testcase_id"), F.col("seq")))
+
+
+def _with_values(evidence: DataFrame, values: DataFrame | None) -> DataFrame:
     if values is None:
-        evidence = evidence.withColumn("extracted_values", F.expr("cast(null as map<string,string>)"))
+        return evidence.withColumn("extracted_values", F.expr("cast(null as map<string,string>)"))
+    return evidence.join(values.select("testcase_id", "extracted_values"), "testcase_id", "left")
+
+
+#: The state store that ``numbered_events`` needs, for ``spark.sql.streaming.stateStore.providerClass``.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _RunningIndex(StatefulProcessor):
+    """Numbers the rows of a testcase from where the micro-batch before left off."""
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "n long")
+
+    def _rewind(self, timers) -> None:
+        """One timer per testcase, ``idle_ms`` after its last row."""
+        if self.idle_ms is not None:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self.seen.get()[0] if self.seen.exists() else 0
+        # what a micro-batch holds of one testcase
+        own = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        self.seen.update((known + len(own),))
+        self._rewind(timerValues)
+        yield own.assign(event_index=range(known + 1, known + len(own) + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def numbered_events(trace_rows: DataFrame, values: DataFrame | None = None, idle_ms: int | None = None) -> DataFrame:
+    """Trace rows, streamed in file order, to events with the ids that a batch gives them.
+
+    The evidence of a testcase is numbered on over micro-batches; its state is one number, and
+    is dropped ``idle_ms`` after the testcase's last row (never by default), after which numbers
+    begin anew.  Only evidence is shuffled, by testcase; a micro-batch bounds what a task gets.
+    The session's state store must be ``STATE_STORE``.  ``values`` is as in ``stream_events``.
+    """
+    evidence = classify(trace_rows)
+    if not trace_rows.isStreaming:
+        numbered = with_position(evidence)
     else:
-        evidence = evidence.join(values.select("testcase_id", "extracted_values"), "testcase_id", "left")
-    return event_columns(evidence, F.format_string("%s@%d", F.col("testcase_id"), F.col("seq")))
+        schema = T.StructType([*evidence.schema.fields, T.StructField("event_index", T.LongType())])
+        numbered = evidence.groupBy("testcase_id").transformWithStateInPandas(
+            _RunningIndex(idle_ms), schema, "Append", "None" if idle_ms is None else "ProcessingTime"
+        )
+    return event_columns(_with_values(numbered, values), F.format_string("%s-%04d", F.col("testcase_id"), F.col("event_index")))
 
 
 def _timed(events: DataFrame, delay: str) -> DataFrame:
@@ -106,18 +169,22 @@ def _slot_sessions(events: DataFrame, gap: str) -> DataFrame:
     )
 
 
-def upsert_vectors(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Vectors of each micro-batch into their own folder; a replayed batch replaces itself."""
+def upsert_vectors(stream: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> DataStreamWriter:
+    """Each micro-batch merged into the vector store at ``path``; a replayed batch changes nothing.
+
+    A batch reads and rewrites the buckets it touches, however many came before.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if not batch.isEmpty():
+            VectorStore(batch.sparkSession, path, buckets).upsert(batch, batch_id)
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """The vector table after all batches: per chunk the row of the latest one."""
-    return latest_per_key(spark.read.parquet(path), "chunk_id", "batch_id")
+    return VectorStore(spark, path).read()
 
 
 def drain(df: DataFrame, folder: str) -> DataFrame:

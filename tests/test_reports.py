@@ -158,3 +158,38 @@ def test_investigation_fallbacks(spark):
     overview = {r["testcase_id"]: r for r in inv.testcase_overview(events).collect()}
     assert overview["b"]["failures"] == 300 and overview["a"]["operator"] == ""
     assert inv.of_testcase(events, "a").count() == 1
+
+
+def test_a_bundle_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    from signalloom.sources import stages
+
+    path = str(tmp_path / "out")
+    tables = [spark.createDataFrame([(n,)], "v int") for n in range(4)]
+
+    def values(run_id=None):
+        found = stages.read_report_bundle(spark, path, run_id)
+        return {n: [r["v"] for r in spark.read.json(folder).collect()] for n, folder in found.items()}
+
+    with pytest.raises(FileNotFoundError):
+        stages.read_report_bundle(spark, path)
+    stages.write_report_bundle(path, "a", *tables)
+    first = values()
+    assert list(first) == list(stages.BUNDLE) and first == {n: [i] for i, n in enumerate(stages.BUNDLE)}
+    # a run that ends after two tables
+    whole = stages.export_json
+
+    def halfway(df, where, **how):
+        if "root_cause" in where:
+            raise RuntimeError("lost")
+        whole(df, where, **how)
+
+    for run in ("b", "a"):
+        with monkeypatch.context() as m:
+            m.setattr(stages, "export_json", halfway)
+            with pytest.raises(RuntimeError):
+                stages.write_report_bundle(path, run, *tables[::-1])
+        assert values() == values("a") == first
+    stages.write_report_bundle(path, "b", *tables[::-1])
+    stages.write_report_bundle(path, "a", *tables[1:], tables[0])
+    assert values("b")["summaries"] == [2] and values()["summaries"] == values("a")["summaries"] == [2]
+    assert values("a")["campaign_health"] == [1]
