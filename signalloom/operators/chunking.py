@@ -12,6 +12,7 @@ from ..functions import text as tx
 from ..functions.packing import Block, chain
 from ..functions.batches import sorted_groups
 from ..session import BLOCK_ROWS, staged
+from .heavy import heavy_keys, spread_join
 
 _EXITS = (
     "testcase_id string, block long, reach_low long, reach_high long, reach_out long, "
@@ -281,8 +282,10 @@ def build_chunks(
         )
     else:
         paths = sources.select("testcase_id", "trace_path", "result_path", "report_path")
+        # a trace has no more chunks than events; those of a busy one go to several tasks
+        heavy = heavy_keys(events, "testcase_id")
         chunks = (
-            chunks.join(paths, "testcase_id", "left")
+            spread_join(chunks, paths, "testcase_id", heavy, "left", F.col("chunk_index"))
             .withColumn("source_trace", F.coalesce(tx.blank_to_null(F.col("trace_path")), F.col("source_trace")))
             .withColumn("source_result", F.col("result_path"))
             .withColumn("source_report", F.col("report_path"))

@@ -13,6 +13,7 @@ from ..functions import names
 from ..functions import text as tx
 from ..operators import chunking, events as ev, evidence as evd, health, health_states, investigate as inv
 from ..operators import prompts, retry, vectors as vec
+from ..operators.heavy import heavy_keys, spread_join
 from ..operators.neighbour_index import NeighbourIndex, updated_neighbours
 from ..operators.neighbours import nearest_chunks
 from ..operators.ordering import with_position
@@ -1367,6 +1368,31 @@ def parsed_traces(spark, d):
     return stages.read_stage(spark, folder).select("testcase_id", value("operator"), value("country"))
 
 
+@_query(sql("""SELECT 'testcase' AS asked, chunk_id, event_count FROM ch WHERE testcase_id = (SELECT min(testcase_id) FROM ch)
+UNION ALL SELECT 'chunk', chunk_id, event_count FROM ch WHERE chunk_id = (SELECT max(chunk_id) FROM ch)""", "ch"))
+def clustered_lookup(spark, d):
+    """Chunks of one testcase and one chunk by its id, from a table clustered for lookups."""
+    folder = stage_folder(spark)
+    stages.write_clustered(fx.staged_chunks_of(spark, d), folder, ["testcase_id", "chunk_index"], ["testcase_id", "chunk_id"])
+    chunks = stages.read_stage(spark, folder)
+    case, chunk = chunks.agg(F.min("testcase_id"), F.max("chunk_id")).first() or (None, None)
+    found = chunks.where(F.col("testcase_id") == case)
+    one = chunks.where(F.col("chunk_id") == chunk)
+    return found.select(F.lit("testcase").alias("asked"), "chunk_id", "event_count").unionByName(
+        one.select(F.lit("chunk").alias("asked"), "chunk_id", "event_count")
+    )
+
+
+@_query("""SELECT event_type AS "Event", count(*) AS n, CAST(sum(length(event_type)) AS BIGINT) AS letters FROM events GROUP BY 1""")
+def heavy_join(spark, d):
+    """A join on five values that hold all rows of a table: each is dealt to several tasks."""
+    rows = fx.trace_rows(spark, d).select("Event", "seq")
+    kinds = rows.select("Event").distinct().withColumn("letters", F.length("Event").cast("long"))
+    heavy = heavy_keys(rows, "Event", key_rows=500)
+    joined = spread_join(rows, kinds, "Event", heavy, "inner", F.col("seq"))
+    return joined.groupBy("Event").agg(F.count("*").alias("n"), F.sum("letters").alias("letters"))
+
+
 @_query(sql("""SELECT 'retry_reports' AS part, chunk_id AS id, decision AS detail, match_count AS n FROM rep
 UNION ALL SELECT 'summaries', chunk_id, 'seen ' || event_names, length(text) FROM ch
 UNION ALL SELECT 'root_cause_reports', chunk_id, 'due to ' || causes, event_count FROM ch

@@ -9,6 +9,7 @@ from ..operators.chunking import build_chunks
 from ..operators.events import normalise
 from ..operators.evidence import classify, raw_signals, trace_values
 from ..operators.health import campaign_health
+from ..operators.heavy import heavy_keys, spread_join
 from ..operators.neighbours import nearest_chunks
 from ..operators.prompts import root_cause_prompts, summary_prompts
 from ..operators.retry import reportable, retry_reports
@@ -99,9 +100,10 @@ def report(
     meta = flat_metadata(chunks)
     # only what the picked chunks ask for meets the metadata
     asked = picked.select(F.col("chunk_id").alias("query_chunk_id"))
-    described = neighbours.join(asked, "query_chunk_id", "left_semi").join(
-        meta.select("chunk_id", F.struct(*[c for c in meta.columns if c != "chunk_id"]).alias("metadata")), "chunk_id"
-    )
+    wanted = neighbours.join(asked, "query_chunk_id", "left_semi")
+    found = meta.select("chunk_id", F.struct(*[c for c in meta.columns if c != "chunk_id"]).alias("metadata"))
+    # a chunk may be the neighbour of very many
+    described = spread_join(wanted, found, "chunk_id", heavy_keys(neighbours, "chunk_id"), "inner", F.xxhash64("query_chunk_id"))
     summaries = summary_prompts(picked, described, product)
     causes = root_cause_prompts(picked, described, product)
     write_report_bundle(out, run_id, health, summaries, causes, advice)

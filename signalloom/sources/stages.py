@@ -21,6 +21,20 @@ def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None,
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_clustered(df: DataFrame, path: str, by: list[str], blooms: list[str] | None = None, group_rows: int = 100_000, mode: str = "overwrite") -> None:
+    """A stage for point lookups: range-clustered by ``by``, with bloom filters of ``blooms``.
+
+    A lookup by the first column of ``by`` reads the row groups whose range holds it; one by
+    another column reads those whose bloom filter does not rule it out.  A row group holds
+    ``group_rows`` rows, so that a lookup reads as much of a large table as of a small one.  Name
+    enough columns in ``by`` that no value of all of them fills a file.
+    """
+    writer = df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode(mode)
+    for column in blooms if blooms is not None else by:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", group_rows)
+    writer.option("parquet.block.row.count.limit", group_rows).parquet(path)
+
+
 def export_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A stage as JSON lines, nulls kept."""
     df.write.mode(mode).option("ignoreNullFields", False).json(path)

@@ -137,10 +137,13 @@ def activity_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "
 
     A table is first counted by time slots as long as the gap, in each of which a testcase has
     one session at most; only slots are then put in order, so that no task gets all events of
-    a busy testcase.
+    a busy testcase.  A stream merges the sessions of each task before they are shuffled, for
+    which its session's setting ``..sessionWindow.merge.sessions.in.local.partition`` is turned on.
     """
     if not events.isStreaming:
         return _slot_sessions(events, gap)
+    # sessions are merged where the rows are read, and only those of a task leave it
+    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     sessions = _timed(events, delay).groupBy(
         F.session_window("event_time", gap).alias("w"), "testcase_id"
     ).agg(F.count(F.lit(1)).alias("events"))
