@@ -129,10 +129,13 @@ def suffixes(docs: DataFrame, length: int, reach: int, gram: int, buckets: int)
 
 
 class SuffixFamily:
-    """Levels of arrays: rows of key range, ascending digests and how often each occurs."""
+    """Levels of arrays: rows of key range, ascending digests and how often each occurs.
 
-    def __init__(self, spark):
-        self.spark = spark
+    ``fanout`` arrays of one level become one of the next.
+    """
+
+    def __init__(self, spark, fanout: int = 2):
+        self.spark, self.fanout = spark, fanout
         self.levels: list[list[str]] = []
 
     def _write(self, arrays: DataFrame) -> str:
@@ -153,7 +156,7 @@ class SuffixFamily:
         self.levels = self.levels or [[]]
         self.levels[0].append(self._write(batch))
         for n in range(len(self.levels)):
-            if len(self.levels[n]) == 2:
+            if len(self.levels[n]) == self.fanout:
                 merged = self._write(self._read(self.levels[n]))
                 for path in self.levels[n]:
                     remove_folder(self.spark, path)
@@ -177,7 +180,7 @@ class SuffixFamily:
 def remove_repeats(
     docs: DataFrame,
     length: int = 400,
-    reach: int = 128,
+    reach: int = 144,
     gram: int = 32,
     batches: int = 4,
     block_bytes: int = BLOCK_BYTES,
@@ -204,7 +207,7 @@ def remove_repeats(
     folder = stage_folder(spark)
     suffixes(source, length, reach, gram, buckets).write.parquet(folder)
     asked = spark.read.schema(ASKED).parquet(folder)
-    family = SuffixFamily(spark)
+    family = SuffixFamily(spark, fanout=4)
     for n in range(min(batches, blocks)):
         family.add(asked.where(F.col("block") % batches == n))
 

@@ -78,7 +78,7 @@ def test_passages_too_short_to_go_are_matched(spark):
     rows = [(i, "".join(rng.choice(list("abcdefghij "), 300)) + (passages[i % 30] if i < 60 else "")) for i in range(120)]
     got = {r["doc_id"]: r for r in suffix_levels.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=9000).collect()}
     assert all(r["n_removed"] == 0 for r in got.values())
-    assert all((r["longest_match"] >= 128) == (i < 60) for i, r in got.items())
+    assert all((r["longest_match"] >= 144) == (i < 60) for i, r in got.items())
 
 
 def test_odd_rows(odd, nothing):
