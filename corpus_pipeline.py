@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from signalloom.llm import decontaminate, fair_mix, language_id, line_runs, simhash
-from signalloom.session import staged
+from signalloom.session import remove_folder, stage_folder, stage_scope
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +46,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for n, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES):
-            docs = staged(docs)
-    return docs
+    """The mix, from the documents table.  A stage reads what the one before it wrote, so that its
+    lineage is cut; what stages leave in the shared folder is deleted as soon as it has been read."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        path = stage_folder(spark)
+        with stage_scope(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            remove_folder(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
