@@ -16,7 +16,7 @@ from ..operators.retry import reportable, retry_reports
 from ..operators.vectors import (
     attach_embeddings, embed, embedding_input, fit_text_vectors, flat_metadata, semantic_text, split_empty,
 )
-from ..session import staged
+from ..session import stage_scope, staged
 from ..sources.stages import read_stage, write_report_bundle, write_stage
 from ..sources.traces import one_file_per_testcase
 
@@ -27,18 +27,19 @@ def ingest(
     """Trace rows to the stored ``values``, ``raw_signals`` and ``events`` tables; returns events.
 
     One file counts per testcase: that of ``artifacts`` (``discover``), else the highest path,
-    where rows say which file they come from.  A file that may hold quoted line breaks is read
-    by one task (``read_traces``).
+    where rows say which file they come from.  ``read_traces`` reads a file that may hold quoted
+    line breaks in one task, ``read_traces_any_header`` in splits.
     """
     if "source_trace" in trace_rows.columns:
         trace_rows = one_file_per_testcase(trace_rows, artifacts)
-    rows = staged(trace_rows)  # raw text is parsed once
-    evidence = staged(classify(rows))  # and classified once
-    write_stage(trace_values(rows, mapping, every_trace=True), f"{out}/values")
-    write_stage(raw_signals(evidence), f"{out}/raw_signals")
-    values = read_stage(rows.sparkSession, f"{out}/values")
-    write_stage(normalise(evidence, values, **options), f"{out}/events")
-    return read_stage(rows.sparkSession, f"{out}/events")
+    with stage_scope(trace_rows.sparkSession):
+        rows = staged(trace_rows)  # raw text is parsed once
+        evidence = staged(classify(rows))  # and classified once
+        write_stage(trace_values(rows, mapping, every_trace=True), f"{out}/values")
+        write_stage(raw_signals(evidence), f"{out}/raw_signals")
+        values = read_stage(rows.sparkSession, f"{out}/values")
+        write_stage(normalise(evidence, values, **options), f"{out}/events")
+        return read_stage(rows.sparkSession, f"{out}/events")
 
 
 def analyse(
@@ -53,32 +54,33 @@ def analyse(
     makes them an error.
     """
     spark = events.sparkSession
-    write_stage(build_chunks(events, chunk_size, chunk_overlap), f"{out}/chunks")
-    chunks = read_stage(spark, f"{out}/chunks")
-    tables = {"chunks": chunks}
-    if skip_embedding:
+    with stage_scope(spark):
+        write_stage(build_chunks(events, chunk_size, chunk_overlap), f"{out}/chunks")
+        chunks = read_stage(spark, f"{out}/chunks")
+        tables = {"chunks": chunks}
+        if skip_embedding:
+            return tables
+        texts, blank = split_empty(chunks.select("chunk_id", embedding_input(semantic_text(chunks)).alias("text")), "text")
+        if embeddings is None:
+            found = embed(fit_text_vectors(texts), texts)
+        else:
+            found = embeddings(texts)
+        with_vectors, lost = attach_embeddings(chunks.join(texts.select("chunk_id"), "chunk_id", "left_semi"), found)
+        rejects = blank.select("chunk_id", F.lit("empty text").alias("reason")).unionByName(
+            lost.select("chunk_id", F.lit("no vector").alias("reason"))
+        )
+        write_stage(rejects, f"{out}/rejects")
+        tables["rejects"] = read_stage(spark, f"{out}/rejects")
+        if strict and (bad := tables["rejects"].count()):
+            raise ValueError(f"{bad} chunks without text or vector, see {out}/rejects")
+        stored = flat_metadata(chunks).join(with_vectors.select("chunk_id", "text", "embedding"), "chunk_id")
+        write_stage(stored, f"{out}/vectors")
+        tables["vectors"] = read_stage(spark, f"{out}/vectors")
+        if skip_similarity:
+            return tables
+        write_stage(nearest_chunks(tables["vectors"], k=k, **options), f"{out}/neighbours")
+        tables["neighbours"] = read_stage(spark, f"{out}/neighbours")
         return tables
-    texts, blank = split_empty(chunks.select("chunk_id", embedding_input(semantic_text(chunks)).alias("text")), "text")
-    if embeddings is None:
-        found = embed(fit_text_vectors(texts), texts)
-    else:
-        found = embeddings(texts)
-    with_vectors, lost = attach_embeddings(chunks.join(texts.select("chunk_id"), "chunk_id", "left_semi"), found)
-    rejects = blank.select("chunk_id", F.lit("empty text").alias("reason")).unionByName(
-        lost.select("chunk_id", F.lit("no vector").alias("reason"))
-    )
-    write_stage(rejects, f"{out}/rejects")
-    tables["rejects"] = read_stage(spark, f"{out}/rejects")
-    if strict and (bad := tables["rejects"].count()):
-        raise ValueError(f"{bad} chunks without text or vector, see {out}/rejects")
-    stored = flat_metadata(chunks).join(with_vectors.select("chunk_id", "text", "embedding"), "chunk_id")
-    write_stage(stored, f"{out}/vectors")
-    tables["vectors"] = read_stage(spark, f"{out}/vectors")
-    if skip_similarity:
-        return tables
-    write_stage(nearest_chunks(tables["vectors"], k=k, **options), f"{out}/neighbours")
-    tables["neighbours"] = read_stage(spark, f"{out}/neighbours")
-    return tables
 
 
 def report(

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,7 +63,31 @@ def stage_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="signalloom-"))
         folder = spark.sparkContext.getCheckpointDir()
-    return f"{folder}/stage-{uuid.uuid4().hex}"
+    path = f"{folder}/stage-{uuid.uuid4().hex}"
+    for scope in _SCOPES:
+        scope.append(path)
+    return path
+
+
+#: Folders made within each open ``stage_scope``, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the stage folders made inside.
+
+    Operators stage what they read several times, and their results read it when they run; so
+    write what is to stay before the scope ends, to a folder made before it or elsewhere.
+    """
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES[:] = [scope for scope in _SCOPES if scope is not made]
+        for path in made:
+            remove_folder(spark, path)
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:

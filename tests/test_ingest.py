@@ -199,3 +199,38 @@ def test_event_array_files(spark, tmp_path):
     (tmp_path / "43_events.json").write_text('{"other": 1}')
     rows = stages.read_event_files(spark, str(tmp_path)).orderBy("seq").collect()
     assert [(r["testcase_id"], r["event_id"]) for r in rows] == [("42", "42-0001"), ("42", "42-0002")]
+
+
+def _values(rows, mapping, **how):
+    found = evd.trace_values(rows, mapping, **how).collect()
+    return sorted(
+        (r["testcase_id"], list((r["extracted_values"] or {}).items()), [(k, list(v.items())) for k, v in r["time_values"].items()], r["parser_errors"])
+        for r in found
+    )
+
+
+def test_large_mappings_equal_one_by_one(spark, monkeypatch):
+    lines = [
+        "PTC_A.Plmn = 'one'", "Start; DATETIME(1750000000000)", "ab; c", "xab; d = 'e,f';g", "Start: DATETIME(9999999999999999)",
+        "a.b;c", "aXb;no", "End: DATETIME = 1750000001234", "End; nothing", "", None, "abc;", "abbc; x", "q; 1", "time", "é; ü",
+    ]
+    rows = rows_of(spark, lines).unionByName(rows_of(spark, lines[::-1], "350000002")).unionByName(rows_of(spark, [None], "350000003"))
+    mapping = [{"value": v} for v in (
+        "ab", "a.b", "time(Start,hour)", "time(Start, h:m:s)", "time(End,min)", "(", None, "ab+c;", "^q;\\s*(.+)", "x?ab;.*", "é", "nothing|time;", "ab", "time(", "abc?;",
+    )]
+    want = _values(rows, mapping)
+    monkeypatch.setattr(evd, "MANY_ENTRIES", 0)
+    assert _values(rows, mapping) == want
+    assert want[0][1] and want[0][2] and want[0][3]
+    assert _values(rows, mapping, time_change="+02:30") != want
+
+
+def test_required_text_is_required():
+    for spec, text in [("a.b", "a.b"), ("ab+c;", "a"), ("x?ab;", None), ("ab*", "a"), ("(a)b;", None), ("^q;", None), ("a|b;", None), ("PTC_A.X y;z", "PTC_A"), ("X y", "X y")]:
+        assert evd.MappingEntry(spec).required() == (text if text != "" else None), spec
+
+
+def test_a_thousand_entries(spark):
+    rows = rows_of(spark, [f"name{i % 1500}x; value {i}" for i in range(3000)])
+    values = evd.trace_values(rows, [{"value": f"name{i}x"} for i in range(1000)]).first()["extracted_values"]
+    assert values == {f"name{i}x": f"name{i}x; value {i}" for i in range(1000)}

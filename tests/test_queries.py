@@ -8,6 +8,7 @@ from compare import connect, difference
 import __spark_entry__ as contract
 from signalloom.plans import pipeline
 from signalloom.plans import fixtures as fx
+from signalloom.session import stage_folder
 
 SF = "/root/testdata/sf0.001"
 QUICK = ["testcase_id", "artifact_join", "line_explode", "signal_tags", "evidence_classify", "base_values",
@@ -37,8 +38,13 @@ def test_every_sql_has_a_query():
 
 def test_pipeline_end_to_end(spark, tmp_path):
     data, out = str(tmp_path / "data"), str(tmp_path / "out")
-    events = pipeline.ingest(fx.trace_rows(spark, SF), data)
+    rows = fx.trace_rows(spark, SF)
+    shared = os.path.dirname(stage_folder(spark)).removeprefix("file:")
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    events = pipeline.ingest(rows, data)
     tables = pipeline.analyse(events, data, k=3)
+    # nothing staged on the way is left
+    assert not {f for f in set(os.listdir(shared)) - before if f.startswith("stage-")}
     assert tables["neighbours"].count() == 3 * tables["chunks"].count()
     made = pipeline.report(spark, data, out, "run-1", decision_col="retry_decision")
     row = made["health"].first()
