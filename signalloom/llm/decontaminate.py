@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .blocks import shielded, with_text
 from .packed import PUNCT
 
@@ -134,19 +135,19 @@ class Automaton:
         return hit, items
 
 
-def _shards(items: DataFrame, item: str, text: str, max_words: int) -> list[list[tuple[str | None, str | None]]]:
-    """The items in lists of at most ``max_words`` words; the test set streams through the driver."""
-    shards, size = [[]], 0
+def _shards(items: DataFrame, item: str, text: str, max_words: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The items in lists of at most ``max_words`` words; the driver holds one list at a time."""
+    shard, size = [], 0
     rows = items.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).distinct()
     for row in rows.toLocalIterator(prefetchPartitions=False):
         n = len(words_of(row["text"]))
         if n:
             if size and size + n > max_words:
-                shards.append([])
-                size = 0
-            shards[-1].append((row["item"], row["text"]))
+                yield shard
+                shard, size = [], 0
+            shard.append((row["item"], row["text"]))
             size += n
-    return shards
+    yield shard
 
 
 _MARKS = "n_words long, spans array<long>, items array<string>, clean string"
@@ -160,7 +161,7 @@ def mark(
     item: str = "item_id",
     item_text: str = "text",
     text: str = "text",
-    max_words: int = 4_000_000,
+    max_words: int = 500_000,
     cut: bool = False,
 ) -> DataFrame:
     """All columns of ``docs`` and ``__leak_marks`` (struct: n_words, spans, items, clean).
@@ -171,15 +172,20 @@ def mark(
     and is not listed.  A null text has no words.  No items: no marks.
     With ``cut`` a marked text is also given without its spans, in ``clean``.
 
-    What is broadcast at a time is bounded by ``max_words``: a larger test set is cut into
-    shards of items, and documents stream through one automaton after another.
+    What is broadcast is bounded by ``max_words`` (an automaton takes some 800 bytes a word): a
+    larger test set is cut into shards of items, which the driver reads one after another.  The
+    documents are written with their marks between two shards, so that one is held at a time.
     """
     shards = _shards(items, item, item_text, max_words)
     context = docs.sparkSession.sparkContext
-    for n, shard in enumerate(shards):
-        shared = context.broadcast(shard)
-
-        last = n == len(shards) - 1
+    shard, n, held = next(shards), 0, None
+    while shard is not None:
+        following = next(shards, None)
+        if held is not None:
+            docs = staged(docs)
+            held.unpersist()
+        shared = held = context.broadcast(shard)
+        last = following is None
 
         def marked(batches: Iterator[tuple[pa.Array, pa.Array]], shared=shared, cut=cut and last) -> Iterator[pa.Array]:
             automaton = Automaton(shared.value, window)
@@ -208,6 +214,7 @@ def mark(
 
         before = F.col(FOUND) if n else F.lit(None).cast(f"struct<{_MARKS.replace(' ', ':').replace(',:', ',')}>")
         docs = docs.withColumn(FOUND, F.arrow_udf(marked, _MARKS, F.ArrowUDFType.SCALAR_ITER)(F.col(text), before))
+        shard, n = following, n + 1
     return docs
 
 
