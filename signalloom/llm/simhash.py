@@ -23,7 +23,7 @@ from .blocks import shielded
 from .components import components
 
 #: Fingerprints of one task's trie node; more once there are ``MAX_NODES`` of them.
-NODE_PRINTS = 16_384
+NODE_PRINTS = 4096
 MAX_NODES = 4096
 #: Pairs of prints that two nodes may have to be compared directly, node pairs held at once, and
 #: pairs of prints compared at once: what bounds a task's memory beside its prints.
