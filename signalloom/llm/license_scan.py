@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import WHOLE_TEXTS
 from .packed import LOWER, PUNCT, mix, span_digests, utf8, words
 
 # Public license statements that documents carry.
@@ -34,7 +35,7 @@ TEMPLATES = {
     "MIT permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
     "associated documentation files (the \"Software\"), to deal in the Software without restriction",
     "All rights reserved": "All rights reserved.",
-}
+} | WHOLE_TEXTS
 
 
 def bands_for(similarity: float, chance: float) -> int:
