@@ -89,7 +89,7 @@ class LineRuns:
                 level.clear()
 
     def _merge(self, runs: list[tuple[str, str]]) -> tuple[str, str]:
-        """Equally bucketed runs are merged bucket by bucket, without a shuffle."""
+        """Runs are bucketed alike and meet without a shuffle; what they make is dealt to buckets again."""
         merged = self.spark.table(runs[0][0])
         for name, _ in runs[1:]:
             a, b = merged.alias("a"), self.spark.table(name).hint("merge").alias("b")
