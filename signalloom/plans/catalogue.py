@@ -185,14 +185,25 @@ def base_values(spark, d):
     )
 
 
-@_query(sql("""SELECT testcase_id, 'PTC_A.Plmn.*;' AS key, operator AS value FROM vals WHERE op_seq IS NOT NULL
+_MAPPED = sql("""SELECT testcase_id, 'PTC_A.Plmn.*;' AS key, operator AS value FROM vals WHERE op_seq IS NOT NULL
 UNION ALL SELECT testcase_id, 'LocationUpdate.*; Error', '11' FROM found WHERE category = 'location_update_failed' GROUP BY 1
 UNION ALL SELECT testcase_id, '(?:SIP|T3210);?.*', v FROM (SELECT testcase_id, arg_min(info, seq) AS v FROM rows
- WHERE info IN ('SIP retry', 'T3210 timeout') GROUP BY 1) x""", "vals", "found"))
+ WHERE info IN ('SIP retry', 'T3210 timeout') GROUP BY 1) x""", "vals", "found")
+_MAPPING = [{"value": "PTC_A.Plmn.*;"}, {"value": "LocationUpdate.*; Error"}, {"value": "(?:SIP|T3210);?.*"},
+            {"value": "NoSuchKey"}, {"value": ""}]
+
+
+@_query(_MAPPED)
 def mapping_regex(spark, d):
-    mapping = [{"value": "PTC_A.Plmn.*;"}, {"value": "LocationUpdate.*; Error"}, {"value": "(?:SIP|T3210);?.*"},
-               {"value": "NoSuchKey"}, {"value": ""}]
-    found = evd.mapping_values(fx.trace_rows(spark, d), mapping)
+    found = evd.mapping_values(fx.trace_rows(spark, d), _MAPPING)
+    return found.select("testcase_id", F.explode("mapped").alias("key", "value"))
+
+
+@_query(_MAPPED)
+def mapping_many(spark, d):
+    """A mapping of a thousand entries, which one automaton looks up."""
+    more = [{"value": f"NoSuchKey{i}"} for i in range(1000)]
+    found = evd.mapping_values(fx.trace_rows(spark, d), more[:500] + _MAPPING + more[500:])
     return found.select("testcase_id", F.explode("mapped").alias("key", "value"))
 
 
