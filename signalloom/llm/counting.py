@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .packed import bucket_edges, pack_ints, pack_sorted, unpack_ints, unpack_sorted
+from .packed import bucket_edges, give_back, pack_ints, pack_sorted, unpack_ints, unpack_sorted
 
 #: kind: a family of keys; bucket: a key range; block: who asks; a and b: two numbers per key.
 ASKED = "kind int, bucket int, block int, keys binary, a binary, b binary"
@@ -61,6 +61,7 @@ def totals(asked: DataFrame, fold: Fold = sums, extra: Callable | None = None, o
     """
 
     def tell(table: pa.Table) -> pa.Table:
+        give_back()
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
         blocks = table.column("block").to_pylist()
         keys = [unpack_sorted(k) for k in table.column("keys").to_pylist()]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..session import stage_folder
 from .blocks import block_count, block_of, text_bytes
 from .counting import ASKED, Asking, told, totals
-from .packed import LOWER, SPACE, combine, counted, span_digests, utf8, words
+from .packed import LOWER, SPACE, combine, counted, give_back, span_digests, utf8, words
 
 _END, _START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 #: Bits of a key by order: 62 for words, whose differences in a block then take six bytes; longer
@@ -85,6 +85,7 @@ def counts(
     )
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
+        give_back()
         grams, out = Grams(table.column("text"), order), Asking()
         train = np.repeat(table.column("train").to_numpy(), grams.n_tokens)
         deleted = np.repeat(table.column("deleted").to_numpy(), grams.n_tokens)
@@ -97,6 +98,7 @@ def counts(
         return np.array([np.count_nonzero(a)]), np.array([np.count_nonzero(a - b)])
 
     def tally(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()
         block = key[0].as_py()
         n = table.num_rows
         grams = Grams(table.column("text"), order)
