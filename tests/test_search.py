@@ -1,6 +1,9 @@
 """Nearest neighbours against brute force, and the vector table."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +144,30 @@ def test_rows_of_one_batch_have_a_defined_winner(spark):
     first = {(r["chunk_id"], r["v"]) for r in vec.upsert(stored, batch).collect()}
     again = {(r["chunk_id"], r["v"]) for r in vec.upsert(stored, batch.orderBy("v", ascending=False)).collect()}
     assert first == again and ("b", 1) in first and len(first) == 2
+
+
+def test_vectors_leave_for_their_groups_a_few_at_a_time():
+    rng = np.random.default_rng(3)
+    groups = neighbours._Groups(rng.normal(size=(300, 64)))
+    groups.near, groups.far, groups.sizes = np.zeros(300), np.full(300, 1e9), np.ones(300)
+    rows = rng.normal(size=(1000, 64))
+    frames = list(groups.routes(iter([pd.DataFrame({"key": np.arange(1000), "vector": list(rows)})]), 5, None))
+    assert max(map(len, frames)) * 64 <= neighbours.CELLS
+    cells = pd.concat(frames).groupby("key")["cell"]
+    row, cell = groups.reachable(rows, 5, None)
+    assert cells.apply(list).to_dict() == {k: cell[row == k].tolist() for k in range(1000)}
+    assert len(row) > 100_000
+
+
+def test_a_block_is_measured_a_few_rows_at_a_time():
+    rng = np.random.default_rng(4)
+    left = pd.DataFrame({"key": np.arange(4000), "vector": list(rng.normal(size=(4000, 8)))})
+    right = left.assign(least=left["key"])
+    tracemalloc.start()
+    try:
+        pairs = neighbours.block_nearest(2)(left, right)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4000 * 4000 * 8
+    assert pairs.groupby("query")["key"].first().tolist() == list(range(4000))
