@@ -19,6 +19,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def streamed(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of them."""
+    schema = table(spark, folder, name).schema
+    # as a pattern, since a stream takes a plain path for the folder of its files
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{name}.parquet}}")
+
+
 def _choice(selector: str, lines: list[str]) -> str:
     """SQL CASE over the values 0, 1, … of a selector; each line is a SQL expression."""
     return f"CASE {selector} " + " ".join(f"WHEN {i} THEN {line}" for i, line in enumerate(lines)) + " END"

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from signalloom.plans import fixtures as fx
+from signalloom.plans.catalogue import QUERIES
 from signalloom.streaming import live
 
 SF = "/root/testdata/sf0.001"
@@ -107,3 +108,15 @@ def test_streamed_ids_equal_those_of_the_batch(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.count() == 180
     again = live.numbered_events(table.drop("n")).select("event_id", "seq", "testcase_id")
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_streamed_table_is_one_file_or_a_folder(spark, tmp_path):
+    rows = spark.range(20).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float")).alias("embedding"), F.lit(1).alias("label"))
+    rows.repartition(3).write.parquet(f"{tmp_path}/folder/embeddings.parquet")
+    (tmp_path / "file").mkdir()
+    rows.coalesce(1).write.parquet(f"{tmp_path}/one")
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "file" / "embeddings.parquet")
+    spark.range(3).write.parquet(f"{tmp_path}/file/other.parquet")
+    for kind in ("folder", "file"):
+        found = QUERIES["stream_vector_upsert"](spark, f"{tmp_path}/{kind}")
+        assert sorted(r["chunk_id"] for r in found.collect()) == list(range(20))
