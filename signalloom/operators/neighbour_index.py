@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .neighbours import TASK_VECTORS, _matrix, _squares, _unit, block_nearest, nearest_chunks
+from .neighbours import _matrix, _squares, _unit, block_nearest, block_vectors, in_slices, nearest_chunks
 from .vectors import similarity
 
 #: Lists of an index at most; their pivots are broadcast (MAX_LISTS x dimensions doubles).
@@ -83,7 +83,7 @@ class NeighbourIndex:
         own = _squares(lists, cells).argmin(axis=1)
         order = np.argsort(own, kind="stable")
         lists, own = lists[order], own[order]
-        pivots = pd.DataFrame({"list": np.arange(len(lists)), "cell": own, "vector": list(lists), "center": list(cells[own]), "metric": metric})
+        pivots = pd.DataFrame({"list": np.arange(len(lists)), "cell": own, "vector": lists.tolist(), "center": cells[own].tolist(), "metric": metric})
         schema = "list long, cell int, vector array<double>, center array<double>, metric string"
         spark.createDataFrame(pivots, schema).coalesce(1).write.parquet(f"{index.path}/pivots")
         shared = spark.sparkContext.broadcast(index._pivots())  # bounded by max_lists
@@ -132,38 +132,57 @@ class NeighbourIndex:
         kind = asked.schema["key"].dataType.simpleString()
         shared = self.spark.sparkContext.broadcast(pivots)
 
+        # one row per list; a tile is a run of lists with the vectors of one block, or one larger list
+        sizes = self.spark.read.parquet(f"{self.path}/sizes").orderBy("list").toPandas()
+        held = np.zeros(len(pivots.lists), np.int64)
+        held[sizes["list"].to_numpy(np.int64)] = sizes["n"].to_numpy(np.int64)
+        block = block_vectors(int(held.sum()))
+        tile_of, rows_of = _tiles(held, block)
+        tiles = self.spark.sparkContext.broadcast(tile_of)
+        width = len(pivots.lists) + pivots.lists.shape[1]
+
         def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                if len(pdf):
-                    row, found = shared.value.probed(_matrix(pdf["vector"]), probes)
-                    yield pd.DataFrame({"key": pdf["key"].to_numpy()[row], "vector": pdf["vector"].to_numpy()[row], "list": found})
-
-        routed = staged(asked.mapInPandas(route, f"key {kind}, vector array<double>, list long"))
-        load = routed.groupBy("list").agg(F.count("*").alias("asked"))
-        sizes = self.spark.read.parquet(f"{self.path}/sizes")
-        # one row per list that is probed
-        parts = sizes.join(load, "list").select(
-            "list", F.ceil(F.col("n") / TASK_VECTORS).alias("data_parts"), F.ceil(F.col("asked") / TASK_VECTORS).alias("query_parts")
-        )
-        probed = sorted(r["list"] for r in parts.select("list").collect())
-        cells = sorted({int(c) for c in pivots.cell_of(np.array(probed, np.int64))} if probed else set())
+                for part in in_slices(len(pdf), width):
+                    some = pdf.iloc[part]
+                    row, found = shared.value.probed(_matrix(some["vector"]), probes)
+                    tile = tiles.value[found]
+                    order = np.lexsort((found, tile, row))
+                    row, found, tile = row[order], found[order], tile[order]
+                    # a query goes once to a tile, with the lists that it probes there
+                    first = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(tile) != 0)]))
+                    lists = np.empty(len(first), object)
+                    lists[:] = np.split(found, first[1:])
+                    row, tile = row[first], tile[first]
+                    keys, vectors = some["key"].to_numpy(), some["vector"].to_numpy()
+                    for out in in_slices(len(row), pivots.lists.shape[1]):
+                        yield pd.DataFrame({"key": keys[row[out]], "vector": vectors[row[out]], "tile": tile[out], "lists": lists[out]})
+
+        routed = staged(asked.mapInPandas(route, f"key {kind}, vector array<double>, tile long, lists array<long>"))
+        # one row per tile that is probed
+        load = {r["tile"]: r["asked"] for r in routed.groupBy("tile").agg(F.count("*").alias("asked")).collect()}
+        parts = [(t, math.ceil(int(rows_of[t]) / block) or 1, math.ceil(n / block)) for t, n in sorted(load.items())]
+        parts = self.spark.createDataFrame(parts, "tile long, data_parts long, query_parts long")
+        probed = np.flatnonzero(np.isin(tile_of, list(load)))
+        cells = sorted({int(c) for c in pivots.cell_of(probed)})
         lists = self.table().where(F.col("cell").isin(cells))
-        if probed:
-            lists = lists.where((F.col("list") >= probed[0]) & (F.col("list") <= probed[-1]))
+        if len(probed):
+            lists = lists.where((F.col("list") >= int(probed[0])) & (F.col("list") <= int(probed[-1])))
         if where is not None:
             lists = lists.where(where)
         spot = F.xxhash64(F.lit(7), F.col("key"))
-        data = lists.select(F.col("chunk_id").alias("key"), "vector", F.col("chunk_id").alias("least"), "list").join(F.broadcast(parts), "list")
-        data = data.select(
-            "key", "vector", "least", "list", F.pmod(spot, F.col("data_parts")).alias("data_part"),
+        places = self.spark.createDataFrame(list(enumerate(tile_of.tolist())), "list long, tile long")
+        data = lists.select(F.col("chunk_id").alias("key"), "vector", F.col("chunk_id").alias("least"), "list")
+        data = data.join(F.broadcast(places), "list").join(F.broadcast(parts), "tile").select(
+            "key", "vector", "least", "list", "tile", F.pmod(spot, F.col("data_parts")).alias("data_part"),
             F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_parts") - 1)).alias("query_part"),
         )
-        asking = routed.join(F.broadcast(parts), "list").select(
-            "key", "vector", "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("data_parts") - 1)).alias("data_part"),
+        asking = routed.join(F.broadcast(parts), "tile").select(
+            "key", "vector", "lists", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("data_parts") - 1)).alias("data_part"),
             F.pmod(spot, F.col("query_parts")).alias("query_part"),
         )
         want = k + 1 if exclude_self else k
-        side = ["list", "data_part", "query_part"]
+        side = ["tile", "data_part", "query_part"]
         pairs = asking.groupBy(side).cogroup(data.groupBy(side)).applyInPandas(block_nearest(want), f"query {kind}, key {kind}, distance double")
         if exclude_self:
             pairs = pairs.where("query != key")
@@ -180,6 +199,18 @@ class NeighbourIndex:
         return found.withColumn("distance", distance).withColumn("similarity_score", similarity(F.col("distance")))
 
 
+def _tiles(held: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tile of each list, and the vectors of each tile, for lists of ``held`` vectors."""
+    tile_of, now, rows = np.zeros(len(held), np.int64), 0, [0]
+    for i, n in enumerate(held.tolist()):
+        if rows[now] and rows[now] + n > block:
+            now += 1
+            rows.append(0)
+        tile_of[i] = now
+        rows[now] += n
+    return tile_of, np.array(rows, np.int64)
+
+
 def _ranked(pairs: DataFrame, k: int, metric: str) -> DataFrame:
     square = F.col("square")
     distance = {"l2": F.sqrt(square), "cosine": square / 2}.get(metric, square)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalloom.operators.neighbour_index import NeighbourIndex, updated_neighbours
+from signalloom.operators.neighbour_index import NeighbourIndex, _tiles, updated_neighbours
 from signalloom.operators.neighbours import nearest_chunks
 
 
@@ -82,3 +82,26 @@ def test_neighbour_tables_follow_three_batches(spark, exclude_self):
         want = found(nearest_chunks(table(spark, stored.items()), k=4, exclude_self=exclude_self))
         assert found(neighbours) == want
         neighbours = spark.createDataFrame(neighbours.collect(), neighbours.schema)
+
+
+def test_build_without_arrow_and_many_lists_a_tile(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    vectors = table(spark, clustered(rng, 300, 9))
+    key = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        index = NeighbourIndex.build(vectors, str(tmp_path / "i"), list_vectors=10)
+        assert found(index.search(vectors, probes=index.list_count())) == found(nearest_chunks(vectors))
+    finally:
+        spark.conf.set(key, before)
+    # of the lists of a tile only those that a query probes are searched
+    own = found(index.search(vectors, k=300, probes=1))
+    lists = {r["chunk_id"]: r["list"] for r in index.table().select("chunk_id", "list").collect()}
+    assert {(q, c) for q, _, c, _ in own} == {(q, c) for q in lists for c in lists if lists[q] == lists[c]}
+
+
+def test_tiles_hold_a_block_or_one_list():
+    tile_of, rows = _tiles(np.array([3, 4, 0, 5, 30, 1, 1]), 10)
+    assert tile_of.tolist() == [0, 0, 0, 1, 2, 3, 3]
+    assert rows.tolist() == [7, 5, 30, 2]
