@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions import text as tx
 from ..functions.packing import Block, chain
 from ..functions.batches import sorted_groups
-from ..session import BLOCK_ROWS, staged
+from ..session import BLOCK_ROWS, dealt, staged
 from .heavy import heavy_keys, spread_join
 
 _EXITS = (
@@ -242,7 +242,10 @@ def build_chunks(
         "operator", "country", "network_domain", "tags", "result",
         flag.alias("retry_recommended"), origin.alias("source_trace"), text.alias("line"),
     )
-    joined = members.join(wide, ["testcase_id", "event_index"])
+    total = events.count()
+    place = ["testcase_id", "event_index"]
+    joined = dealt(members, total, *place).join(dealt(wide, total, *place), place)
+    joined = dealt(joined, total, "testcase_id", "chunk_index")
 
     counted = F.col("in_events")
 
