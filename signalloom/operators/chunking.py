@@ -232,7 +232,8 @@ def build_chunks(
     per testcase.  Chunks have a bounded size, so each aggregate group is small.
     """
     text = event_text(events)
-    lines = events.select("testcase_id", "event_index", F.length(text).alias("length"))
+    # the printed text is long to make and is only needed for its length here, so that is kept
+    lines = staged(events.select("testcase_id", "event_index", F.length(text).alias("length")))
     members = chunk_members(chunk_bounds(lines, chunk_size, chunk_overlap, block_rows))
 
     flag = F.col("retry_recommended") if "retry_recommended" in events.columns else F.lit(None).cast("boolean")

@@ -1,7 +1,8 @@
-"""Chunk arrays come in files by rows, not by testcases."""
+"""Chunk arrays come in files by rows, not by testcases, and lines are printed once for their lengths."""
 
 from pyspark.sql import functions as F
 
+from signalloom.operators import chunking
 from signalloom.plans.catalogue import QUERIES
 
 
@@ -19,3 +20,14 @@ def test_files_of_chunks_do_not_grow_with_testcases(spark, tmp_path):
     assert made.select("testcase_id").distinct().count() == users
     assert made.select("chunk_id").distinct().count() == made.count()
     assert len(made.inputFiles()) <= 10
+
+
+def test_lengths_of_lines_are_stored_and_not_printed_again(spark, monkeypatch):
+    events = spark.sql(
+        "SELECT 't' AS testcase_id, id + 1 AS event_index, concat('e', id) AS event_id, 'a' AS event_name, 'f' AS event_family, "
+        "'s' AS severity, 'c' AS cause, 'o' AS operator, 'c' AS country, 'd' AS network_domain, array('x') AS tags, 'failed' AS result FROM range(50)"
+    )
+    given, bounds = [], chunking.chunk_bounds
+    monkeypatch.setattr(chunking, "chunk_bounds", lambda lines, *rest: given.append(lines) or bounds(lines, *rest))
+    assert chunking.build_chunks(events, 2000, 200).agg(F.max_by("event_ids", "chunk_index")).first()[0][-1] == "e49"
+    assert given[0].inputFiles() and "concat_ws" not in given[0]._jdf.queryExecution().optimizedPlan().toString()
