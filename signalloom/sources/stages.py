@@ -78,9 +78,9 @@ def _parsed(elements: DataFrame, schema: str | T.StructType, *columns: Column) -
 def read_event_files(spark: SparkSession, path, testcase: Column | None = None) -> DataFrame:
     """Per-testcase JSON arrays of events, in files of any size or in parts.
 
-    The testcase comes from the file name (or ``testcase``, an expression over ``file_path``) and
-    the event's place in the array is its index.  A file that names neither an event's id nor its
-    name holds no events and is skipped.
+    The testcase comes from the file name (or ``testcase``, an expression over ``file_path`` and the
+    element's ``text``) and the event's place in the array is its index.  A file that names neither
+    an event's id nor its name holds no events and is skipped.
     """
     if testcase is None:
         testcase = F.regexp_replace(names.base_name(F.col("file_path")), r"_events\.json$", "")

@@ -49,16 +49,17 @@ def _rows(reader, path, split_files: bool) -> DataFrame:
     )
 
 
-def read_traces(spark: SparkSession, path, split_files: bool = False) -> DataFrame:
+def read_traces(spark: SparkSession, path, split_files: bool = False, columns: list[str] | None = None) -> DataFrame:
     """``;``-separated trace files with a header and standard quoting, all columns text.
 
     Quoted fields may span lines, so a file is read by one task.  Where traces have no
     line breaks inside quotes, ``split_files=True`` lets large files be read in parallel;
     ``read_traces_any_header`` does so for all files.  A header in another column order stops
-    the read.
+    the read; ``columns`` names the header of files that hold more than the usual columns.
     """
+    header = T.StructType([T.StructField(c, T.StringType()) for c in columns]) if columns else TRACE_FILE
     reader = (
-        spark.read.schema(TRACE_FILE)
+        spark.read.schema(header)
         .option("header", True)
         .option("sep", ";")
         .option("quote", '"')
