@@ -131,7 +131,8 @@ def chunk_bounds(
     )
     schema = f"testcase_id {case}, part long, block long, next_block long, after_next long"
     blocks = whole.unionByName(parts.filter("_most > 0").drop("_most").groupBy("testcase_id").applyInPandas(unite, schema))
-    rows = rows.join(blocks, ["testcase_id", "part"]).drop("part")
+    # narrow rows take so little on disk that Spark would send millions of them to every executor
+    rows = rows.hint("merge").join(blocks, ["testcase_id", "part"]).drop("part")
 
     # Lines at the end of a block are look-back of the next block as well.
     in_block = Window.partitionBy("testcase_id", "block")

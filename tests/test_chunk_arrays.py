@@ -31,3 +31,13 @@ def test_lengths_of_lines_are_stored_and_not_printed_again(spark, monkeypatch):
     monkeypatch.setattr(chunking, "chunk_bounds", lambda lines, *rest: given.append(lines) or bounds(lines, *rest))
     assert chunking.build_chunks(events, 2000, 200).agg(F.max_by("event_ids", "chunk_index")).first()[0][-1] == "e49"
     assert given[0].inputFiles() and "concat_ws" not in given[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_not_broadcast(spark, tmp_path, monkeypatch):
+    # 200,000 lines of 2,000 traces take less than the 10 MB under which Spark broadcasts a table
+    spark.sql("SELECT concat('t', id % 2000) AS testcase_id, id div 2000 + 1 AS event_index, 150 AS length FROM range(200000)").write.parquet(str(tmp_path / "lines"))
+    kept, stage = [], chunking.staged
+    monkeypatch.setattr(chunking, "staged", lambda rows: kept.append(rows) or stage(rows))
+    bounds = chunking.chunk_bounds(spark.read.parquet(str(tmp_path / "lines")), 2000, 200)
+    assert bounds.groupBy("testcase_id").agg(F.max("line_end").alias("end")).filter("end = 100").count() == 2000
+    assert kept and "BroadcastHashJoin" not in kept[0]._jdf.queryExecution().executedPlan().toString()
