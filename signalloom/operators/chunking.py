@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions import text as tx
 from ..functions.packing import Block, chain
 from ..functions.batches import sorted_groups
-from ..session import BLOCK_ROWS, dealt, staged
+from ..session import BLOCK_ROWS, NARROW_ROWS, dealt, staged
 from .heavy import heavy_keys, spread_join
 
 _EXITS = (
@@ -105,8 +105,13 @@ def chunk_bounds(
     """
     block_of = F.expr(f"(event_index - 1) div {block_rows}")
     rows = lines.select("testcase_id", "event_index", "length", block_of.alias("part"))
+    total = lines.count()
     keep = max(chunk_overlap, 0)
 
+    def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+        # narrow rows take so little when compressed that Spark would give millions of them to a task
+        return dealt(df, total, *keys, task_rows=NARROW_ROWS)
+
     def unite(pdf: pd.DataFrame) -> pd.DataFrame:
         """Blocks of one trace, from its parts: a part with less text than a look-back is joined
         with those after it.  A block is called by its first part."""
@@ -124,6 +129,7 @@ def chunk_bounds(
     parts = rows.groupBy("testcase_id", "part").agg(
         F.sum("length").alias("chars"), F.max_by("length", "event_index").alias("final")
     )
+    parts = spread_out(parts, "testcase_id")
     case = rows.schema["testcase_id"].dataType.simpleString()
     parts = parts.withColumn("_most", F.max("part").over(Window.partitionBy("testcase_id")))
     whole = parts.filter("_most = 0").select(
@@ -131,8 +137,10 @@ def chunk_bounds(
     )
     schema = f"testcase_id {case}, part long, block long, next_block long, after_next long"
     blocks = whole.unionByName(parts.filter("_most > 0").drop("_most").groupBy("testcase_id").applyInPandas(unite, schema))
-    # narrow rows take so little on disk that Spark would send millions of them to every executor
-    rows = rows.hint("merge").join(blocks, ["testcase_id", "part"]).drop("part")
+    # nor are they sent to every executor, which Spark would do as they take little on disk
+    place = ["testcase_id", "part"]
+    rows = spread_out(rows, *place).hint("merge").join(spread_out(blocks, *place), place).drop("part")
+    rows = spread_out(rows, "testcase_id", "block")
 
     # Lines at the end of a block are look-back of the next block as well.
     in_block = Window.partitionBy("testcase_id", "block")
@@ -193,7 +201,7 @@ def chunk_bounds(
 
     def by_block(df: DataFrame) -> DataFrame:
         """Each block in one task, its rows in order."""
-        return df.repartition("testcase_id", "block").sortWithinPartitions("testcase_id", "block", "event_index")
+        return spread_out(df, "testcase_id", "block").sortWithinPartitions("testcase_id", "block", "event_index")
 
     long_traces = rows.filter("next_block >= 0")
     starts = (
@@ -246,7 +254,8 @@ def build_chunks(
     )
     total = events.count()
     place = ["testcase_id", "event_index"]
-    joined = dealt(members, total, *place).join(dealt(wide, total, *place), place)
+    # neither side may be sent to every executor, which Spark would do by their size on disk
+    joined = dealt(members, total, *place).hint("merge").join(dealt(wide, total, *place), place)
     joined = dealt(joined, total, "testcase_id", "chunk_index")
 
     counted = F.col("in_events")

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK_ROWS = 1_000_000
 # Rows of whole events or chunks that one task sorts and joins.
 WIDE_ROWS = 50_000
+# Rows of a few numbers that one task sorts and joins.
+NARROW_ROWS = 500_000
 
 
 def build_session(app: str = "signalloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -99,10 +101,10 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
-    """``df`` by its keys in parts of about ``WIDE_ROWS`` rows, for wide rows of which there are
-    ``rows``; a fixed number of parts, or one by compressed size, would let a task's memory grow."""
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / WIDE_ROWS))
+def dealt(df: DataFrame, rows: int, *keys: str, task_rows: int = WIDE_ROWS) -> DataFrame:
+    """``df`` by its keys in parts of about ``task_rows`` rows, of which there are ``rows``; a fixed
+    number of parts, or one by compressed size, would let a task's memory grow."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / task_rows))
     return df.repartition(parts, *keys)
 
 

@@ -41,3 +41,24 @@ def test_lines_are_not_broadcast(spark, tmp_path, monkeypatch):
     bounds = chunking.chunk_bounds(spark.read.parquet(str(tmp_path / "lines")), 2000, 200)
     assert bounds.groupBy("testcase_id").agg(F.max("line_end").alias("end")).filter("end = 100").count() == 2000
     assert kept and "BroadcastHashJoin" not in kept[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_and_events_meet_in_parts_by_rows(spark, tmp_path, monkeypatch):
+    # compressed, all of these fit one task's share by size
+    spark.sql("SELECT concat('t', id % 500) AS testcase_id, id div 500 + 1 AS event_index, 150 AS length FROM range(20000)").write.parquet(str(tmp_path / "lines"))
+    monkeypatch.setattr(chunking, "NARROW_ROWS", 500, raising=False)
+    kept, stage = [], chunking.staged
+    monkeypatch.setattr(chunking, "staged", lambda rows: kept.append(stage(rows)) or kept[-1])
+    bounds = chunking.chunk_bounds(spark.read.parquet(str(tmp_path / "lines")), 2000, 200)
+    assert bounds.groupBy("testcase_id").agg(F.max("line_end").alias("end")).filter("end = 40").count() == 500
+    assert len(kept[0].inputFiles()) >= 35 and bounds.rdd.getNumPartitions() == 40
+
+
+def test_events_are_not_broadcast_to_their_chunks(spark):
+    events = spark.sql(
+        "SELECT 't' AS testcase_id, id + 1 AS event_index, concat('e', id) AS event_id, 'a' AS event_name, 'f' AS event_family, "
+        "'s' AS severity, 'c' AS cause, 'o' AS operator, 'c' AS country, 'd' AS network_domain, array('x') AS tags, 'failed' AS result FROM range(50)"
+    )
+    chunks = chunking.build_chunks(chunking.staged(events), 2000, 200)
+    assert chunks.agg(F.sum("event_count")).first()[0] >= 50
+    assert "SortMergeJoin [testcase_id" in chunks._jdf.queryExecution().executedPlan().toString()
