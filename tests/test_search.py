@@ -159,6 +159,20 @@ def test_vectors_leave_for_their_groups_a_few_at_a_time():
     assert len(row) > 100_000
 
 
+def test_places_of_vectors_in_groups_are_held_a_few_at_a_time():
+    rng = np.random.default_rng(5)
+    groups = neighbours._Groups(rng.normal(size=(1000, 8)))
+    groups.near, groups.far, groups.sizes = np.zeros(1000), np.full(1000, 1e9), np.ones(1000)
+    batch = pd.DataFrame({"key": np.arange(8000), "vector": list(rng.normal(size=(8000, 8)))})
+    tracemalloc.start()
+    try:
+        left = sum(len(frame) for frame in groups.routes(iter([batch]), 900, None))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert left > 6_000_000 and peak < 100_000_000
+
+
 def test_a_block_is_measured_a_few_rows_at_a_time():
     rng = np.random.default_rng(4)
     left = pd.DataFrame({"key": np.arange(4000), "vector": list(rng.normal(size=(4000, 8)))})
