@@ -49,6 +49,31 @@ class _Pivots:
             found.append(best)
         return np.concatenate(rows), np.concatenate(found)
 
+    def probes_of(self, vectors: np.ndarray, probes: int) -> np.ndarray:
+        """``probed`` as a matrix of vectors and lists.
+
+        Where a good part of all lists is probed, all are measured at once and selected, not sorted
+        vector by vector.
+        """
+        mask = np.zeros((len(vectors), len(self.lists)), bool)
+        if probes * 4 < len(self.lists):
+            mask[self.probed(vectors, probes)] = True
+            return mask
+        order = np.sqrt(_squares(vectors, self.cells)).argsort(axis=1, kind="stable")
+        held = np.diff(self.first)
+        enough = (np.cumsum(held[order], axis=1) < probes).sum(axis=1) + 1
+        looked = np.zeros(order.shape, bool)
+        np.put_along_axis(looked, order, np.arange(order.shape[1]) < np.maximum(LOOK_CELLS, enough)[:, None], axis=1)
+        away = _squares(vectors, self.lists)
+        away[~np.repeat(looked, held, axis=1)] = np.inf
+        if probes >= len(self.lists):
+            return away < np.inf
+        last = np.partition(away, probes - 1, axis=1)[:, probes - 1 : probes]
+        mask = away < last
+        # of lists as far as the last one the lower ones are probed
+        tied = away == last
+        return mask | (tied & (np.cumsum(tied, axis=1) <= probes - mask.sum(axis=1, keepdims=True)))
+
     def cell_of(self, lists: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, lists, "right") - 1
 
@@ -140,25 +165,26 @@ class NeighbourIndex:
         tile_of, rows_of = _tiles(held, block)
         tiles = self.spark.sparkContext.broadcast(tile_of)
         width = len(pivots.lists) + pivots.lists.shape[1]
+        firsts = np.searchsorted(tile_of, np.arange(len(rows_of) + 1))
 
         def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for part in in_slices(len(pdf), width):
                     some = pdf.iloc[part]
-                    row, found = shared.value.probed(_matrix(some["vector"]), probes)
-                    tile = tiles.value[found]
-                    order = np.lexsort((found, tile, row))
-                    row, found, tile = row[order], found[order], tile[order]
-                    # a query goes once to a tile, with the lists that it probes there
-                    first = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(tile) != 0)]))
-                    lists = np.empty(len(first), object)
-                    lists[:] = np.split(found, first[1:])
-                    row, tile = row[first], tile[first]
+                    mask = shared.value.probes_of(_matrix(some["vector"]), probes)
                     keys, vectors = some["key"].to_numpy(), some["vector"].to_numpy()
+                    # a query goes once to a tile, with a bit for each list of it
+                    row, tile, lists = [], [], []
+                    for t in np.unique(tiles.value[mask.any(axis=0)]).tolist():
+                        own = mask[:, firsts[t] : firsts[t + 1]]
+                        row.append(np.flatnonzero(own.any(axis=1)))
+                        tile.append(np.full(len(row[-1]), t))
+                        lists += [bits.tobytes() for bits in np.packbits(own[row[-1]], axis=1)]
+                    row, tile = np.concatenate(row), np.concatenate(tile)
                     for out in in_slices(len(row), pivots.lists.shape[1]):
                         yield pd.DataFrame({"key": keys[row[out]], "vector": vectors[row[out]], "tile": tile[out], "lists": lists[out]})
 
-        routed = staged(asked.mapInPandas(route, f"key {kind}, vector array<double>, tile long, lists array<long>"))
+        routed = staged(asked.mapInPandas(route, f"key {kind}, vector array<double>, tile long, lists binary"))
         # one row per tile that is probed
         load = {r["tile"]: r["asked"] for r in routed.groupBy("tile").agg(F.count("*").alias("asked")).collect()}
         parts = [(t, math.ceil(int(rows_of[t]) / block) or 1, math.ceil(n / block)) for t, n in sorted(load.items())]
@@ -171,10 +197,11 @@ class NeighbourIndex:
         if where is not None:
             lists = lists.where(where)
         spot = F.xxhash64(F.lit(7), F.col("key"))
-        places = self.spark.createDataFrame(list(enumerate(tile_of.tolist())), "list long, tile long")
+        places = np.arange(len(tile_of)) - firsts[tile_of]
+        places = self.spark.createDataFrame(list(zip(range(len(tile_of)), tile_of.tolist(), places.tolist())), "list long, tile long, place long")
         data = lists.select(F.col("chunk_id").alias("key"), "vector", F.col("chunk_id").alias("least"), "list")
         data = data.join(F.broadcast(places), "list").join(F.broadcast(parts), "tile").select(
-            "key", "vector", "least", "list", "tile", F.pmod(spot, F.col("data_parts")).alias("data_part"),
+            "key", "vector", "least", F.col("place").alias("list"), "tile", F.pmod(spot, F.col("data_parts")).alias("data_part"),
             F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_parts") - 1)).alias("query_part"),
         )
         asking = routed.join(F.broadcast(parts), "tile").select(
