@@ -247,11 +247,8 @@ def build_chunks(
 
     flag = F.col("retry_recommended") if "retry_recommended" in events.columns else F.lit(None).cast("boolean")
     origin = F.col("source_trace") if "source_trace" in events.columns else F.lit(None).cast("string")
-    wide = events.select(
-        "testcase_id", "event_index", "event_id", "event_name", "event_family", "severity", "cause",
-        "operator", "country", "network_domain", "tags", "result",
-        flag.alias("retry_recommended"), origin.alias("source_trace"), text.alias("line"),
-    )
+    # lines are printed where their chunk is put together, and columns sent there, which take less
+    wide = events.drop("chunk_index", "in_text", "in_events").withColumns({"__flag": flag, "__origin": origin})
     total = events.count()
     place = ["testcase_id", "event_index"]
     # neither side may be sent to every executor, which Spark would do by their size on disk
@@ -272,7 +269,7 @@ def build_chunks(
     chunks = (
         joined.groupBy("testcase_id", "chunk_index")
         .agg(
-            F.array_join(in_order(F.col("in_text"), F.col("line")), "\n").alias("text"),
+            F.array_join(in_order(F.col("in_text"), text), "\n").alias("text"),
             F.count_if(counted).alias("event_count"),
             in_order(counted & F.col("event_id").isNotNull(), F.col("event_id")).alias("event_ids"),
             values("event_name").alias("event_names"),
@@ -283,10 +280,10 @@ def build_chunks(
             values("country").alias("countries"),
             values("network_domain").alias("network_domains"),
             F.filter(tags, lambda t: t != "").alias("tags"),
-            F.min_by(F.struct("source_trace"), F.when(counted, F.col("event_index")))["source_trace"]
+            F.min_by(F.struct("__origin"), F.when(counted, F.col("event_index")))["__origin"]
             .alias("source_trace"),
             F.coalesce(F.bool_or(counted & (F.col("result") == "failed")), F.lit(False)).alias("has_failure"),
-            F.coalesce(F.bool_or(counted & F.col("retry_recommended")), F.lit(False))
+            F.coalesce(F.bool_or(counted & F.col("__flag")), F.lit(False))
             .alias("has_retry_recommended"),
         )
     )

@@ -60,17 +60,18 @@ def placed(rows: DataFrame, key: str, order: list[str], name: str = "place", tot
     key; only one total per key and slice meets the others of its key.
     """
     tied = rows.withColumn("__tie", F.monotonically_increasing_id())
-    sliced = staged(tied.repartitionByRange(key, *order, "__tie").withColumn("__slice", F.spark_partition_id()))
+    # rows are numbered as they lie in their slice, which spares sending them once more
+    ranged = tied.repartitionByRange(key, *order, "__tie").sortWithinPartitions(key, *order, "__tie")
+    sliced = staged(ranged.withColumns({"__slice": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}))
     ahead = Window.partitionBy(key).orderBy("__slice")
-    totals = sliced.groupBy(F.col(key), F.col("__slice")).agg(F.count("*").alias("__n"))
+    totals = sliced.groupBy(F.col(key), F.col("__slice")).agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
     totals = totals.select(
         F.col(key).alias("__key"),
         F.col("__slice").alias("__of"),
+        "__first",
         (F.sum("__n").over(ahead) - F.col("__n")).alias("__ahead"),
         F.sum("__n").over(Window.partitionBy(key)).alias(total),
     )
-    within = Window.partitionBy(key, "__slice").orderBy(*order, "__tie")
-    numbered = sliced.withColumn("__local", F.row_number().over(within) - 1)
     own = (F.col("__slice") == F.col("__of")) & F.col(key).eqNullSafe(F.col("__key"))
-    placed_rows = numbered.join(totals, own).withColumn(name, F.col("__ahead") + F.col("__local"))
+    placed_rows = sliced.join(totals, own).withColumn(name, F.col("__ahead") + F.col("__row") - F.col("__first"))
     return placed_rows.select(*rows.columns, name, total)

@@ -108,6 +108,25 @@ def dealt(df: DataFrame, rows: int, *keys: str, task_rows: int = WIDE_ROWS) -> D
     return df.repartition(parts, *keys)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a table that is written inside go when it is written.
+
+    Spark would keep them until its driver collects garbage, so that the files of all steps of a
+    job lie on disk at once.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet and read back.
 
@@ -115,5 +134,6 @@ def staged(df: DataFrame) -> DataFrame:
     filter pushdown for its readers, and survives the loss of executors.
     """
     path = stage_folder(df.sparkSession)
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions import names
 from ..operators.ordering import placed
 from ..schemas import CHUNK, EVENT
-from ..session import remove_folder
+from ..session import remove_folder, shuffles_freed
 from . import manifests, splits
 
 
@@ -50,11 +50,12 @@ def read_json(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def export_arrays(df: DataFrame, path: str, key: str, order: str, part_rows: int = 10_000) -> None:
+def export_arrays(df: DataFrame, path: str, key: str, order: str, part_rows: int = 10_000, compression: str = "none") -> None:
     """JSON arrays per value of ``key``, in ``order``, under ``path/<key>=<value>/part=<n>``.
 
     A part holds ``part_rows`` rows, the last one fewer, so that no task meets all rows of a
-    key; parts in turn are the key's array.  Ties in ``order`` fall either way.
+    key; parts in turn are the key's array.  Ties in ``order`` fall either way.  ``compression``
+    is that of the files, which are read in one task each unless it is none.
     """
     fields = [c for c in df.columns if c != order]
     rows = placed(df.withColumn("__at", F.col(order)), key, ["__at"], "__place", "__total")
@@ -66,7 +67,8 @@ def export_arrays(df: DataFrame, path: str, key: str, order: str, part_rows: int
     arrays = rows.groupBy(F.col(key).alias("__key"), "__part").agg(in_turn.alias("rows"))
     text = F.to_json(F.transform("rows", lambda r: r["row"]), {"ignoreNullFields": "false"})
     named = arrays.select("__key", "__part", text.alias("value")).withColumnsRenamed({"__key": key, "__part": "part"})
-    named.write.partitionBy(key, "part").text(path)
+    with shuffles_freed(df.sparkSession):
+        named.write.partitionBy(key, "part").text(path, compression=compression)
 
 
 def _parsed(elements: DataFrame, schema: str | T.StructType, *columns: Column) -> DataFrame:
