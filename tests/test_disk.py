@@ -2,6 +2,7 @@
 
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from signalloom.operators import ordering
@@ -62,6 +63,19 @@ def test_chunk_arrays_lie_compressed(spark, tmp_path, monkeypatch):
     assert text > 5 * stored
 
 
+def test_the_chain_stores_what_it_reads(spark, tmp_path, monkeypatch):
+    events(spark, tmp_path)
+    rng = np.random.default_rng(11)
+    vectors = [(i, [float(x) for x in rng.normal(size=4)], 0) for i in range(30)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    kept, stage = [], catalogue.staged
+    monkeypatch.setattr(catalogue, "staged", lambda df: kept.append(stage(df)) or kept[-1])
+    reports = QUERIES["retry_chain"](spark, str(tmp_path))
+    chunks = QUERIES["chunk_files"](spark, str(tmp_path)).select("chunk_id").collect()
+    assert {r["chunk_id"] for r in reports.collect()} == {r["chunk_id"] for r in chunks}
+    assert {"testcase_id", "tags", "has_failure"} <= set(kept[0].columns) and not {"text", "event_ids"} & set(kept[0].columns)
+
+
 def test_events_are_sent_to_their_chunks_unprinted(spark, tmp_path):
     events(spark, tmp_path)
     plan = catalogue.fx.chunks_of(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
